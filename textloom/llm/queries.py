@@ -8,9 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.bpe_codec import codec_digests
-from textloom.llm.common import table
+from textloom.llm.common import scratch_path, table
+from textloom.llm.langid import language_query
+from textloom.llm.packing import pack_documents
 from textloom.llm.quality import quality
 from textloom.llm.token_count import count_tokens
+from textloom.llm.toxicity import toxicity_query
+from textloom.llm.warc import read_archives, write_archives
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -19,17 +23,47 @@ def op1_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), folder).agg({"records": "sum"}).collect()
+    found = read_archives(spark, folder, with_payload=False).where("kind = 'record'")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op6_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_query(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op8_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(encode(html)) AS payload_digest FROM p),
+t AS (SELECT payload_digest, max(page_id) AS top FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN d.page_id <> t.top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN d.page_id <> t.top THEN t.top END AS refers_to
+FROM d LEFT JOIN t USING (payload_digest)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_cascade, op3_token_counts, op7_bpe_codec)}
+    return {f.__name__: f for f in (op1_quality_cascade, op2_warc_salvage, op3_token_counts, op6_language_backoff, op7_bpe_codec, op8_toxicity_automata, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_salvage": OP2_SQL}
