@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.bpe_codec import codec_digests
 from textloom.llm.common import scratch_path, table
+from textloom.llm.jaccard_join import near_duplicates
 from textloom.llm.langid import language_query
 from textloom.llm.packing import pack_documents
 from textloom.llm.quality import quality
@@ -50,6 +51,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(encode(html)) AS payload_digest FROM p),
@@ -62,7 +67,7 @@ FROM d LEFT JOIN t USING (payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_cascade, op2_warc_salvage, op3_token_counts, op6_language_backoff, op7_bpe_codec, op8_toxicity_automata, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_cascade, op2_warc_salvage, op3_token_counts, op6_language_backoff, op7_bpe_codec, op8_toxicity_automata, op9_best_fit_packing, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
