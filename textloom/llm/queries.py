@@ -13,6 +13,7 @@ from textloom.llm.jaccard_join import near_duplicates
 from textloom.llm.langid import language_query
 from textloom.llm.packing import pack_documents
 from textloom.llm.quality import quality
+from textloom.llm.suffix_dedup import dedup_digests
 from textloom.llm.token_count import count_tokens
 from textloom.llm.toxicity import toxicity_query
 from textloom.llm.warc import read_archives, write_archives
@@ -35,6 +36,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(table(spark, sf_dir, "documents"))
 
@@ -67,7 +72,7 @@ FROM d LEFT JOIN t USING (payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_cascade, op2_warc_salvage, op3_token_counts, op6_language_backoff, op7_bpe_codec, op8_toxicity_automata, op9_best_fit_packing, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_quality_cascade, op2_warc_salvage, op3_token_counts, op4_suffix_array_dedup, op6_language_backoff, op7_bpe_codec, op8_toxicity_automata, op9_best_fit_packing, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
