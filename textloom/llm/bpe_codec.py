@@ -96,14 +96,23 @@ class Codec:
         raw = word.encode()
         s = raw[:-1].decode("latin-1") + chr(256 + raw[-1])
         n = len(s)
-        longest = [-1] * n
-        length, shorter, pairs = self.length, self.shorter, self.pairs
-        for end, token in self.match.iter(s):
-            # ends only grow, so the last match from a place is its longest
-            longest[end + 1 - length[token]] = token
+        length, shorter, pairs, longest = self.length, self.shorter, self.pairs, self.match.iter_long
+        # every symbol is a token, so leftmost-longest matches cover the word; often no pair of them needs a change
+        first = [token for _, token in longest(s)]
+        last = -1
+        for token in first:
+            if last >= 0 and not ((ok := pairs.get(last << 20 | token)) or ok is None and self.compatible(last, token)):
+                break
+            last = token
+        else:
+            return array("I", first).tobytes()
+        known, pos = {}, 0
+        for token in first:
+            known[pos] = token
+            pos += length[token]
         shut = set()
         out: list[int] = []
-        pos, token, last = 0, longest[0], -1
+        pos, token, last = 0, first[0], -1
         while True:
             while token >= 0:
                 end = pos + length[token]
@@ -123,7 +132,10 @@ class Codec:
             out.append(token)
             if end == n:
                 return array("I", out).tobytes()
-            pos, last, token = end, token, longest[end]
+            pos, last = end, token
+            token = known.get(end, -1)
+            if token < 0:
+                token = known[end] = next(longest(s, end))[1]
 
     def _chunk(self, chunk: str) -> bytes:
         words = self.vocab.chunk_words(chunk)

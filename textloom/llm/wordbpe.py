@@ -20,6 +20,15 @@ CACHE_ENTRIES = 300_000
 _ODD = re.compile("[\x1c-\x1f]|[^\x00-՗ -⁯₠-₿぀-鿯가-힣]")
 
 
+def _odd(text: str) -> bool:
+    if not text.isascii():
+        try:
+            text.encode("latin-1")  # much faster than a search
+        except UnicodeEncodeError:
+            return _ODD.search(text) is not None
+    return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+
+
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte: itself if it is visible, else one from 256 on."""
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -70,7 +79,7 @@ class WordVocab:
 
     def words(self, text: str) -> list[str]:
         """The pre-tokens of a text without special strings."""
-        return self._by_library(text) if _ODD.search(text) else self.chunk_words(text)
+        return self._by_library(text) if _odd(text) else self.chunk_words(text)
 
     def chunk_words(self, chunk: str) -> list[str]:
         """The pre-tokens of a chunk from chunks()."""
@@ -95,7 +104,7 @@ class WordVocab:
 
     def chunks(self, text: str) -> list[str] | None:
         """White-space chunks that can be treated one by one; None if the text needs parts() and words()."""
-        return None if "<|" in text or _ODD.search(text) else text.split()
+        return None if "<|" in text or _odd(text) else text.split()
 
     def symbols(self, word: str) -> list[int]:
         """One symbol a byte, the last with the word end."""
