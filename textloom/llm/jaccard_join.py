@@ -62,7 +62,7 @@ class Shingler:
         h = w[: n - k + 1].copy()
         for i in range(1, k):
             h = h * _M[0] + w[i : n - k + 1 + i]
-        return np.unique(_mix(h + np.uint64(k) * _M[1]).view(np.int64))
+        return np.unique(_mix(h + np.uint64(k * int(_M[1]) & (1 << 64) - 1)).view(np.int64))
 
 
 def _lost(n):

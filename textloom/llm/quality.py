@@ -144,7 +144,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ord
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", order: list[str] | None = None) -> DataFrame:
-    """The rows of docs, all columns, whose text passes every rule; only the cascade runs, no other measure."""
+    """The rows of docs, all columns, whose text passes every rule; only the cascade runs, no other measure.
+
+    Null and empty texts go; repeated rows stay or go together; an empty table stays empty.
+    """
     order = order or estimate(docs, text_col)
 
     @F.pandas_udf("boolean")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm.ann import nearest
 from textloom.llm.bpe_codec import codec_digests
 from textloom.llm.common import scratch_path, table
 from textloom.llm.jaccard_join import near_duplicates
@@ -40,6 +41,11 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op6_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_query(table(spark, sf_dir, "documents"))
 
@@ -72,7 +78,7 @@ FROM d LEFT JOIN t USING (payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_cascade, op2_warc_salvage, op3_token_counts, op4_suffix_array_dedup, op6_language_backoff, op7_bpe_codec, op8_toxicity_automata, op9_best_fit_packing, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_quality_cascade, op2_warc_salvage, op3_token_counts, op4_suffix_array_dedup, op5_projected_neighbours, op6_language_backoff, op7_bpe_codec, op8_toxicity_automata, op9_best_fit_packing, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
