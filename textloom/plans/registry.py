@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import vectors
+from textloom.plans import retrieval, vectors
 
-MODULES = (vectors,)
+MODULES = (vectors, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
