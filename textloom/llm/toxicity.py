@@ -24,9 +24,9 @@ from textloom.llm.langid import fold
 from textloom.llm.wordbpe import Cache
 
 #: Bounds: labelled documents learned from, lexicon terms, context words.
-TRAIN_DOCS, MAX_TERMS, MAX_CONTEXT = 20_000, 5000, 5000
+TRAIN_DOCS, MAX_TERMS, MAX_CONTEXT = 8000, 2000, 2000
 #: A term is so many times as often in toxic documents as in others, with this log-likelihood ratio (chi-square, 1 degree).
-MIN_RATIO, MIN_G2 = 6.0, 16.0
+MIN_RATIO, MIN_G2 = 6.0, 20.0
 #: Lengths of word beginnings that can be terms; they are written with a star at the end and match exactly.
 STEMS = (4, 7)
 #: Terms of this length at least are also matched misspelt, for this part of their weight; words of a context on each side.
@@ -53,14 +53,14 @@ def trie(terms) -> dict:
     root: dict = {}
     for t in terms:
         node = root
-        for c in t.removesuffix("*"):
+        for c in t:
             node = node.setdefault(c, {})
-        node.setdefault(END, []).append(t)
+        node[END] = t
     return root
 
 
-def near(word: str, root: dict) -> list[tuple[str, int]]:
-    """(term, 0 or 1): the terms of the trie within one edit of word.
+def near(word: str, root: dict) -> list[str]:
+    """The terms of the trie within one edit of word.
 
     The automaton's states are two bit sets of places in word, reached with no and with one edit,
     and one of places where a swap has begun; a branch of the trie is left when all are empty.
@@ -75,11 +75,8 @@ def near(word: str, root: dict) -> list[tuple[str, int]]:
         node, exact, edited, swap = stack.pop()
         for c, child in node.items():
             if c == END:
-                for t in child:
-                    if exact & final or exact and t[-1] == "*":
-                        found.append((t, 0))
-                    elif edited & final and t[-1] != "*" and len(t) >= FUZZY_LENGTH:
-                        found.append((t, 1))
+                if (exact | edited) & final:
+                    found.append(child)
                 continue
             m = at.get(c, 0)
             e0 = (exact & m) << 1
@@ -91,18 +88,26 @@ def near(word: str, root: dict) -> list[tuple[str, int]]:
 
 
 class Matcher:
-    """word -> its heaviest term and whether it is misspelt; None if it matches nothing. An exact match goes first."""
+    """word -> its term and whether it is misspelt; None if it matches nothing. Words go before stems, those before misspellings."""
 
     def __init__(self, model: Model):
-        self.terms, self.root = model.terms, trie(model.terms)
+        self.terms = model.terms
+        fuzzy = [t for t in self.terms if t[-1] != "*" and len(t) >= FUZZY_LENGTH]
+        self.root = trie(fuzzy)
+        # one edit leaves the first or the last two characters of a term as they are
+        self.heads, self.tails = {t[:2] for t in fuzzy}, {t[-2:] for t in fuzzy}
         self.cache = Cache(self._match)
 
     def _match(self, word: str) -> tuple[str, bool] | None:
-        found = near(word, self.root)
-        if not found:
+        if word in self.terms:
+            return word, False
+        for k in range(STEMS[0], min(STEMS[1], len(word)) + 1):
+            if (stem := word[:k] + "*") in self.terms:
+                return stem, False
+        if len(word) < FUZZY_LENGTH - 1 or not (word[:2] in self.heads or word[-2:] in self.tails):
             return None
-        term, edits = min(found, key=lambda x: (x[1], -self.terms[x[0]][0], x[0]))
-        return term, edits > 0
+        term = min(near(word, self.root), key=lambda t: (-self.terms[t][0], t), default=None)
+        return term and (term, True)
 
     def __call__(self, text: str | None) -> tuple[list[str], list[tuple[int, str, bool, bool]]]:
         """Words, and the matches in them: (place, term, misspelt, quoted)."""
@@ -158,14 +163,18 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     n1, n0 = tally.get(1, 0), tally.get(0, 0)
     if not n1 or not n0:
         return Model()
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     stems = lambda w: F.transform(F.filter(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[1])), lambda n: n < F.length(w)), lambda n: F.concat(F.substring(w, 1, n), F.lit("*")))
-    table = drawn.select("toxic", F.explode(F.array_distinct(F.concat(words, F.flatten(F.transform(words, stems))))).alias("w"))
-    table = table.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
+    units = drawn.select("toxic", F.explode(F.array_distinct(F.concat(words, F.flatten(F.transform(F.array_distinct(words), stems))))).alias("w"))
+    table = units.groupBy("w").agg(F.sum("toxic").alias("docs"), F.sum(1 - F.col("toxic")).alias("o"))
+    # copies of one toxic document repeat its rare words behind the same word; a term stands behind many
+    pairs = drawn.where("toxic = 1").select(words.alias("x")).select(F.explode(F.array_distinct(F.zip_with("x", F.concat(F.array(F.lit("")), F.col("x")), lambda w, p: F.struct(w.alias("w"), p.alias("p"))))).alias("y")).select("y.w", "y.p").where("w IS NOT NULL").distinct()
+    behind = pairs.select("p", F.explode(F.concat(F.array("w"), stems(F.col("w")))).alias("w")).groupBy("w").agg(F.count_distinct("p").alias("behind"))
     t, o, n = F.col("t"), F.col("o"), n1 + n0
     part = lambda x, share: F.when(x > 0, x * F.log(x / ((t + o) * share))).otherwise(0.0)
     ratio, g2 = ((t + 0.5) / (n1 + 1)) / ((o + 0.5) / (n0 + 1)), 2 * (part(t, n1 / n) + part(o, n0 / n))
-    chosen = table.where((t >= 4) & (ratio >= MIN_RATIO) & (g2 >= MIN_G2)).orderBy(F.desc(g2), "w").limit(MAX_TERMS).collect()
+    known = table.where("docs >= 4").join(behind.where("behind >= 4"), "w").select("w", F.least("docs", "behind").alias("t"), "o")
+    chosen = known.where((ratio >= MIN_RATIO) & (g2 >= MIN_G2)).orderBy(F.desc(g2), "w").limit(MAX_TERMS).collect()
     model = Model(_terms([(r["w"], r["t"], r["o"]) for r in chosen], n1, n0))
     _fit_context(model, drawn, (n1, n0))
     rows = _strengths(model, drawn)
@@ -176,12 +185,18 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
 
 
 def _terms(rows: list[tuple[str, int, int]], n1: int, n0: int) -> dict[str, tuple[float, float, float]]:
-    """Weights of the terms that no shorter chosen stem says nearly as well."""
+    """Weights of the terms that no chosen shorter stem says nearly as well.
+
+    A word stays beside a stem that isn't much commoner, so that its misspellings are found too.
+    """
     out: dict[str, tuple[float, float, float]] = {}
+    often: dict[str, int] = {}
     for w, t, o in sorted(rows, key=lambda r: (len(r[0].removesuffix("*")), r[0])):
         weight, bare = _weight(t, o, n1, n0), w.removesuffix("*")
-        if not any((x := out.get(bare[:k] + "*")) and x[0] >= weight - 0.7 for k in range(STEMS[0], min(STEMS[1], len(bare)) + 1)):
+        stems = [x for k in range(STEMS[0], min(STEMS[1], len(bare)) + 1) if (x := bare[:k] + "*") in out and out[x][0] >= weight - 0.7]
+        if not stems or w == bare and all(often[x] < 3 * t for x in stems):
             out[w] = weight, _weight(t - 1, o, n1, n0), _weight(t, o - 1, n1, n0)
+            often[w] = t
     return out
 
 
