@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import retrieval, vectors
+from textloom.plans import chunks, retrieval, vectors
 
-MODULES = (vectors, retrieval)
+MODULES = (vectors, retrieval, chunks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
