@@ -51,19 +51,31 @@ def words(t: Column, pattern: str = "[a-z]+") -> Column:
     return F.regexp_extract_all(F.lower(t), F.lit(pattern), F.lit(0))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value evaluated once a row: a lambda's variable, not an expression repeated in inner lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ngrams(w: Column, n: int) -> Column:
     """Distinct n-grams of a word array, joined by one space; empty if there are too few words."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
-    return F.when(F.size(w) >= n, grams).otherwise(F.array().cast("array<string>"))
+
+    def grams(x: Column) -> Column:
+        found = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, n), " ")))
+        return F.when(F.size(x) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return bound(w, grams)
 
 
 def token_f1(pred: Column, gold: Column) -> Column:
     """F1 of the token multisets of two normalised answers; 0 if either is empty."""
-    a, b = (F.filter(F.split(normalize_answer(x), " "), lambda w: w != "") for x in (pred, gold))
-    count = lambda arr, w: F.size(F.filter(arr, lambda x: x == w))
-    same = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(count(a, w), count(b, w))).cast("double")
-    p, r = F.try_divide(same, F.size(a)), F.try_divide(same, F.size(b))
-    return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+    def f1(ab: Column) -> Column:
+        a, b = ab["a"], ab["b"]
+        count = lambda arr, w: F.size(F.filter(arr, lambda x: x == w))
+        same = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(count(a, w), count(b, w))).cast("double")
+        return F.coalesce(F.try_divide(2 * same, (F.size(a) + F.size(b)).cast("double")), F.lit(0.0))
+
+    tokens = (F.filter(F.split(normalize_answer(x), " "), lambda w: w != "").alias(k) for k, x in (("a", pred), ("b", gold)))
+    return bound(F.struct(*tokens), f1)
 
 
 def exact_match(pred: Column, gold: Column) -> Column:

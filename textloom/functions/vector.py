@@ -21,8 +21,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column, floor: float = 1e-12) -> Column:
     """v / |v|; a norm below floor counts as floor, so the zero vector stays zero."""
-    n = F.greatest(norm(v), F.lit(floor))
-    return F.transform(as_double(v), lambda x: x / n)
+    # the norm is a lambda's variable, so it is computed once a vector and not once a component
+    return F.element_at(F.transform(F.array(F.greatest(norm(v), F.lit(floor))), lambda n: F.transform(as_double(v), lambda x: x / n)), 1)
 
 
 def plus(a: Column, b: Column) -> Column:

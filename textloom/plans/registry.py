@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import chunks, retrieval, vectors
+from textloom.plans import chunks, evaluation, retrieval, texts, vectors
 
-MODULES = (vectors, retrieval, chunks)
+MODULES = (vectors, retrieval, chunks, texts, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
