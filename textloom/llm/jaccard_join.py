@@ -11,9 +11,9 @@ regions around rare shared shingles:
    shingles are ordered rarest first. Two partners share one of their first n - ceil(.75 n) + 1
    shingles, so each of these is a region that holds both.
 3. A region of more than LEAF nodes chooses pivots. Each node goes to its nearest pivot (a Voronoi
-   region) and, as a boundary node, to the others within the triangle-inequality windows. Nodes within
-   r of a pivot are linked to it and need no test among themselves. Regions split until they are
-   leaves, where the pairs that are left are compared.
+   region) and, as a boundary node, to the others within the triangle-inequality windows. Nodes that
+   links found so far connect need no test among themselves: a region of one component is done.
+   Regions split until they are leaves, where the pairs of different components are compared.
 
 No step depends on chance: hashes only order and choose, and every link is verified on whole sets.
 Shingles and nodes are 64-bit hashes; among a billion documents, the chance of one false merge is 3 %.
@@ -34,7 +34,7 @@ from textloom.llm.components import components
 from textloom.llm.wordbpe import Cache
 
 #: Nodes of a region that are compared directly; pivots of a larger one; a node list of at most this many rows is broadcast.
-LEAF, PIVOTS, BROADCAST_ROWS = 8, 4, 200_000
+LEAF, PIVOTS, BROADCAST_ROWS = 12, 4, 200_000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -145,49 +145,50 @@ def _regions(sets: DataFrame) -> DataFrame:
     return cut(rare, "join-regions")
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, d, linked) of distinct pairs; d is the Jaccard distance of whole sets."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"))
+def _distances(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """(a, b, d, linked) of distinct pairs, written; d is the Jaccard distance of whole sets.
+
+    A counted, short list of pairs is broadcast, so that only the sets it names are shuffled, once.
+    """
+    pairs = cut(pairs.distinct(), f"{label}-pairs")
+    few = (lambda x: F.broadcast(x)) if pairs.count() <= BROADCAST_ROWS else (lambda x: x)
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")).join(few(pairs), "a")
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")).join(few(pairs.select("b").distinct()), "b", "left_semi")
+    both = left.join(right, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"))
     union = F.col("na") + F.col("nb") - F.col("i")
-    return both.select("a", "b", (1 - F.col("i") / union).alias("d"), (100 * F.col("i") >= 75 * union).alias("linked"))
+    return cut(both.select("a", "b", (1 - F.col("i") / union).alias("d"), (100 * F.col("i") >= 75 * union).alias("linked")), label)
 
 
-def links(sets: DataFrame, leaf: int = LEAF, pivots: int = PIVOTS, max_depth: int = 40) -> DataFrame:
-    """(a, b): links that connect exactly the nodes that all links together connect."""
-    # cls: nodes of one class are linked through a pivot and need no test among themselves
+def links(sets: DataFrame, leaf: int = LEAF, pivots: int = PIVOTS, max_depth: int = 3) -> DataFrame:
+    """(a, b): links that connect exactly the nodes that all links together connect.
+
+    A round tests the pairs of the leaves and the nodes of larger regions against their pivots, joins
+    what is linked into components, and goes on with the regions that still hold several components;
+    regions with the same nodes are one. Few are left after the first round. At max_depth what is
+    left is compared as leaves, so the result is exact at any depth.
+    """
     state = _regions(sets).withColumn("cls", F.col("node"))
-    found, tested = [], []
-    for depth in range(max_depth):
-        size = state.groupBy("region").agg(F.count("*").alias("m"), F.count_distinct("cls").alias("k")).where("m > 1 AND k > 1").select("region", "m")
-        live = cut(state.join(size, "region"), f"join-live-{depth}")
-        counts = {r["big"]: r["c"] for r in live.groupBy((F.col("m") > leaf).alias("big")).agg(F.count("*").alias("c")).collect()}
-        if not counts:
+    found = None
+    for depth in range(max_depth + 1):
+        size = state.groupBy("region").agg(F.count("*").alias("m"), F.min("cls").alias("k"), F.max("cls").alias("l"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)) % 1_000_000_007).alias("y")).where("k <> l")
+        live = cut(state.join(size.groupBy("m", "x", "y").agg(F.min("region").alias("region")).select("region", "m"), "region"), f"join-live-{depth}")
+        if live.isEmpty():
             break
-        last = depth == max_depth - 1
-        ends = live if last else live.where(F.col("m") <= leaf)
-        x, y = ends.select("region", F.col("node").alias("a"), F.col("n").alias("na"), F.col("cls").alias("ca")), ends.select("region", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cls").alias("cb"))
-        near = "a < b AND ca <> cb AND 4 * least(na, nb) >= 3 * greatest(na, nb)"
-        tested.append(x.join(y, "region").where(near).select("a", "b").distinct())
-        if last or True not in counts:
+        small = F.lit(True) if depth == max_depth else F.col("m") <= leaf
+        ends, big = live.where(small), live.where(~small)
+        x, y = (ends.select("region", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("cls").alias(f"c{k}")) for k in "ab")
+        pairs = x.join(y, "region").where("a < b AND ca <> cb AND 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
+        chosen = big.groupBy("region").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(pivots)])).alias("p"))
+        at = big.join(chosen, "region").select("region", "node", "n", "cls", F.explode("p").alias("p")).where("node <> p")
+        d = _distances(pairs.unionByName(at.select(F.col("node").alias("a"), F.col("p").alias("b"))), sets, f"join-tested-{depth}")
+        new = d.where("linked").select("a", "b")
+        found = new if found is None else found.unionByName(new)
+        if depth == max_depth or big.isEmpty():
             break
-        big = live.where(F.col("m") > leaf)
-        chosen = big.groupBy("region").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k), "region")) for k in range(pivots)])).alias("p"))
-        at = big.join(chosen, "region").select("region", "node", "n", "cls", F.explode("p").alias("p"))
-        d = cut(_distances(at.where("node <> p").select(F.col("node").alias("a"), F.col("p").alias("b")).distinct(), sets), f"join-pivots-{depth}")
-        found.append(d.where("linked").select("a", "b"))
-        far = at.where("node <> p").join(d.select(F.col("a").alias("node"), F.col("b").alias("p"), "d", "linked"), ["node", "p"])
-        state = _split(far, chosen)
-    out = found[0] if found else None
-    pairs = None
-    for t in tested:
-        pairs = t if pairs is None else pairs.unionByName(t)
-    for f in found[1:]:
-        out = out.unionByName(f)
-    if pairs is not None:
-        direct = _distances(pairs.distinct(), sets).where("linked").select("a", "b")
-        out = direct if out is None else out.unionByName(direct)
-    return out if out is not None else sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        roots = components(found, f"join-roots-{depth}")
+        far = at.join(d.select(F.col("a").alias("node"), F.col("b").alias("p"), "d", "linked"), ["node", "p"])
+        state = _split(far, chosen).drop("cls").join(roots, "node", "left").select("region", "node", "n", F.coalesce("root", "node").alias("cls"))
+    return found if found is not None else sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
 
 
 def _split(far: DataFrame, chosen: DataFrame) -> DataFrame:
