@@ -30,7 +30,7 @@ def _header(value: object) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", str(value))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | str | None, url: str | None, payload: bytes, digest: str, refers_to: int | str | None, revisit: bool) -> bytes:
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (b"\r\n" if revisit else b"Content-Length: %d\r\n\r\n" % len(payload) + payload)
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 2024-01-01T00:00:00Z"]
     if url is not None:
@@ -94,7 +94,9 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    return with_record_types(pages, min_revisit).mapInPandas(write, "archive string, records long, bytes long")
+    # ids travel as text: a null would turn a column of numbers into floats
+    rows = with_record_types(pages, min_revisit).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
+    return rows.mapInPandas(write, "archive string, records long, bytes long")
 
 
 class Bad(Exception):
