@@ -76,7 +76,7 @@ def test_suffix_array_and_prefixes():
         n, k = rng.randint(1, 50), rng.choice([1, 2, 9])
         t = np.array([rng.choice([1, *[rng.randint(2, k + 1)] * 6]) for _ in range(n)] + [1, 0])
         want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
-        assert sais.suffix_array(t).tolist() == want == sais._by_symbols(t.tolist(), k + 2)
+        assert sais.suffix_array(t).tolist() == want == sais._by_doubling(t).tolist()
 
 
 def brute_repeats(texts, length):

@@ -1,9 +1,10 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are S (smaller than the next) or L. The leftmost S suffixes (LMS) are sorted by their
-substrings, named, and the string of names is sorted recursively; all others are induced from them
-in two linear scans. For small alphabets a scan handles a whole bucket at once in numpy; strings of
-names have large alphabets and are scanned one by one.
+substrings, named, and the string of names is sorted in its turn; all others are induced from them
+in two linear scans, a whole bucket at a time in numpy. That pays for small alphabets; a string of
+names over a large one is a third as long at most and is sorted by doubling ranks, as inducing it
+symbol by symbol in Python took four fifths of the time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     if n == 1:
         return np.zeros(1, dtype=np.int64)
     if k > SMALL:
-        return np.array(_by_symbols(t.tolist(), k), dtype=np.int64)
+        return _by_doubling(t)
     s = _types(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     order = _induce(t, k, s, lms)
@@ -111,57 +112,20 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return named[lms], int(len(order) - same.sum())
 
 
-def _by_symbols(t: list[int], k: int) -> list[int]:
-    """The same for any alphabet, one suffix at a time."""
-    n = len(t)
-    if n == 1:
-        return [0]
-    s = bytearray(n)
-    s[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        s[i] = t[i] < t[i + 1] or (t[i] == t[i + 1] and s[i + 1])
-    lms = [i for i in range(1, n) if s[i] and not s[i - 1]]
-    size = np.bincount(np.array(t), minlength=k)
-    tails = np.cumsum(size)
-    heads = (tails - size).tolist()
-    tails = tails.tolist()
-
-    def induce(order: list[int]) -> list[int]:
-        sa = [-1] * n
-        end = tails.copy()
-        for i in reversed(order):
-            c = t[i]
-            end[c] = e = end[c] - 1
-            sa[e] = i
-        start = heads.copy()
-        for i in sa:  # grows while it is read
-            if i > 0 and not s[i - 1]:
-                c = t[i - 1]
-                sa[start[c]] = i - 1
-                start[c] += 1
-        end = tails.copy()
-        for x in range(n - 1, -1, -1):
-            i = sa[x]
-            if i > 0 and s[i - 1]:
-                c = t[i - 1]
-                end[c] = e = end[c] - 1
-                sa[e] = i - 1
-        return sa
-
-    sa = induce(lms)
-    stop = dict(zip(lms, [*lms[1:], n - 1], strict=True))
-    named, name, last = {}, -1, None
-    for i in sa:
-        if i in stop:
-            x = t[i : stop[i] + 1]
-            if x != last:
-                name, last = name + 1, x
-            named[i] = name
-    if name + 1 == len(lms):
-        order = sorted(lms, key=named.__getitem__)
-    else:
-        order = [lms[i] for i in _by_symbols([named[i] for i in lms], name + 1)]
-    return induce(order)
+def _by_doubling(t: np.ndarray) -> np.ndarray:
+    """The suffix array of a string over a large alphabet: ranks of 1, 2, 4, ... symbols until all differ."""
+    n, step = len(t), 1
+    rank = t.astype(np.int64)
+    while True:
+        key = rank * (int(rank.max()) + 2)
+        key[:-step] += rank[step:] + 1
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        rank[order] = new
+        if new[-1] == n - 1:
+            return order
+        step *= 2
 
 
 def common_prefixes(t: np.ndarray, sa: np.ndarray, room: np.ndarray) -> np.ndarray:

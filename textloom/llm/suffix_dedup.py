@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import cut
 from textloom.llm.sais import common_prefixes, suffix_array
 
-LENGTH, GRAM = 200, 16
+LENGTH, GRAM = 200, 32
 #: Bytes of one shard's text; bytes of distinct segments of one key from which it is dealt out by windows.
 SHARD_BYTES, KEY_BYTES = 2 << 20, 8 << 20
 #: Segment lists of at most this many rows are broadcast to the texts.
