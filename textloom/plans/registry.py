@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import chunks, evaluation, retrieval, texts, vectors
+from textloom.plans import chunks, evaluation, retrieval, sequences, texts, vectors
 
-MODULES = (vectors, retrieval, chunks, texts, evaluation)
+MODULES = (vectors, retrieval, chunks, texts, evaluation, sequences)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
