@@ -102,6 +102,14 @@ def test_suffix_dedup_against_brute_force(spark, key_bytes):
     assert [tuple(r)[1:] for r in got] == brute_repeats([x.encode() for x in texts], 200)
 
 
+def test_suffix_dedup_of_periods_around_the_grams_of_a_window(spark):
+    rng, width = random.Random(9), suffix_dedup.LENGTH - suffix_dedup.GRAM + 1
+    prose = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    texts = [prose(rng.randint(0, 300)) + (prose(period - 1) + "\n") * times + prose(rng.randint(0, 300)) for period in (width - 1, width, width + 1) for times in (2, 3, 4, 7) for _ in range(4)]
+    got = suffix_dedup.dedup_digests(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == brute_repeats([x.encode() for x in texts], 200)
+
+
 def test_jaccard_join_against_brute_force(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))

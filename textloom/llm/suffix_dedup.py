@@ -68,9 +68,10 @@ def segments(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     # a gram is the smallest of a window if it equals the largest of the smallest around it
     pad = np.zeros(width - 1, dtype=np.uint64)
     least = np.flatnonzero(h == _slide(np.concatenate([pad, k, pad]), width, np.maximum))
-    twice = np.flatnonzero((h[least[1:]] == h[least[:-1]]) & (np.diff(least) < width))
+    # at a distance of width no window holds both, but window p and the next can be of one segment
+    twice = np.flatnonzero((h[least[1:]] == h[least[:-1]]) & (np.diff(least) <= width))
     for p, q in zip(least[twice].tolist(), least[twice + 1].tolist(), strict=True):
-        lo, hi = np.searchsorted(stop, max(0, q - width + 1), "right"), np.searchsorted(start, p, "right")
+        lo, hi = np.searchsorted(stop, max(0, min(p, q - width + 1)), "right"), np.searchsorted(start, p, "right")
         again[lo:hi] |= k[start[lo:hi]] == h[p]
     return k[start].view(np.int64), start.astype(np.int32), (stop - start + length - 1).astype(np.int32), again
 
