@@ -1,6 +1,8 @@
 """Worked cases of scalars, spans, chunkers and statistics."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from textloom.functions import text as T
 from textloom.operators import chunking as C
 from textloom.operators import metrics as M
 from textloom.operators import vocabulary as V
+from textloom.plans import registry
 
 
 def one(spark, column, **values):
@@ -38,6 +41,27 @@ def test_token_f1(spark):
     assert one(spark, T.token_f1(F.col("a"), F.col("b")), a="the", b="fox") == 0
 
 
+def test_token_f1_of_long_texts_and_whole_turns(spark):
+    rng = random.Random(2)
+    pairs = [tuple(" ".join(rng.choice(["ox", "elk", "cow", "yak", "x 1", "x"]) for _ in range(rng.choice([0, 1, 30, 400]))) for _ in "ab") for _ in range(60)]
+
+    def f1(a, b):
+        a, b = Counter(a.split()), Counter(b.split())
+        return 2 * (a & b).total() / (a.total() + b.total()) if a or b else 0
+
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", T.token_f1(F.col("a"), F.col("b")).alias("f")).orderBy("i").collect()
+    assert [r["f"] for r in rows] == pytest.approx([f1(*p) for p in pairs])
+
+
+def test_answers_are_compared_beyond_a_prefix(spark, tmp_path):
+    same = "same words " * 20
+    spark.createDataFrame([(1, 0, "user", same + "red fox"), (1, 1, "assistant", same + "grey owl")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, same + x) for i, x in enumerate(("red", "grey"))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in registry.queries()["answer_f1_whole"](spark, str(tmp_path)).collect()] == [(1, 1, pytest.approx(40 / 42, abs=1e-6), False)]
+    assert registry.queries()["normalize_answers_whole"](spark, str(tmp_path)).select("key").distinct().count() == 2
+
+
+
 def test_dates(spark):
     for text, want in (("July 4, 2020 [EBook #1]", "2020-07-04"), ("4 July 2020", "2020-07-04"), ("July 2020", "2020-07"), ("soon", None)):
         assert one(spark, T.parse_date(F.col("t")), t=text) == want

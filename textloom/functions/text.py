@@ -68,11 +68,14 @@ def ngrams(w: Column, n: int) -> Column:
 
 def token_f1(pred: Column, gold: Column) -> Column:
     """F1 of the token multisets of two normalised answers; 0 if either is empty."""
+
+    def numbered(w: Column) -> Column:
+        # sorted, a token's distance from its first place numbers its copies: multisets become sets
+        return bound(F.array_sort(w), lambda s: F.transform(s, lambda x, i: F.concat(x, F.lit(" "), (i - F.array_position(s, x)).cast("string"))))
+
     def f1(ab: Column) -> Column:
-        a, b = ab["a"], ab["b"]
-        count = lambda arr, w: F.size(F.filter(arr, lambda x: x == w))
-        same = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(count(a, w), count(b, w))).cast("double")
-        return F.coalesce(F.try_divide(2 * same, (F.size(a) + F.size(b)).cast("double")), F.lit(0.0))
+        same = F.size(F.array_intersect(numbered(ab["a"]), numbered(ab["b"]))).cast("double")
+        return F.coalesce(F.try_divide(2 * same, (F.size(ab["a"]) + F.size(ab["b"])).cast("double")), F.lit(0.0))
 
     tokens = (F.filter(F.split(normalize_answer(x), " "), lambda w: w != "").alias(k) for k, x in (("a", pred), ("b", gold)))
     return bound(F.struct(*tokens), f1)

@@ -93,9 +93,18 @@ def required_terms_check(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", reason.alias("reason"))
 
 
-def normalize_answers(spark: SparkSession, d: str) -> DataFrame:
+def _normalized(spark: SparkSession, d: str, label) -> DataFrame:
     ascii_only = F.regexp_replace("text", r"[^\x20-\x7e]", " ")
-    return _docs(spark, d).select("doc_id", F.md5(T.normalize_answer(ascii_only)).alias("digest"), T.label_key(F.substring("text", 1, 30)).alias("key"))
+    return _docs(spark, d).select("doc_id", F.md5(T.normalize_answer(ascii_only)).alias("digest"), T.label_key(label).alias("key"))
+
+
+def normalize_answers(spark: SparkSession, d: str) -> DataFrame:
+    return _normalized(spark, d, F.substring("text", 1, 30))
+
+
+def normalize_answers_whole(spark: SparkSession, d: str) -> DataFrame:
+    """normalize_answers with keys of whole texts, by digest."""
+    return _normalized(spark, d, F.col("text")).withColumn("key", F.md5("key"))
 
 
 def answer_numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -105,13 +114,22 @@ def answer_numbers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", T.normalize_number(T.extract_tag(said, "answer")).alias("value"))
 
 
-def answer_f1(spark: SparkSession, d: str) -> DataFrame:
-    """Token F1 and exact match of neighbouring conversation turns."""
+def _turn_f1(spark: SparkSession, d: str, text) -> DataFrame:
     w = W.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(F.substring("text", 1, 120), r"[^\x20-\x7e]", "x").alias("text")).withColumn("gold", F.lag("text").over(w)).where("gold IS NOT NULL")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(text, r"[^\x20-\x7e]", "x").alias("text")).withColumn("gold", F.lag("text").over(w)).where("gold IS NOT NULL")
     return rows.select("conv_id", "turn", F.round(T.token_f1(F.col("text"), F.col("gold")), 6).alias("f1"), T.exact_match(F.col("text"), F.col("gold")).alias("em"))
 
 
+def answer_f1(spark: SparkSession, d: str) -> DataFrame:
+    """Token F1 and exact match of neighbouring conversation turns, by their first 120 characters."""
+    return _turn_f1(spark, d, F.substring("text", 1, 120))
+
+
+def answer_f1_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Token F1 and exact match of neighbouring conversation turns, whole texts."""
+    return _turn_f1(spark, d, F.col("text"))
+
+
 WORDS = "w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), p AS (SELECT doc_id, i - 1 AS pos, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w))"
 VOC = f"""{WORDS}, c AS (SELECT word, count(*) AS n, min((doc_id, pos)) AS seen FROM p GROUP BY word HAVING count(*) >= 5),
  v AS (SELECT word, n, row_number() OVER (ORDER BY seen) - 1 AS id FROM c QUALIFY id < 500), f AS (SELECT *, n / sum(n) OVER () AS f FROM v)"""
@@ -162,6 +180,10 @@ QUERIES = {
         normalize_answers,
         f"""SELECT doc_id, md5({NORM.format("regexp_replace(text, '[^ -~]', ' ', 'g')")}) AS digest, trim(regexp_replace(lower(text[1:30]), '[^a-z0-9]+', '_', 'g'), '_') AS key FROM documents""",
     ),
+    "normalize_answers_whole": (
+        normalize_answers_whole,
+        f"""SELECT doc_id, md5({NORM.format("regexp_replace(text, '[^ -~]', ' ', 'g')")}) AS digest, md5(trim(regexp_replace(lower(regexp_replace(text, '<[^>]+>', ' ', 'g')), '[^a-z0-9]+', '_', 'g'), '_')) AS key FROM documents""",
+    ),
     "answer_numbers": (
         answer_numbers,
         """SELECT event_id, CASE event_id % 3 WHEN 0 THEN json_extract_string(props, '$.k')::DOUBLE / 4 WHEN 1 THEN ('1' || lpad(json_extract_string(props, '$.k'), 3, '0'))::DOUBLE END AS value FROM events""",
@@ -175,4 +197,13 @@ QUERIES = {
         f AS (SELECT conv_id, turn, sum(least(na, nb)) AS m, sum(na) AS ta, sum(nb) AS tb FROM c GROUP BY ALL)
         SELECT z.conv_id, z.turn, round(CASE WHEN m > 0 THEN 2.0 * m / (ta + tb) ELSE 0 END, 6) AS f1, a = b AS em FROM z LEFT JOIN f USING (conv_id, turn)""",
     ),
+    "answer_f1_whole": (
+        answer_f1_whole,
+        f"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', 'x', 'g') AS t FROM conversations), x AS (SELECT conv_id, turn, {NORM.format("t")} AS a FROM t),
+        y AS (SELECT *, lag(a) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM x), z AS (SELECT * FROM y WHERE b IS NOT NULL),
+        k AS (SELECT conv_id, turn, 'a' AS s, unnest(string_split(a, ' ')) AS w FROM z UNION ALL SELECT conv_id, turn, 'b', unnest(string_split(b, ' ')) FROM z),
+        c AS (SELECT conv_id, turn, w, count(*) FILTER (s = 'a') AS na, count(*) FILTER (s = 'b') AS nb FROM k WHERE w <> '' GROUP BY ALL),
+        f AS (SELECT conv_id, turn, sum(least(na, nb)) AS m, sum(na) AS ta, sum(nb) AS tb FROM c GROUP BY ALL)
+        SELECT z.conv_id, z.turn, round(CASE WHEN m > 0 THEN 2.0 * m / (ta + tb) ELSE 0 END, 6) AS f1, a = b AS em FROM z LEFT JOIN f USING (conv_id, turn)""",
+    ),
 }
