@@ -129,10 +129,19 @@ def headings_detect(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.length(F.regexp_extract("line", HEADING, 1)).cast("long").alias("level"), F.regexp_extract("line", HEADING, 2).alias("title"))
 
 
+def _section_path(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
+    at = lines.select("doc_id", F.col("pos").cast("long").alias("pos"))
+    return S.as_of(at, headings_detect(spark, d).withColumnRenamed("pos", "since"), "doc_id", "pos", "since", "title")
+
+
 def section_path_asof(spark: SparkSession, d: str) -> DataFrame:
     """The last heading at or before every seventh line."""
-    at = _lines(spark, d).where("pos % 7 = 3").select("doc_id", F.col("pos").cast("long").alias("pos"))
-    return S.as_of(at, headings_detect(spark, d).withColumnRenamed("pos", "since"), "doc_id", "pos", "since", "title")
+    return _section_path(spark, d, _lines(spark, d).where("pos % 7 = 3"))
+
+
+def section_path_asof_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The last heading at or before every line."""
+    return _section_path(spark, d, _lines(spark, d))
 
 
 def conversation_turn_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -209,3 +218,6 @@ QUERIES = {
         SELECT conv_id, rn // 2 AS chunk_index, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest, count(*) AS turns FROM r GROUP BY conv_id, rn // 2""",
     ),
 }
+
+# as above, without the cut of its SQL
+QUERIES["section_path_asof_whole"] = (section_path_asof_whole, QUERIES["section_path_asof"][1].replace(" WHERE m.pos % 7 = 3", ""))

@@ -138,9 +138,10 @@ def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("spent < 600").select("conv_id", "turn", F.col("spent").cast("long").alias("spent"))
 
 
-def attention_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Causal softmax of the inner products among eight vectors per head (label), and its row statistics."""
-    e = table(spark, d, "embeddings").withColumn("t", F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).where("t < 8")
+def _attention(spark: SparkSession, d: str, most: int | None) -> DataFrame:
+    """Causal softmax of the inner products among the first most (None: all) vectors per head (label), and its row statistics."""
+    e = table(spark, d, "embeddings").withColumn("t", F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1)
+    e = e if most is None else e.where(F.col("t") < most)
     v = F.transform("embedding", lambda x: x.cast("double"))
     q, k = e.select("label", F.col("t").alias("q"), v.alias("vq")), e.select("label", F.col("t").alias("k"), v.alias("vk"))
     dot = F.aggregate(F.zip_with("vq", "vk", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -148,7 +149,15 @@ def attention_stats(spark: SparkSession, d: str) -> DataFrame:
     row = W.partitionBy("label", "q")
     p = s.withColumn("x", F.exp(F.col("s") - F.max("s").over(row))).withColumn("w", F.col("x") / F.sum("x").over(row))
     pick = lambda cond, w="w": F.avg(F.when(cond, F.col(w)))
-    return p.groupBy("label").agg(F.round(S.entropy(F.col("w")) / 8, 6).alias("mean_entropy"), F.round(pick((F.col("k") == F.col("q") - 1)), 6).alias("prev_token"), F.round(pick((F.col("k") == F.col("q")) & (F.col("q") > 0)), 6).alias("self_score"), F.round(pick((F.col("k") == 0) & (F.col("q") > 0)), 6).alias("sink"))
+    return p.groupBy("label").agg(F.round(S.entropy(F.col("w")) / (F.lit(most) if most else F.count_distinct("q")), 6).alias("mean_entropy"), F.round(pick((F.col("k") == F.col("q") - 1)), 6).alias("prev_token"), F.round(pick((F.col("k") == F.col("q")) & (F.col("q") > 0)), 6).alias("self_score"), F.round(pick((F.col("k") == 0) & (F.col("q") > 0)), 6).alias("sink"))
+
+
+def attention_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _attention(spark, d, 8)
+
+
+def attention_stats_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _attention(spark, d, None)
 
 
 PROPS = """b AS (SELECT event_id, CASE event_id % 6 WHEN 4 THEN 'quotes' WHEN 5 THEN 'cut' WHEN 0 THEN 'none' WHEN 1 THEN 'strip_fences' WHEN 2 THEN 'extract_json_span' ELSE 'trailing_comma_removal' END AS defect,
@@ -209,3 +218,6 @@ QUERIES = {
         SELECT label, round(-sum(w * ln(w)) / 8, 6) AS mean_entropy, round(avg(w) FILTER (k = q - 1), 6) AS prev_token, round(avg(w) FILTER (k = q AND q > 0), 6) AS self_score, round(avg(w) FILTER (k = 0 AND q > 0), 6) AS sink FROM w GROUP BY label""",
     ),
 }
+
+# as above, without the cut of its SQL; the mean is over a label's rows
+QUERIES["attention_stats_whole"] = (attention_stats_whole, QUERIES["attention_stats"][1].replace(" QUALIFY t < 8", "").replace("ln(w)) / 8", "ln(w)) / count(DISTINCT q)"))

@@ -11,6 +11,10 @@ from textloom.operators import vocabulary as V
 from textloom.sources.tables import table
 
 
+#: The reference's default max_vocab, for the _whole queries; the others keep 500 words.
+MAX_VOCAB = 15_000
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
 
@@ -19,22 +23,51 @@ def vocab_counts(spark: SparkSession, d: str) -> DataFrame:
     return V.counts(_docs(spark, d), 5).select("word", "n")
 
 
+def _first_seen(spark: SparkSession, d: str, size: int) -> DataFrame:
+    return V.vocabulary(_docs(spark, d), size, 5).select("word", F.col("id").cast("long").alias("id"), "n", F.round("f", 8).alias("f"))
+
+
 def vocab_first_seen(spark: SparkSession, d: str) -> DataFrame:
-    return V.vocabulary(_docs(spark, d), 500, 5).select("word", F.col("id").cast("long").alias("id"), "n", F.round("f", 8).alias("f"))
+    return _first_seen(spark, d, 500)
+
+
+def vocab_first_seen_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _first_seen(spark, d, MAX_VOCAB)
+
+
+def _subsample(spark: SparkSession, d: str, size: int) -> DataFrame:
+    return V.vocabulary(_docs(spark, d), size, 5).select("word", F.round(V.keep_probability(F.col("f")), 6).alias("p"))
 
 
 def subsample_probs(spark: SparkSession, d: str) -> DataFrame:
-    return V.vocabulary(_docs(spark, d), 500, 5).select("word", F.round(V.keep_probability(F.col("f")), 6).alias("p"))
+    return _subsample(spark, d, 500)
 
 
-def neg_sampling_cdf(spark: SparkSession, d: str) -> DataFrame:
+def subsample_probs_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _subsample(spark, d, MAX_VOCAB)
+
+
+def _cdf(spark: SparkSession, d: str, size: int) -> DataFrame:
     p = F.pow("f", 0.75)
-    v = V.vocabulary(_docs(spark, d), 500, 5).withColumn("p", p / F.sum(p).over(W.partitionBy()))
+    v = V.vocabulary(_docs(spark, d), size, 5).withColumn("p", p / F.sum(p).over(W.partitionBy()))
     return v.select(F.col("id").cast("long").alias("id"), F.round(F.sum("p").over(W.orderBy("id").rowsBetween(W.unboundedPreceding, 0)), 6).alias("cdf"))
 
 
+def neg_sampling_cdf(spark: SparkSession, d: str) -> DataFrame:
+    return _cdf(spark, d, 500)
+
+
+def neg_sampling_cdf_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _cdf(spark, d, MAX_VOCAB)
+
+
 def skipgram_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return V.skipgram_pairs(_docs(spark, d), 3).where("n >= 20")
+    return skipgram_pairs_whole(spark, d).where("n >= 20")
+
+
+def skipgram_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs, however rare."""
+    return V.skipgram_pairs(_docs(spark, d), 3)
 
 
 def char_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -207,3 +240,8 @@ QUERIES = {
         SELECT z.conv_id, z.turn, round(CASE WHEN m > 0 THEN 2.0 * m / (ta + tb) ELSE 0 END, 6) AS f1, a = b AS em FROM z LEFT JOIN f USING (conv_id, turn)""",
     ),
 }
+
+# as above, without the cuts of their SQL
+QUERIES |= {f"{f.__name__}_whole": (g, QUERIES[f.__name__][1].replace("id < 500", f"id < {MAX_VOCAB}").replace(" HAVING count(*) >= 20", "")) for f, g in (
+    (vocab_first_seen, vocab_first_seen_whole), (subsample_probs, subsample_probs_whole), (neg_sampling_cdf, neg_sampling_cdf_whole), (skipgram_pairs, skipgram_pairs_whole),
+)}
