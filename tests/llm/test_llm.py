@@ -166,6 +166,15 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0), df, 10).collect() == []
 
 
+def test_repeated_queries_have_all_their_neighbours(spark):
+    x = np.random.default_rng(2).standard_normal((60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = ann.nearest(df, df.where("vec_id < 3"), 10).orderBy("query_id", "rank").collect()
+    twice = df.where("vec_id < 3").unionAll(df.where("vec_id < 2"))
+    got = ann.nearest(df, twice, 10).orderBy("query_id", "rank").collect()
+    assert got == want and all(len({r["vec_id"] for r in got if r["query_id"] == q}) == 10 for q in range(3))
+
+
 def test_language_and_toxicity(spark):
     rng = random.Random(7)
     en, de = ["the", "house", "and", "green"], ["das", "haus", "und", "gruen"]

@@ -135,7 +135,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
 
     A row is never its own neighbour (rows with the query's id are left out). Null, zero or non-finite
     vectors, null ids and vectors of another than the commonest length take no part. Ties go to the
-    smaller vec_id; with fewer than k candidates all come. Repeated rows are candidates each. Scores are
+    smaller vec_id; with fewer than k candidates all come. Repeated rows are candidates each; a repeated
+    query is asked once. Scores are
     inner products of the original vectors in double precision.
     """
     base = usable(rows, id_col, vector_col)
@@ -144,7 +145,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
         return empty
-    asked = usable(queries, id_col, vector_col).where(F.size("v") == d)
+    # a query that occurs twice would find each candidate twice
+    asked = usable(queries, id_col, vector_col).where(F.size("v") == d).dropDuplicates(["id", "v"])
     trees, blocks = -(-n // tree_rows), max(1, -(-asked.count() // BLOCK_ROWS))
     m, stop_at = PROJECTED, chi_square_quantile(confidence, PROJECTED)
     shape = "d int, sizes binary, ids binary, v binary, low binary, high binary"
