@@ -129,3 +129,10 @@ def test_byte_pairs(spark):
     merges = V.train_bpe(docs, 3)
     assert merges[0] == (0, 97, 97, 256) and len(merges) == 3
     assert one(spark, V.merge_pair(F.col("s"), 97, 97, 256), s=[97, 97, 97, 98]) == [256, 97, 98]
+
+
+@pytest.mark.parametrize("n", [0, 3])
+def test_ngram_floor_of_another_n_is_an_error(spark, n):
+    chars = spark.createDataFrame([(1, i, c, i < 4) for i, c in enumerate("abcabc")], "doc_id long, pos int, c string, train boolean")
+    with pytest.raises(ValueError):
+        V.ngram_floor(chars, n)

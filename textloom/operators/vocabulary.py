@@ -91,7 +91,9 @@ def train_bpe(docs: DataFrame, merges: int, pattern: str = r"\p{L}+|\p{N}+|[^\s\
 
 
 def ngram_floor(chars: DataFrame, n: int) -> DataFrame:
-    """Add-one cross-entropy of held-out characters under n-gram counts of (doc_id, pos, c, train)."""
+    """Add-one cross-entropy of held-out characters under n-gram counts of (doc_id, pos, c, train); n is 1 or 2."""
+    if n not in (1, 2):
+        raise ValueError(f"no floor for n = {n}")
     order = W.partitionBy("doc_id").orderBy("pos")
     v = chars.agg(F.count_distinct("c").alias("v"))
     if n == 1:
