@@ -7,13 +7,16 @@ regions around rare shared shingles:
 
 1. Equal sets become one node. Of each set the smallest hashes, a third, are compared: a document of n
    shingles that has a partner shares at least 1 + ceil(.75 n) // 12 of them with other documents.
-2. For the nodes left, the same count is taken over whole sets (at least .75 n shared shingles), and
-   shingles are ordered rarest first. Two partners share one of their first n - ceil(.75 n) + 1
-   shingles, so each of these is a region that holds both.
-3. A region of more than LEAF nodes chooses pivots. Each node goes to its nearest pivot (a Voronoi
-   region) and, as a boundary node, to the others within the triangle-inequality windows. Nodes that
-   links found so far connect need no test among themselves: a region of one component is done.
-   Regions split until they are leaves, where the pairs of different components are compared.
+2. Over whole sets of the nodes left, shingles are ordered rarest first. The region of a shingle holds
+   the nodes for which it can be the first one shared with a partner. What a node has lost before
+   that place bounds its partner's size: 3 (m + n) <= 7 (n - place) for a partner of m shingles.
+   Nodes whose bound no other node of the region meets leave it.
+3. A region of more than LEAF nodes chooses pivots, and each of its nodes is tested against them, which
+   is linear. What links is one class from then on, and a region of one class is done. The others
+   are split: each node goes to its nearest pivot (a Voronoi region) and, as a boundary node, to the
+   others within the triangle-inequality windows. A region that windows would only copy stays whole,
+   without its pivots. The number of pivots grows from round to round, so every region ends, with no
+   limit to the depth; pairs are formed in regions of at most LEAF nodes only.
 
 No step depends on chance: hashes only order and choose, and every link is verified on whole sets.
 Shingles and nodes are 64-bit hashes; among a billion documents, the chance of one false merge is 3 %.
@@ -29,13 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import cut, fresh
 from textloom.llm.components import components
 from textloom.llm.wordbpe import Cache
 
-#: Nodes of a region that are compared directly; pivots of a larger one; a node list of at most this many rows is broadcast.
+#: Nodes of a region that are compared directly; pivots of a larger one in the first round; a list of at most this many ids or pairs is broadcast.
 LEAF, PIVOTS, BROADCAST_ROWS = 12, 4, 200_000
 
+#: Sets that a task remembers having written.
+SEEN = 200_000
+
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
 
@@ -71,38 +77,30 @@ def _lost(n):
 
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, n): a 64-bit digest of the set, null for an empty one, and the set's size."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = Shingler()
-        for b in batches:
-            found = [sets(t) for t in b.iloc[:, 1]]
-            nodes = pd.array([xxhash.xxh3_64_intdigest(s) - (1 << 63) if len(s) else None for s in found], dtype="Int64")
-            yield pd.DataFrame({"id": b.iloc[:, 0], "node": nodes, "n": [len(s) for s in found]})
-
-    return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(run, f"id {kind}, node long, n long")
-
+    """(id, node, n, h): a 64-bit digest of the set, null for an empty one, its size, and its smallest hashes.
 
-def _smallest(docs: DataFrame, text_col: str) -> DataFrame:
-    """(node, n, h array): of each set the smallest hashes, as many as step 1 needs; a set once a task at most."""
+    h holds as many hashes as step 1 needs; it is null for a set that the task has met before.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets, seen = Shingler(), set()
         for b in batches:
             rows = []
-            for t in b.iloc[:, 0]:
+            for i, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
                 s = sets(t)
                 n = len(s)
-                node = xxhash.xxh3_64_intdigest(s) - (1 << 63)
-                if n and node not in seen:
-                    if len(seen) >= 500_000:
+                node = xxhash.xxh3_64_intdigest(s) - (1 << 63) if n else None
+                new = n and node not in seen
+                if new:
+                    if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(node)
-                    rows.append((node, n, s[: _lost(n) + 1 + n // 12]))
-            yield pd.DataFrame(rows, columns=["node", "n", "h"])
+                rows.append((i, node, n, s[: _lost(n) + 1 + n // 12] if new else None))
+            ids, nodes, sizes, least = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=b.dtypes.iloc[0]), "node": pd.array(nodes, dtype="Int64"), "n": np.array(sizes, dtype=np.int64), "h": pd.Series(least, dtype=object)})
 
-    return docs.select(text_col).mapInPandas(run, "node long, n long, h array<long>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(run, f"id {kind}, node long, n long, h array<long>")
 
 
 def _sets(docs: DataFrame, text_col: str) -> DataFrame:
@@ -117,9 +115,10 @@ def _sets(docs: DataFrame, text_col: str) -> DataFrame:
 
 def _candidates(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Step 1: (node, n, s) with whole sets, of the nodes that can have a partner."""
-    rows = _smallest(docs, text_col).select("node", "n", F.explode("h").alias("h"))
+    rows = nodes.where("h IS NOT NULL").select("node", "n", F.explode("h").alias("h"))
     # a hash met in two different sets; minimum and maximum are pre-aggregated, so a common hash is no hot key
-    shared = rows.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("h")
+    shared = cut(rows.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("h"), "join-shared")
+    # a task writes a set once, others may write it too
     enough = rows.join(shared, "h", "left_semi").groupBy("node", "n").agg(F.count_distinct("h").alias("c")).where("c >= 1 + ceil(0.75 * n) DIV 12").select("node")
     ids = cut(nodes.where("node IS NOT NULL").join(enough, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "join-candidates")
     few = ids.count() <= BROADCAST_ROWS
@@ -133,18 +132,42 @@ def _candidates(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -
 
 
 def _regions(sets: DataFrame) -> DataFrame:
-    """Step 2: (region, node, n), a row for each of a node's rarest shared shingles."""
+    """Step 2: (region, node, n, cap, w): cap is the largest size of a partner met there, w how common the node's shingles are."""
     rows = sets.select("node", F.explode("s").alias("h"))
     often = rows.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
     shared = rows.join(often, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("x"))
-    need = F.ceil(0.75 * F.col("n"))
-    shared = shared.join(sets.select("node", "n"), "node").where(F.size("x") >= need)
-    # of the n - need + 1 rarest, those that no other node has lead to no region
-    first = F.slice("x", F.lit(1), (F.size("x") - need + 1).cast("int"))
-    rare = shared.select("node", "n", F.explode(first).alias("x")).select(F.col("x.h").alias("region"), "node", "n")
+    shared = shared.join(sets.select("node", "n"), "node")
+    # shingles that no other node has are lost before the first place
+    lost = F.col("n") - F.size("x")
+    at = F.transform("x", lambda x, i: F.struct(x["h"].alias("h"), (F.floor(7 * (F.col("n") - lost - i) / 3) - F.col("n")).alias("cap")))
+    w = F.aggregate("x", F.lit(0.0), lambda a, x: a + F.log2(x["f"].cast("double"))) / F.col("n")
+    first = F.filter(at, lambda y: y["cap"] >= F.ceil(0.75 * F.col("n")))
+    rare = shared.select("node", "n", w.alias("w"), F.explode(first).alias("y")).select(F.col("y.h").alias("region"), "node", "n", F.col("y.cap").alias("cap"), "w")
     return cut(rare, "join-regions")
 
 
+def _step(n):
+    """Size classes 2 % wide."""
+    return F.floor(F.log(n.cast("double")) * 50)
+
+
+def _able(state: DataFrame) -> DataFrame:
+    """The rows that another row of the region may be a partner of: m <= cap, and n within that one's cap."""
+    caps = state.groupBy("region", _step(F.col("n")).alias("b")).agg(F.max("cap").alias("cap")).groupBy("region").agg(F.collect_list(F.struct("b", "cap")).alias("caps"))
+    met = F.exists("caps", lambda c: (c["b"] <= _step(F.col("cap"))) & (c["cap"] >= F.col("n")))
+    return state.join(caps, "region").where(met).drop("caps")
+
+
+def _live(state: DataFrame, label: str) -> DataFrame:
+    """(region, m, node, n, cap, w, cls) of the regions of several classes; regions with the same nodes are one."""
+    able = cut(_able(state), f"{label}-able")
+    size = able.groupBy("region").agg(F.count("*").alias("m"), F.min("cls").alias("k"), F.max("cls").alias("l"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)) % 1_000_000_007).alias("y")).where("k <> l")
+    same = size.groupBy("m", "x", "y").agg(F.min("region").alias("to"))
+    name = size.join(same, ["m", "x", "y"]).select("region", "to", "m")
+    rows = able.join(name, "region").groupBy("to", "m", "node").agg(F.max("cap").alias("cap"), F.min("n").alias("n"), F.min("w").alias("w"), F.min("cls").alias("cls"))
+    return cut(rows.withColumnRenamed("to", "region"), label)
+
+
 def _distances(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     """(a, b, d, linked) of distinct pairs, written; d is the Jaccard distance of whole sets.
 
@@ -159,53 +182,62 @@ def _distances(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
     return cut(both.select("a", "b", (1 - F.col("i") / union).alias("d"), (100 * F.col("i") >= 75 * union).alias("linked")), label)
 
 
-def links(sets: DataFrame, leaf: int = LEAF, pivots: int = PIVOTS, max_depth: int = 3) -> DataFrame:
-    """(a, b): links that connect exactly the nodes that all links together connect.
+def links(sets: DataFrame, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
+    """(node, root): the component of each node that has a link; root is its smallest node.
 
     A round tests the pairs of the leaves and the nodes of larger regions against their pivots, joins
-    what is linked into components, and goes on with the regions that still hold several components;
-    regions with the same nodes are one. Few are left after the first round. At max_depth what is
-    left is compared as leaves, so the result is exact at any depth.
+    what is linked into classes, and goes on with the regions that still hold several. It ends when
+    none is left: each region loses its pivots in each round.
     """
     state = _regions(sets).withColumn("cls", F.col("node"))
-    found = None
-    for depth in range(max_depth + 1):
-        size = state.groupBy("region").agg(F.count("*").alias("m"), F.min("cls").alias("k"), F.max("cls").alias("l"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)) % 1_000_000_007).alias("y")).where("k <> l")
-        live = cut(state.join(size.groupBy("m", "x", "y").agg(F.min("region").alias("region")).select("region", "m"), "region"), f"join-live-{depth}")
-        if live.isEmpty():
-            break
-        small = F.lit(True) if depth == max_depth else F.col("m") <= leaf
-        ends, big = live.where(small), live.where(~small)
-        x, y = (ends.select("region", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("cls").alias(f"c{k}")) for k in "ab")
-        pairs = x.join(y, "region").where("a < b AND ca <> cb AND 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")
-        chosen = big.groupBy("region").agg(F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(pivots)])).alias("p"))
-        at = big.join(chosen, "region").select("region", "node", "n", "cls", F.explode("p").alias("p")).where("node <> p")
+    roots, depth = None, 0
+    while not (live := _live(state, f"join-live-{depth}")).isEmpty():
+        ends, big = live.where(F.col("m") <= leaf), live.where(F.col("m") > leaf)
+        x, y = (ends.select("region", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("cap").alias(f"p{k}"), F.col("cls").alias(f"c{k}")) for k in "ab")
+        pairs = x.join(y, "region").where("a < b AND ca <> cb AND nb <= pa AND na <= pb").select("a", "b")
+        chosen = cut(_pivots(big, pivots), f"join-pivots-{depth}")
+        at = big.join(chosen, "region").select("region", "m", "node", "n", "cap", "w", "p").where("node <> p")
         d = _distances(pairs.unionByName(at.select(F.col("node").alias("a"), F.col("p").alias("b"))), sets, f"join-tested-{depth}")
         new = d.where("linked").select("a", "b")
-        found = new if found is None else found.unionByName(new)
-        if depth == max_depth or big.isEmpty():
-            break
+        # what is known is a star around each root, which the next round need not find again
+        found = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(found, f"join-roots-{depth}")
-        far = at.join(d.select(F.col("a").alias("node"), F.col("b").alias("p"), "d", "linked"), ["node", "p"])
-        state = _split(far, chosen).drop("cls").join(roots, "node", "left").select("region", "node", "n", F.coalesce("root", "node").alias("cls"))
-    return found if found is not None else sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        far = at.join(d.select(F.col("a").alias("node"), F.col("b").alias("p"), "d"), ["node", "p"])
+        state = _split(far, chosen).join(roots, "node", "left").select("region", "node", "n", "cap", "w", F.coalesce("root", "node").alias("cls"))
+        depth, pivots = depth + 1, 8 * pivots
+    return roots if roots is not None else sets.select("node", F.col("node").alias("root")).limit(0)
+
+
+def _pivots(big: DataFrame, pivots: int) -> DataFrame:
+    """(region, p): up to pivots nodes outside the region's largest class, as only they need a test with it, and one more.
+
+    That one is the node whose shingles are the commonest, the middle of most groups of copies.
+    """
+    classes = big.groupBy("region", "cls").agg(F.count("*").alias("c"))
+    top = classes.groupBy("region").agg(F.max_by("cls", F.struct("c", "cls")).alias("top"))
+    middle = big.groupBy("region").agg(F.min_by("node", F.struct(-F.col("w"), F.xxhash64("node"))).alias("p"))
+    order = F.xxhash64("node", F.lit(pivots))
+    others = big.join(top, "region").where("cls <> top").groupBy("region", F.pmod(order, F.lit(pivots))).agg(F.min_by("node", order).alias("p"))
+    return middle.unionByName(others.select("region", "p")).distinct()
 
 
 def _split(far: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Step 3: the Voronoi regions with boundary copies, from distances (region, node, n, cls, p, d, linked) to pivots.
+    """Step 3: (region, node, n, cap, w) of the Voronoi regions with boundary copies, from distances (.., p, d) to pivots.
 
-    Pivots have met all of their region and go no further.
+    Pivots have met all of their region and go no further. A region that would have more than half as
+    many copies as nodes stays whole.
     """
     r = 0.25
-    per = far.groupBy("region", "node", "n", "cls").agg(F.array_sort(F.collect_list(F.struct("d", "p", "linked"))).alias("x")).join(chosen, "region").where(~F.array_contains("p", F.col("node"))).drop("p")
+    per = far.groupBy("region", "m", "node").agg(F.min("n").alias("n"), F.min("cap").alias("cap"), F.min("w").alias("w"), F.array_sort(F.collect_list(F.struct("d", "p"))).alias("x"))
+    per = per.join(chosen.select("region", F.col("p").alias("node")), ["region", "node"], "left_anti")
     home = F.element_at("x", 1)
-    # nodes linked to their nearest pivot form one class with it
-    per = per.select("region", "node", "n", F.when(home["linked"], home["p"]).otherwise(F.col("cls")).alias("cls"), home.alias("home"), "x")
-    copies = per.select("region", "node", "n", "cls", "home", F.explode("x").alias("to")).select("region", "node", "n", "cls", F.col("home.d").alias("h"), F.col("home.p").alias("own"), F.col("to.p").alias("p"), F.col("to.d").alias("d"))
+    copies = per.select("region", "m", "node", "n", "cap", "w", home["d"].alias("h"), home["p"].alias("own"), F.explode("x").alias("to")).select("region", "m", "node", "n", "cap", "w", "h", "own", F.col("to.p").alias("p"), F.col("to.d").alias("d"))
     reach = copies.where("own = p").groupBy("region", "p").agg(F.max("d").alias("radius"))
     # a partner of a node at home at p, within its radius, is within radius + r of p; and no farther from p than from its own pivot by 2 r
-    inside = copies.join(reach, ["region", "p"]).where(F.col("d") <= F.least(F.col("radius") + r, F.col("h") + 2 * r) + 1e-9)
-    return inside.select(F.xxhash64("region", "p").alias("region"), "node", "n", "cls").distinct()
+    inside = cut(copies.join(reach, ["region", "p"]).where(F.col("d") <= F.least(F.col("radius") + r, F.col("h") + 2 * r) + 1e-9), "join-inside")
+    whole = inside.groupBy("region", "m").agg(F.count("*").alias("c")).select("region", (F.col("c") > 1.5 * F.col("m")).alias("whole"))
+    to = F.when(F.col("whole"), F.col("region")).otherwise(F.xxhash64("region", "p"))
+    return inside.join(whole, "region").where("NOT whole OR own = p").select(to.alias("region"), "node", "n", "cap", "w")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,10 +245,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null or empty text, or one of white space, has 0 shingles and is linked with nothing. Equal
     texts are linked. Rows with a null id count for links; their component_id is the smallest
-    id that is not null, if any. Repeated rows each give a row; other columns are not read.
+    id that is not null, if any. Repeated rows each give a row; other columns are not read. A very
+    long text is one set like others; an empty table gives an empty result.
     """
     nodes = cut(_nodes(docs, id_col, text_col), "join-nodes")
-    roots = components(links(_candidates(docs, nodes, id_col, text_col)), "join-components")
+    roots = links(_candidates(docs, nodes, id_col, text_col))
     full = cut(nodes.where("node IS NOT NULL").join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root")), "join-roots")
     # copies are merged before they meet; a hot component costs a row a task
     least = full.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -231,5 +264,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows that share an id are one document and stay or go together; rows without an id can't be told apart and stay.
     """
     found = near_duplicates(docs, id_col, text_col)
-    lost = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_lost")).distinct()
-    return docs.join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
+    name = fresh(docs.columns, "lost")
+    lost = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(lost, F.col(id_col) == F.col(name), "left_anti")
