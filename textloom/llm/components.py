@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import cut
 
 
-_FIGURES = F.expr("count(*)"), F.expr("sum(pmod(xxhash64(u, v), 2147483648))")
+def _figures(edges: DataFrame):
+    return edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
 
 
 def components(links: DataFrame, label: str = "components", max_rounds: int = 60) -> DataFrame:
@@ -20,7 +21,7 @@ def components(links: DataFrame, label: str = "components", max_rounds: int = 60
     serves hub nodes; the join back to a hub is split by AQE. Links from a node to itself are ignored.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
-    seen = edges.agg(*_FIGURES).first()
+    seen = _figures(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -29,7 +30,7 @@ def components(links: DataFrame, label: str = "components", max_rounds: int = 60
         # u keeps its smallest neighbour; the other smaller ones hang on that as well
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = cut(small, label)
-        now = edges.agg(*_FIGURES).first()
+        now = _figures(edges)
         if now == seen:
             break
         seen = now

@@ -135,14 +135,14 @@ def _regions(sets: DataFrame) -> DataFrame:
     """Step 2: (region, node, n, cap, w): cap is the largest size of a partner met there, w how common the node's shingles are."""
     rows = sets.select("node", F.explode("s").alias("h"))
     often = rows.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
-    shared = rows.join(often, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("x"))
-    shared = shared.join(sets.select("node", "n"), "node")
-    # shingles that no other node has are lost before the first place
+    weight = F.sum(F.log2(F.col("f").cast("double")))
+    shared = rows.join(often, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("x"), weight.alias("w"))
+    shared = shared.join(sets.select("node", "n"), "node").withColumn("w", F.col("w") / F.col("n"))
+    # shingles that no other node has are lost before the first place; beyond a quarter of n no partner is left
     lost = F.col("n") - F.size("x")
-    at = F.transform("x", lambda x, i: F.struct(x["h"].alias("h"), (F.floor(7 * (F.col("n") - lost - i) / 3) - F.col("n")).alias("cap")))
-    w = F.aggregate("x", F.lit(0.0), lambda a, x: a + F.log2(x["f"].cast("double"))) / F.col("n")
-    first = F.filter(at, lambda y: y["cap"] >= F.ceil(0.75 * F.col("n")))
-    rare = shared.select("node", "n", w.alias("w"), F.explode(first).alias("y")).select(F.col("y.h").alias("region"), "node", "n", F.col("y.cap").alias("cap"), "w")
+    first = F.slice("x", F.lit(1), F.greatest(F.lit(0), F.floor(F.col("n") / 4) - lost + 1).cast("int"))
+    at = F.transform(first, lambda x, i: F.struct(x["h"].alias("h"), (F.floor(7 * (F.col("n") - lost - i) / 3) - F.col("n")).alias("cap")))
+    rare = shared.select("node", "n", "w", F.explode(at).alias("y")).select(F.col("y.h").alias("region"), "node", "n", F.col("y.cap").alias("cap"), "w")
     return cut(rare, "join-regions")
 
 
