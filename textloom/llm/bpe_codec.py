@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from textloom.llm.wordbpe import Cache, WordVocab, byte_chars, vocab
 
 NEVER = 1 << 60
+#: Pairs of tokens whose compatibility a worker remembers.
+PAIRS = 300_000
 
 
 class Codec:
@@ -87,7 +89,7 @@ class Codec:
                         return True
 
     def compatible(self, a: int, b: int) -> bool:
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         out = self.pairs[a << 20 | b] = self._compatible(a, b)
         return out

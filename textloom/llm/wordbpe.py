@@ -12,8 +12,8 @@ import json
 import re
 import unicodedata
 
-#: Entries of one generation of a worker's cache.
-CACHE_ENTRIES = 300_000
+#: Entries of one generation of a worker's cache, and the longest key that is kept: two generations take 30 MB at most.
+CACHE_ENTRIES, CACHE_KEY = 50_000, 100
 
 # Texts with other characters than these take the library's own normaliser and splitter, as
 # Unicode versions differ outside these blocks; so do texts with control separators.
@@ -120,13 +120,18 @@ def vocab(path: str) -> WordVocab:
 
 
 class Cache(dict):
-    """key -> make(key). Two generations of at most limit entries: what is used stays, what isn't goes."""
+    """key -> make(key). Two generations of at most limit entries: what is used stays, what isn't goes.
+
+    Results for keys over CACHE_KEY characters are not kept.
+    """
 
     def __init__(self, make, limit: int = CACHE_ENTRIES):
         super().__init__()
         self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
+        if len(key) > CACHE_KEY:
+            return self.make(key)
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
