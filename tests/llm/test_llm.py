@@ -76,7 +76,12 @@ def test_suffix_array_and_prefixes():
         n, k = rng.randint(1, 50), rng.choice([1, 2, 9])
         t = np.array([rng.choice([1, *[rng.randint(2, k + 1)] * 6]) for _ in range(n)] + [1, 0])
         want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
-        assert sais.suffix_array(t).tolist() == want == sais._by_doubling(t).tolist()
+        assert sais.suffix_array(t).tolist() == want
+        s = sais._types(t)
+        lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+        assert sais._induce(t, k + 2, s, lms).tolist() == sais._induce_by_symbol(t, k + 2, s, lms).tolist()
+    large = np.append(np.array([rng.randint(1, 3) for _ in range(3000)]) * 300, 0)  # an alphabet over SMALL at every level
+    assert sais.suffix_array(large).tolist() == sorted(range(len(large)), key=lambda i: large[i:].tolist())
 
 
 def brute_repeats(texts, length):

@@ -1,10 +1,9 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are S (smaller than the next) or L. The leftmost S suffixes (LMS) are sorted by their
-substrings, named, and the string of names is sorted in its turn; all others are induced from them
-in two linear scans, a whole bucket at a time in numpy. That pays for small alphabets; a string of
-names over a large one is a third as long at most and is sorted by doubling ranks, as inducing it
-symbol by symbol in Python took four fifths of the time.
+substrings, named, and the string of names is sorted in its turn by the same function; all others
+are induced from them in two linear scans. Over bytes the scans take a whole bucket at a time in
+numpy; over the names of a deeper level, whose buckets are short, they go symbol by symbol.
 """
 
 from __future__ import annotations
@@ -20,17 +19,47 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n, k = len(t), int(t.max()) + 1
     if n == 1:
         return np.zeros(1, dtype=np.int64)
-    if k > SMALL:
-        return _by_doubling(t)
     s = _types(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    order = _induce(t, k, s, lms)
+    induce = _induce if k <= SMALL else _induce_by_symbol
+    order = induce(t, k, s, lms)
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
     order = order[is_lms[order]]
     names, count = _names(t, lms, order)
     sub = np.argsort(names) if count == len(lms) else suffix_array(names)
-    return _induce(t, k, s, lms[sub])
+    return induce(t, k, s, lms[sub])
+
+
+def _induce_by_symbol(t: np.ndarray, k: int, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """As _induce: each scan looks at the symbol before a place, if its suffix is of the scan's type."""
+    n = len(t)
+    size = np.bincount(t, minlength=k)
+    tails = np.cumsum(size)
+    heads = tails - size
+    # the given suffixes go to the ends of their buckets, in order
+    by = lms[np.argsort(t[lms], kind="stable")]
+    given = np.bincount(t[by], minlength=k)
+    sa = np.full(n, n, dtype=np.int64)
+    sa[np.arange(len(by)) + (tails - np.cumsum(given))[t[by]]] = by
+    sa = sa.tolist()
+    # place -> symbol of the suffix before it, or -1; place n stands for none
+    before = np.full(n + 1, -1, dtype=np.int64)
+    before[1:n] = t[:-1]
+    low = before.copy()
+    low[1:n][s[:-1]] = -1
+    low, at = low.tolist(), heads.tolist()
+    for i in sa:
+        if (x := low[i]) >= 0:
+            sa[at[x]] = i - 1
+            at[x] += 1
+    before[1:n][~s[:-1]] = -1
+    high, at = before.tolist(), tails.tolist()
+    for i in reversed(sa):
+        if (x := high[i]) >= 0:
+            at[x] -= 1
+            sa[at[x]] = i - 1
+    return np.array(sa, dtype=np.int64)
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -112,22 +141,6 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     return named[lms], int(len(order) - same.sum())
 
 
-def _by_doubling(t: np.ndarray) -> np.ndarray:
-    """The suffix array of a string over a large alphabet: ranks of 1, 2, 4, ... symbols until all differ."""
-    n, step = len(t), 1
-    rank = t.astype(np.int64)
-    while True:
-        key = rank * (int(rank.max()) + 2)
-        key[:-step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.cumsum(np.append(0, key[1:] != key[:-1]))
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        step *= 2
-
-
 def common_prefixes(t: np.ndarray, sa: np.ndarray, room: np.ndarray) -> np.ndarray:
     """For each place of the text, the common prefix with its neighbour before it in the suffix array, at most room.
 

@@ -23,14 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import cut, fresh
 from textloom.llm.sais import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 32
 #: Bytes of one shard's text; bytes of distinct segments of one key from which it is dealt out by windows.
-SHARD_BYTES, KEY_BYTES = 2 << 20, 8 << 20
-#: Segment lists of at most this many rows are broadcast to the texts.
-BROADCAST_ROWS = 300_000
+SHARD_BYTES, KEY_BYTES = 1 << 20, 8 << 20
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240101)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -168,7 +166,7 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, shard
     """(t, spans): for the digest t = xxhash64(text) of each text that has repeats, the byte spans to remove (not yet merged)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     known = docs.select(F.xxhash64(text).alias("t"), text.alias("text"))
-    members = _members(known.where(F.octet_length("text") >= length), length)
+    members = cut(_members(known.where(F.octet_length("text") >= length), length), "suffix-all")
     # minimum and maximum of the segment digest tell whether a key has one segment or several to compare
     keys = members.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("x"), F.max("c").alias("y"), F.max("again").alias("again"))
     keys = keys.where("m > 1 OR again").select("key", ((F.col("x") != F.col("y")) | F.col("again")).alias("several"))
@@ -177,15 +175,15 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, shard
     each = cut(each.select("key", "c", "size", "n", "at.*", "several"), "suffix-segments")
     distinct = each.where("several")
     weight = distinct.groupBy("key").agg(F.sum("size").alias("bytes"))
-    rows, total = distinct.agg(F.count("*"), F.sum("size")).first()
+    total = distinct.agg(F.sum("size")).first()[0]
     over = weight.where(F.col("bytes") > key_bytes).select("key")
     shards = max(1, -(-(total or 0) // shard_bytes))
     wanted = distinct.select("t", "key", "c", "size", "n", "start")
     lists = wanted.groupBy("t").agg(F.collect_list(F.struct("key", "c", "size", "n", "start")).alias("w"))
-    lists = F.broadcast(lists) if rows <= BROADCAST_ROWS else lists
-    pieces = known.join(lists, "t").mapInPandas(_cut_out, "key long, c long, size int, n long, bytes binary")
+    # copies of a text are merged, a task at a time and then for good, in the shuffle that the join needs
+    once = known.groupBy("t").agg(F.first("text").alias("text"))
+    pieces = cut(once.join(lists, "t").mapInPandas(_cut_out, "key long, c long, size int, n long, bytes binary"), "suffix-pieces")
     if over.count():
-        pieces = cut(pieces, "suffix-pieces")
         by_window = [_by_window(pieces.join(over, "key", "left_semi"), length)]
         pieces = pieces.join(over, "key", "left_anti")
     else:
@@ -230,8 +228,9 @@ def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def _marked(docs: DataFrame, text_col: str, length: int, **limits) -> DataFrame:
     """docs with the spans of each row's text in a new last column."""
-    found = repeats(docs, text_col, length, **limits).withColumnRenamed("t", "_t").withColumnRenamed("spans", "_spans")
-    return docs.join(found, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_t"), "left").drop("_t")
+    t, spans = fresh(docs.columns, "t"), fresh(docs.columns, "spans")
+    found = repeats(docs, text_col, length, **limits).select(F.col("t").alias(t), F.col("spans").alias(spans))
+    return docs.join(found, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(t), "left").drop(t)
 
 
 def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **limits) -> DataFrame:
@@ -253,7 +252,7 @@ def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _marked(docs.select(F.col(id_col), F.col(text_col)), text_col, length, **limits)
-    return rows.select(F.col(id_col), digest(F.col(text_col), F.col("_spans")).alias("d")).select(id_col, "d.*")
+    return rows.select(F.col(id_col), digest(F.col(text_col), F.col(rows.columns[-1])).alias("d")).select(id_col, "d.*")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, **limits) -> DataFrame:
@@ -265,4 +264,5 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
             yield pd.Series([text if s is None or text is None else _kept(text.encode(), merged(s)).decode("utf-8", "ignore") for text, s in zip(texts, spans, strict=True)], dtype=object)
 
     rows = _marked(docs, text_col, length, **limits)
-    return rows.withColumn(text_col, rest(F.col(text_col), F.col("_spans"))).drop("_spans")
+    spans = rows.columns[-1]
+    return rows.withColumn(text_col, rest(F.col(text_col), F.col(spans))).drop(spans)
