@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,14 +17,62 @@ def sign_test(b: int, c: int) -> float:
     return 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(max(b, c), n + 1)) / 2**n)
 
 
+def _upper_tail(n: Column, least: Column) -> Column:
+    """Sum of C(n, i) / 2^n for i from least to n; terms run in logarithms, so any n will do."""
+    start = F.struct((n * F.lit(math.log(0.5))).alias("t"), F.lit(0.0).alias("s"))
+
+    def step(acc: Column, i: Column) -> Column:
+        ratio = F.when(i < n, F.log((n - i).cast("double")) - F.log((i + 1).cast("double"))).otherwise(0.0)
+        return F.struct((acc["t"] + ratio).alias("t"), (acc["s"] + F.when(i >= least, F.exp(acc["t"])).otherwise(0.0)).alias("s"))
+
+    return F.aggregate(F.sequence(F.lit(0), n.cast("int")), start, step)["s"]
+
+
 def sign_test_column(b: Column, c: Column) -> Column:
-    """The same in an expression, up to about a thousand pairs: terms of the binomial by a running product."""
+    """sign_test in an expression."""
     n = b + c
-    # from C(n, 0) / 2^n on, term i + 1 is term i * (n - i) / (i + 1); the tail from max(b, c) is summed
-    start = F.struct(F.pow(F.lit(0.5), n).alias("t"), F.lit(0.0).alias("s"))
-    step = lambda acc, i: F.struct((acc["t"] * (n - i) / (i + 1)).alias("t"), (acc["s"] + F.when(i >= F.greatest(b, c), acc["t"]).otherwise(0.0)).alias("s"))
-    total = F.aggregate(F.sequence(F.lit(0), n.cast("int")), start, step)["s"]
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * total))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * _upper_tail(n, F.greatest(b, c))))
+
+
+def one_sided_tail(b: Column, c: Column) -> Column:
+    """The chance of at least as many as the larger of b and c among b + c fair draws; 1 without any."""
+    return F.when(b + c == 0, 1.0).otherwise(F.least(F.lit(1.0), _upper_tail(b + c, F.greatest(b, c))))
+
+
+def noise_margin(p: Column, n: Column) -> Column:
+    """Two standard errors of a share."""
+    return 2 * F.sqrt(p * (1 - p) / n)
+
+
+def bonferroni_level(m: int, alpha: float = 0.05) -> float:
+    if m < 1:
+        raise ValueError("m must be 1 or more")
+    return 1 - alpha / m
+
+
+def min_detectable_effect(d: Column, level: float = 0.95) -> Column:
+    """Aggregate: z times the standard error of the mean of paired differences."""
+    return F.lit(NormalDist().inv_cdf(1 - (1 - level) / 2)) * F.stddev_samp(d) / F.sqrt(F.count(d))
+
+
+def cluster_bootstrap(rows: DataFrame, value: str, cluster: str, draws: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """As bootstrap, but whole clusters are drawn: the sum of their sums over the sum of their counts."""
+    each = rows.groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("x"), F.count(value).alias("n"))
+    drawn = each.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson(hash_uniform(seed, cluster, "draw")))
+    means = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("x")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
+    tail = (1 - level) / 2
+    ends = means.agg(F.round(F.percentile("m", F.lit(tail)), 6).alias("low"), F.round(F.percentile("m", F.lit(1 - tail)), 6).alias("high"))
+    return ends.crossJoin(each.agg(F.round(F.sum("x") / F.sum("n"), 6).alias("mean"), F.count("*").alias("clusters")))
+
+
+def poisson(u: Column) -> Column:
+    """The inverse distribution function of Poisson(1), up to 8."""
+    cdf, p, steps = 0.0, math.exp(-1), []
+    for k in range(8):
+        cdf += p
+        steps.append(cdf)
+        p /= k + 1
+    return sum((u >= F.lit(s)).cast("int") for s in steps)
 
 
 def entropy(p: Column) -> Column:
@@ -36,15 +85,7 @@ def bootstrap(rows: DataFrame, value: str, id_col: str, draws: int = 200, seed:
     Every row weighs itself in each draw, so no row number and no shuffle of the rows is needed; draws
     are pre-aggregated to one sum and weight per task.
     """
-    u = hash_uniform(seed, id_col, "draw")
-    # inverse distribution function of Poisson(1)
-    cdf, p, steps = 0.0, math.exp(-1), []
-    for k in range(8):
-        cdf += p
-        steps.append(cdf)
-        p /= k + 1
-    weight = sum((u >= F.lit(s)).cast("int") for s in steps)
-    each = rows.select(F.col(id_col), F.col(value).cast("double").alias("x")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight)
+    each = rows.select(F.col(id_col), F.col(value).cast("double").alias("x")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson(hash_uniform(seed, id_col, "draw")))
     means = each.groupBy("draw").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
     tail = (1 - level) / 2
     return means.agg(F.round(F.percentile("m", F.lit(tail)), 6).alias("low"), F.round(F.percentile("m", F.lit(1 - tail)), 6).alias("high")).crossJoin(rows.agg(F.round(F.avg(value), 6).alias("mean")))
