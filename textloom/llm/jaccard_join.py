@@ -15,8 +15,9 @@ regions around rare shared shingles:
    is linear. What links is one class from then on, and a region of one class is done. The others
    are split: each node goes to its nearest pivot (a Voronoi region) and, as a boundary node, to the
    others within the triangle-inequality windows. A region that windows would only copy stays whole,
-   without its pivots. The number of pivots grows from round to round, so every region ends, with no
-   limit to the depth; pairs are formed in regions of at most LEAF nodes only.
+   without its pivots. In later rounds more nodes outside the largest class are tested as pivots too,
+   where size and place allow a link, so every region ends, with no limit to the depth; pairs are
+   formed in regions of at most LEAF nodes only.
 
 No step depends on chance: hashes only order and choose, and every link is verified on whole sets.
 Shingles and nodes are 64-bit hashes; among a billion documents, the chance of one false merge is 3 %.
@@ -195,30 +196,37 @@ def links(sets: DataFrame, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
         ends, big = live.where(F.col("m") <= leaf), live.where(F.col("m") > leaf)
         x, y = (ends.select("region", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("cap").alias(f"p{k}"), F.col("cls").alias(f"c{k}")) for k in "ab")
         pairs = x.join(y, "region").where("a < b AND ca <> cb AND nb <= pa AND na <= pb").select("a", "b")
-        chosen = cut(_pivots(big, pivots), f"join-pivots-{depth}")
-        at = big.join(chosen, "region").select("region", "m", "node", "n", "cap", "w", "p").where("node <> p")
-        d = _distances(pairs.unionByName(at.select(F.col("node").alias("a"), F.col("p").alias("b"))), sets, f"join-tested-{depth}")
+        chosen = cut(_pivots(big, pivots, 8**depth), f"join-pivots-{depth}")
+        at = big.join(chosen, "region").where("node <> p")
+        # distances to the Voronoi pivots place a node; another pivot is tested where it can be a partner
+        near = at.where("voronoi OR cls <> pc AND pn <= cap AND n <= pp")
+        d = _distances(pairs.unionByName(near.select(F.col("node").alias("a"), F.col("p").alias("b"))), sets, f"join-tested-{depth}")
         new = d.where("linked").select("a", "b")
         # what is known is a star around each root, which the next round need not find again
         found = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(found, f"join-roots-{depth}")
-        far = at.join(d.select(F.col("a").alias("node"), F.col("b").alias("p"), "d"), ["node", "p"])
+        far = at.where("voronoi").select("region", "m", "node", "n", "cap", "w", "p").join(d.select(F.col("a").alias("node"), F.col("b").alias("p"), "d"), ["node", "p"])
         state = _split(far, chosen).join(roots, "node", "left").select("region", "node", "n", "cap", "w", F.coalesce("root", "node").alias("cls"))
-        depth, pivots = depth + 1, 8 * pivots
+        depth += 1
     return roots if roots is not None else sets.select("node", F.col("node").alias("root")).limit(0)
 
 
-def _pivots(big: DataFrame, pivots: int) -> DataFrame:
-    """(region, p): up to pivots nodes outside the region's largest class, as only they need a test with it, and one more.
+def _pivots(big: DataFrame, voronoi: int, more: int) -> DataFrame:
+    """(region, p, pn, pp, pc, voronoi): pivots with size, cap and class.
 
-    That one is the node whose shingles are the commonest, the middle of most groups of copies.
+    voronoi of them make regions: the node whose shingles are the commonest, the middle of most groups
+    of copies, and nodes outside the region's largest class, as only those need a test with it. Up to
+    voronoi * (more - 1) further ones of these are tested in the same round.
     """
     classes = big.groupBy("region", "cls").agg(F.count("*").alias("c"))
     top = classes.groupBy("region").agg(F.max_by("cls", F.struct("c", "cls")).alias("top"))
-    middle = big.groupBy("region").agg(F.min_by("node", F.struct(-F.col("w"), F.xxhash64("node"))).alias("p"))
-    order = F.xxhash64("node", F.lit(pivots))
-    others = big.join(top, "region").where("cls <> top").groupBy("region", F.pmod(order, F.lit(pivots))).agg(F.min_by("node", order).alias("p"))
-    return middle.unionByName(others.select("region", "p")).distinct()
+    it = F.struct("node", "n", "cap", "cls")
+    middle = big.groupBy("region").agg(F.min_by(it, F.struct(-F.col("w"), F.xxhash64("node"))).alias("x")).withColumn("voronoi", F.lit(True))
+    order = F.xxhash64("node", F.lit(more))
+    bucket = F.pmod(order, F.lit(voronoi * more))
+    others = big.join(top, "region").where("cls <> top").groupBy("region", bucket.alias("b")).agg(F.min_by(it, order).alias("x"))
+    both = middle.unionByName(others.select("region", "x", (F.col("b") < voronoi - 1).alias("voronoi")))
+    return both.groupBy("region", "x").agg(F.max("voronoi").alias("voronoi")).select("region", F.col("x.node").alias("p"), F.col("x.n").alias("pn"), F.col("x.cap").alias("pp"), F.col("x.cls").alias("pc"), "voronoi")
 
 
 def _split(far: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -228,7 +236,7 @@ def _split(far: DataFrame, chosen: DataFrame) -> DataFrame:
     many copies as nodes stays whole.
     """
     r = 0.25
-    per = far.groupBy("region", "m", "node").agg(F.min("n").alias("n"), F.min("cap").alias("cap"), F.min("w").alias("w"), F.array_sort(F.collect_list(F.struct("d", "p"))).alias("x"))
+    per = far.groupBy("region", "m", "node").agg(F.min("n").alias("n"), F.min("cap").alias("cap"), F.min("w").alias("w"), F.sort_array(F.collect_list(F.struct("d", "p"))).alias("x"))
     per = per.join(chosen.select("region", F.col("p").alias("node")), ["region", "node"], "left_anti")
     home = F.element_at("x", 1)
     copies = per.select("region", "m", "node", "n", "cap", "w", home["d"].alias("h"), home["p"].alias("own"), F.explode("x").alias("to")).select("region", "m", "node", "n", "cap", "w", "h", "own", F.col("to.p").alias("p"), F.col("to.d").alias("d"))
