@@ -57,8 +57,8 @@ def test_answers_are_compared_beyond_a_prefix(spark, tmp_path):
     same = "same words " * 20
     spark.createDataFrame([(1, 0, "user", same + "red fox"), (1, 1, "assistant", same + "grey owl")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     spark.createDataFrame([(i, same + x) for i, x in enumerate(("red", "grey"))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [tuple(r) for r in registry.queries()["answer_f1_whole"](spark, str(tmp_path)).collect()] == [(1, 1, pytest.approx(40 / 42, abs=1e-6), False)]
-    assert registry.queries()["normalize_answers_whole"](spark, str(tmp_path)).select("key").distinct().count() == 2
+    assert [tuple(r) for r in registry.queries()["answer_f1"](spark, str(tmp_path)).collect()] == [(1, 1, pytest.approx(40 / 42, abs=1e-6), False)]
+    assert registry.queries()["normalize_answers"](spark, str(tmp_path)).select("key").distinct().count() == 2
 
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.vector import dot, unit
 
-#: Query or centroid tables of at most this many rows are broadcast; larger ones are joined in blocks by Spark.
+#: Query or centroid tables of at most this many rows are broadcast; larger query sets are taken in blocks.
 BROADCAST_ROWS = 20_000
 
 
@@ -22,11 +27,63 @@ def unit_rows(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.select(id_col, *keep, unit(F.col(vector_col)).alias("u"))
 
 
+def blocks(queries: DataFrame, id_col: str = "vec_id") -> list[DataFrame]:
+    """queries in parts of about BROADCAST_ROWS rows at most, each to be met with all rows in a pass of its own."""
+    n = queries.count()
+    parts = -(-n // (BROADCAST_ROWS // 2)) if n > BROADCAST_ROWS else 1
+    return [queries.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [queries]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def scores(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score[, label]) of every query with every row; queries are a stated, counted set."""
-    q = small(queries.select(F.col("vec_id").alias("query_id"), F.col("u").alias("q")))
+    """(query_id, vec_id, score[, label]) of every query with every row; queries are a stated set, taken in blocks."""
     extra = ["label"] if "label" in rows.columns else []
-    return rows.crossJoin(q).select("query_id", "vec_id", *extra, F.round(dot("u", "q"), 6).alias("score"))
+
+    def block(part: DataFrame) -> DataFrame:
+        q = F.broadcast(part.select(F.col("vec_id").alias("query_id"), F.col("u").alias("q")))
+        return rows.crossJoin(q).select("query_id", "vec_id", *extra, F.round(dot("u", "q"), 6).alias("score"))
+
+    return _union([block(p) for p in blocks(queries)])
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+
+
+def search(queries: DataFrame, rows: DataFrame, k: int, others: bool = False) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k best rows of each query by inner product, exactly, ties to the smaller id.
+
+    A block of queries, bounded by BROADCAST_ROWS, is a matrix that every task multiplies with its
+    batches of rows; only what can be among a query's k best of a batch leaves the task. others leaves
+    out the query's own id. Null vectors take no part.
+    """
+    rows, queries = (x.select("vec_id", "u").where("u IS NOT NULL") for x in (rows, queries))
+
+    def block(part: DataFrame) -> DataFrame:
+        asked = part.collect()
+        if not asked:
+            return rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+        shared = rows.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in asked]), _matrix(r["u"] for r in asked)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = shared.value
+            for b in batches:
+                if not len(b):
+                    continue
+                v = b["vec_id"].to_numpy()
+                s = np.round(_matrix(b["u"]) @ q.T, 6)
+                if others:
+                    s[v[:, None] == ids[None, :]] = -np.inf
+                least = np.partition(s, -k, axis=0)[-k] if len(v) > k else np.full(len(ids), -np.inf)
+                i, j = np.nonzero((s >= least) & (s > -np.inf))
+                yield pd.DataFrame({"query_id": ids[j], "vec_id": v[i], "score": s[i, j]})
+
+        return rows.mapInPandas(run, "query_id long, vec_id long, score double")
+
+    return top_k(_union([block(p) for p in blocks(queries)]), k)
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "vec_id") -> DataFrame:
@@ -35,19 +92,46 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def assign(rows: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(vec_id, cid, score): the nearest centroid of each row, ties to the smaller cid; no shuffle but one aggregate."""
-    c = small(centroids.select("cid", F.col("u").alias("c")))
-    scored = rows.crossJoin(c).select("vec_id", "cid", F.round(dot("u", "c"), 6).alias("s"))
-    best = scored.groupBy("vec_id").agg(F.max(F.struct("s", (-F.col("cid")).alias("n"))).alias("b"))
-    return best.select("vec_id", (-F.col("b.n")).alias("cid"), F.col("b.s").alias("score"))
-
+def assign(rows: DataFrame, centroids: DataFrame, keep_vectors: bool = False) -> DataFrame:
+    """(vec_id, cid, score[, u]): the nearest centroid of each row, ties to the smaller cid. No shuffle.
 
-def centroid_means(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(cid, u): the normalised mean of each cluster's unit vectors."""
-    parts = rows.join(labels, "vec_id").select("cid", F.posexplode("u"))
-    means = parts.groupBy("cid", "pos").agg(F.avg("col").alias("m"))
-    return means.groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("v")).select("cid", unit(F.col("v")).alias("u"))
+    The centroids, a stated number of rows, are one matrix in every task; more than BROADCAST_ROWS of
+    them raise an error.
+    """
+    known = centroids.orderBy("cid").limit(BROADCAST_ROWS + 1).collect()
+    if not 1 <= len(known) <= BROADCAST_ROWS:
+        raise ValueError(f"from 1 to {BROADCAST_ROWS} centroids, not {len(known)}")
+    shared = rows.sparkSession.sparkContext.broadcast((np.array([r["cid"] for r in known]), _matrix(r["u"] for r in known)))
+    kind = centroids.schema["cid"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, c = shared.value
+        for b in batches:
+            if len(b):
+                s = np.round(_matrix(b["u"]) @ c.T, 6)
+                best = s.argmax(axis=1)
+                out = {"vec_id": b["vec_id"], "cid": ids[best], "score": s[np.arange(len(b)), best]}
+                yield pd.DataFrame(out | ({"u": b["u"]} if keep_vectors else {}))
+
+    return rows.select("vec_id", "u").where("u IS NOT NULL").mapInPandas(run, f"vec_id long, cid {kind}, score double" + ", u array<double>" * keep_vectors)
+
+
+def centroid_means(assigned: DataFrame) -> DataFrame:
+    """(cid, u): the normalised mean of each cluster's unit vectors, from rows (cid, u). A batch sends one sum a cluster."""
+    kind = assigned.schema["cid"].dataType.simpleString()
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                ids, at = np.unique(b["cid"].to_numpy(), return_inverse=True)
+                u = _matrix(b["u"])
+                total = np.zeros((len(ids), u.shape[1]))
+                np.add.at(total, at, u)
+                yield pd.DataFrame({"cid": ids, "n": np.bincount(at), "s": list(total)})
+
+    parts = assigned.select("cid", "u").mapInPandas(sums, f"cid {kind}, n long, s array<double>")
+    means = parts.select("cid", "n", F.posexplode("s")).groupBy("cid", "pos").agg((F.sum("col") / F.sum("n")).alias("m"))
+    return means.groupBy("cid").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("v")).select("cid", unit(F.col("v")).alias("u"))
 
 
 def kmeans(rows: DataFrame, k: int, max_iter: int = 25, seed: int = 0, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame]:
@@ -64,11 +148,11 @@ def kmeans(rows: DataFrame, k: int, max_iter: int = 25, seed: int = 0, tolerance
     try:
         for _ in range(max_iter):
             centroids = spark.createDataFrame(list(enumerate(start)), "cid int, u array<double>")
-            labels = assign(rows, centroids)
-            got = {r["cid"]: r["u"] for r in centroid_means(rows, labels).collect()}
+            labels = assign(rows, centroids, keep_vectors=True)
+            got = {r["cid"]: r["u"] for r in centroid_means(labels).collect()}
             empty = [c for c in range(len(start)) if c not in got]
             if empty:
-                spare = labels.orderBy("score", "vec_id").limit(len(empty)).join(rows, "vec_id").collect()
+                spare = labels.orderBy("score", "vec_id").limit(len(empty)).collect()
                 got |= {c: r["u"] for c, r in zip(empty, spare, strict=False)}
             new = [got.get(c, start[c]) for c in range(len(start))]
             if all(abs(a - b) <= tolerance for x, y in zip(new, start, strict=True) for a, b in zip(x, y, strict=True)):
@@ -81,15 +165,16 @@ def kmeans(rows: DataFrame, k: int, max_iter: int = 25, seed: int = 0, tolerance
 
 
 def ivf_candidates(queries: DataFrame, centroids: DataFrame, assigned: DataFrame, nprobe: int) -> DataFrame:
-    """(query_id, q, vec_id): the members of each query's nprobe nearest lists, by an equi-join on cid."""
+    """(query_id, q, vec_id[, u]): the members of each query's nprobe nearest lists, by an equi-join on cid."""
     c = small(centroids.select("cid", F.col("u").alias("c")))
     near = queries.select(F.col("vec_id").alias("query_id"), F.col("u").alias("q")).crossJoin(c).select("query_id", "q", "cid", F.round(dot("q", "c"), 6).alias("s"))
     probes = near.withColumn("p", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("s"), "cid"))).where(F.col("p") <= nprobe).select("query_id", "q", "cid")
-    return small(probes).join(assigned.select("vec_id", "cid"), "cid").drop("cid")
+    return small(probes).join(assigned.drop("score"), "cid").drop("cid")
 
 
-def ivf_search(queries: DataFrame, rows: DataFrame, centroids: DataFrame, assigned: DataFrame, k: int, nprobe: int) -> DataFrame:
-    found = ivf_candidates(queries, centroids, assigned, nprobe).join(rows.select("vec_id", "u"), "vec_id")
+def ivf_search(queries: DataFrame, centroids: DataFrame, assigned: DataFrame, k: int, nprobe: int) -> DataFrame:
+    """assigned holds the vectors (assign with keep_vectors), so lists need no second join."""
+    found = ivf_candidates(queries, centroids, assigned, nprobe)
     return top_k(found.select("query_id", "vec_id", F.round(dot("u", "q"), 6).alias("score")), k)
 
 
@@ -100,25 +185,43 @@ def capped_label(scored: DataFrame, k: int, cap: float = 0.5) -> DataFrame:
     return top_k(scored.withColumn("in_label", within).where(F.col("in_label") <= most), k)
 
 
-def mmr(scored: DataFrame, rows: DataFrame, k: int, lam: float = 0.7, pool: int = 20) -> DataFrame:
-    """(query_id, step, vec_id): maximal marginal relevance over each query's pool, ties to the higher rank.
+def mmr(queries: DataFrame, rows: DataFrame, k: int, lam: float = 0.7, others: bool = True) -> DataFrame:
+    """(query_id, step, vec_id): maximal marginal relevance over all rows, ties to the smaller id.
 
-    The greedy choice is a fold in order, so each query's small pool goes to one Arrow batch.
+    k passes over the rows. In each, a task keeps its best row a query against the picks so far; one row
+    a query comes back. queries are at most BROADCAST_ROWS // k. others leaves out the query's own id.
     """
-    import numpy as np
-    import pandas as pd
-
-    best = top_k(scored, pool).select("query_id", "vec_id", "score", "rank").join(rows.select("vec_id", "u"), "vec_id")
-
-    def choose(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rank")
-        u = np.stack(part["u"].to_numpy())
-        relevance, sim = part["score"].to_numpy(), np.round(u @ u.T, 6)
-        picked = [int(np.argmax(relevance))]
-        while len(picked) < min(k, len(part)):
-            value = np.round(lam * relevance - (1 - lam) * sim[:, picked].max(axis=1), 9)
-            value[picked] = -np.inf
-            picked.append(int(np.argmax(value)))
-        return pd.DataFrame({"query_id": key[0], "step": range(1, len(picked) + 1), "vec_id": part["vec_id"].to_numpy()[picked]})
-
-    return best.groupBy("query_id").applyInPandas(choose, "query_id long, step int, vec_id long")
+    spark = rows.sparkSession
+    asked = queries.select("vec_id", "u").where("u IS NOT NULL").limit(BROADCAST_ROWS // k + 1).collect()
+    if len(asked) > BROADCAST_ROWS // k:
+        raise ValueError("too many queries for one call")
+    rows = rows.select("vec_id", "u").where("u IS NOT NULL")
+    ids = [r["vec_id"] for r in asked]
+    picks: dict[int, list[tuple[int, list[float]]]] = {i: [] for i in ids}
+    for _ in range(k if asked else 0):
+        shared = spark.sparkContext.broadcast((ids, _matrix(r["u"] for r in asked), picks))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q, picks = shared.value
+            for b in batches:
+                if not len(b):
+                    continue
+                b = b.sort_values("vec_id", ignore_index=True)
+                v, u = b["vec_id"].to_numpy(), _matrix(b["u"])
+                relevance, found = np.round(u @ q.T, 6), []
+                for j, i in enumerate(ids):
+                    value = lam * relevance[:, j]
+                    if picks[i]:
+                        value = value - (1 - lam) * np.round(u @ _matrix(p for _, p in picks[i]).T, 6).max(axis=1)
+                    value = np.round(value, 9)
+                    value[np.isin(v, [x for x, _ in picks[i]] + [i] * others)] = -np.inf
+                    at = int(np.argmax(value))
+                    if value[at] > -np.inf:
+                        found.append((i, int(v[at]), float(value[at]), u[at]))
+                yield pd.DataFrame(found, columns=["query_id", "vec_id", "value", "u"])
+
+        top = rows.mapInPandas(best, "query_id long, vec_id long, value double, u array<double>").groupBy("query_id").agg(F.max_by(F.struct("vec_id", "u"), F.struct("value", -F.col("vec_id"))).alias("x"))
+        for r in top.collect():
+            picks[r["query_id"]].append((r["x"]["vec_id"], r["x"]["u"]))
+    found = [(i, s, x) for i in ids for s, (x, _) in enumerate(picks[i], 1)]
+    return spark.createDataFrame(found, "query_id long, step int, vec_id long")

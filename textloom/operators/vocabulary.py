@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.sampling import hash_uniform
-from textloom.functions.text import words
+from textloom.functions.text import bound, words
 
 
 def positions(docs: DataFrame) -> DataFrame:
@@ -35,18 +39,53 @@ def keep_probability(f, t: float = 1e-3):
     return F.least(F.sqrt(t / f) + t / f, F.lit(1.0))
 
 
+def word_ids(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(doc_id, pos, id, f) of the words that the vocabulary has. Words are joined by value; a vocabulary has a stated size."""
+    return positions(docs).join(F.broadcast(vocab.select("word", "id", "f")), "word").drop("word")
+
+
+def subsample(ids: DataFrame, t: float | None, seed: int = 0) -> DataFrame:
+    """The rows (doc_id, pos, id, f) that a draw by hash keeps, each with its word's probability; all without t."""
+    return ids if t is None else ids.where(hash_uniform(seed, "doc_id", "pos") < keep_probability(F.col("f"), t))
+
+
+def noise_cdf(vocab: DataFrame, power: float = 0.75) -> DataFrame:
+    """(id, cdf): the running share of f to a power. The windows see the vocabulary only, which has a stated size."""
+    p = F.pow("f", F.lit(power))
+    v = vocab.withColumn("p", p / F.sum(p).over(W.partitionBy()))
+    return v.select("id", F.sum("p").over(W.orderBy("id").rowsBetween(W.unboundedPreceding, 0)).alias("cdf"))
+
+
+def draw_noise(rows: DataFrame, cdf: DataFrame, u) -> DataFrame:
+    """rows with the first id whose cdf is at least u, by binary search in one broadcast array of the vocabulary's size."""
+    steps = cdf.orderBy("id").collect()
+    ids, ends = [r["id"] for r in steps], np.array([r["cdf"] for r in steps])
+    shared = rows.sparkSession.sparkContext.broadcast((np.array(ids), ends))
+
+    @F.pandas_udf("long")
+    def find(x: pd.Series) -> pd.Series:
+        known, upto = shared.value
+        return pd.Series(known[np.minimum(np.searchsorted(upto, x.to_numpy(), "left"), len(known) - 1)])
+
+    return rows.withColumn("id", find(u))
+
+
 def skipgram_pairs(docs: DataFrame, window: int, seed: int = 0) -> DataFrame:
     """(center, context, n): pairs within a hashed radius from 1 to window, counted.
 
-    Each position looks ahead in its own document by a window function; no self-join is made.
+    A document is one row: its pairs at each distance come from its word array and the same array
+    shifted. The only shuffle is that of the counts.
     """
-    rows = positions(docs).withColumn("r", F.floor(hash_uniform(seed, "doc_id", "pos") * window).cast("int") + 1)
-    order = W.partitionBy("doc_id").orderBy("pos")
-    ahead = F.collect_list(F.struct("word", "r")).over(order.rowsBetween(1, window))
-    near = rows.select("word", "r", ahead.alias("ahead")).select("word", "r", F.posexplode("ahead").alias("i", "o"))
-    # distance i + 1: the pair is emitted from each side whose radius reaches the other
-    out = near.select("word", "r", "o", (F.col("i") + 1).alias("d")).select(F.explode(F.filter(F.array(F.when(F.col("d") <= F.col("r"), F.struct(F.col("word").alias("center"), F.col("o.word").alias("context"))), F.when(F.col("d") <= F.col("o.r"), F.struct(F.col("o.word").alias("center"), F.col("word").alias("context")))), lambda x: x.isNotNull())).alias("p"))
-    return out.groupBy("p.center", "p.context").agg(F.count("*").alias("n"))
+    radius = lambda i: F.floor(F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), i.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / 4294967296.0 * window) + 1
+    marked = docs.select("doc_id", F.transform(words(F.col("text")), lambda w, i: F.struct(w.alias("w"), radius(i).alias("r"))).alias("x"))
+
+    def at(x, d: int):
+        n = F.greatest(F.size(x) - d, F.lit(0))
+        both = F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(d + 1), n), lambda a, b: F.array(F.when(a["r"] >= d, F.struct(a["w"].alias("center"), b["w"].alias("context"))), F.when(b["r"] >= d, F.struct(b["w"].alias("center"), a["w"].alias("context")))))
+        return F.flatten(both)
+
+    pairs = bound(F.col("x"), lambda x: F.filter(F.concat(*[at(x, d) for d in range(1, window + 1)]), lambda p: p.isNotNull()))
+    return marked.select(F.explode(pairs).alias("p")).groupBy("p.center", "p.context").agg(F.count("*").alias("n"))
 
 
 def pair_counts(pretokens: DataFrame) -> DataFrame:
@@ -67,6 +106,16 @@ def merge_pair(symbols, left: int, right: int, new: int):
     return F.aggregate(symbols, F.array().cast("array<int>"), step)
 
 
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """rows written to the shared checkpoint folder; a local session without one gets a temporary folder."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
+    return rows.checkpoint()
+
+
 def train_bpe(docs: DataFrame, merges: int, pattern: str = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+") -> list[tuple[int, int, int, int]]:
     """(rank, left, right, id) of at most merges merges; ties go to the smaller pair; stops under two occurrences.
 
@@ -82,7 +131,9 @@ def train_bpe(docs: DataFrame, merges: int, pattern: str = r"\p{L}+|\p{N}+|[^\s\
                 break
             new = 256 + rank
             out.append((rank, best["left"], best["right"], new))
-            old, state = state, state.withColumn("symbols", merge_pair(F.col("symbols"), best["left"], best["right"], new)).persist()
+            old, state = state, state.withColumn("symbols", merge_pair(F.col("symbols"), best["left"], best["right"], new))
+            # a written copy every few merges keeps the plan short
+            state = checkpointed(state) if rank % 8 == 7 else state.persist()
             state.count()
             old.unpersist()
     finally:
@@ -90,21 +141,24 @@ def train_bpe(docs: DataFrame, merges: int, pattern: str = r"\p{L}+|\p{N}+|[^\s\
     return out
 
 
-def ngram_floor(chars: DataFrame, n: int) -> DataFrame:
-    """Add-one cross-entropy of held-out characters under n-gram counts of (doc_id, pos, c, train); n is 1 or 2."""
-    if n not in (1, 2):
+def ngram_floor(docs: DataFrame, n: int, share: float = 0.9) -> DataFrame:
+    """(nats, n): add-one cross-entropy of held-out n-grams of characters, n from 1 to 3.
+
+    The first share of each text's characters is for training; an n-gram that lies across the border
+    is in neither part. Distinct n-grams are counted before any join; no characters are shuffled.
+    """
+    if n not in (1, 2, 3):
         raise ValueError(f"no floor for n = {n}")
-    order = W.partitionBy("doc_id").orderBy("pos")
-    v = chars.agg(F.count_distinct("c").alias("v"))
-    if n == 1:
-        train = chars.where("train").groupBy("c").agg(F.count("*").alias("k"))
-        total = chars.where("train").agg(F.count("*").alias("m"))
-        rows = chars.where("NOT train").groupBy("c").agg(F.count("*").alias("w")).join(train, "c", "left").crossJoin(total).crossJoin(v)
-    else:
-        grams = chars.withColumn("x", F.lag("c").over(order)).withColumn("xt", F.lag("train").over(order)).where("x IS NOT NULL")
-        train = grams.where("train AND xt").groupBy("x", "c").agg(F.count("*").alias("k"))
-        context = grams.where("train AND xt").groupBy("x").agg(F.count("*").alias("m"))
-        held = grams.where("NOT train AND NOT xt").groupBy("x", "c").agg(F.count("*").alias("w"))
-        rows = held.join(train, ["x", "c"], "left").join(context, "x", "left").crossJoin(v)
-    loss = -F.sum(F.col("w") * F.log((F.coalesce("k", F.lit(0)) + 1) / (F.coalesce("m", F.lit(0)) + F.col("v")))) / F.sum("w")
-    return rows.agg(F.round(loss, 6).alias("nats"), F.sum("w").alias("n"))
+    cut = F.floor(F.length("text") * share + 1e-9)
+    chars = docs.where("text <> ''").select(cut.alias("cut"), F.filter(F.split("text", ""), lambda c: c != "").alias("x"))
+    x = F.col("x")
+    shifted = F.arrays_zip(*[F.slice(x, F.lit(k + 1), F.greatest(F.size(x) - (n - 1), F.lit(0))).alias(f"c{k}") for k in range(n)])
+    rows = chars.select("cut", F.posexplode(shifted).alias("pos", "g"))
+    context = F.concat_ws("", *[F.col(f"g.c{k}") for k in range(n - 1)]) if n > 1 else F.lit("")
+    part = F.when(F.col("pos") + n - 1 < F.col("cut"), "train").when(F.col("pos") >= F.col("cut"), "held")
+    counts = rows.select(context.alias("x"), F.col(f"g.c{n - 1}").alias("c"), part.alias("part")).where("part IS NOT NULL").groupBy("x", "c").agg(F.count_if(F.col("part") == "train").alias("k"), F.count_if(F.col("part") == "held").alias("w"))
+    total = counts.groupBy("x").agg(F.sum("k").alias("m"))
+    v = chars.select(F.explode("x").alias("c")).agg(F.count_distinct("c").alias("v"))
+    held = counts.where("w > 0").join(total, "x").crossJoin(v)
+    loss = -F.sum(F.col("w") * F.log((F.col("k") + 1) / (F.col("m") + F.col("v")))) / F.sum("w")
+    return held.agg(F.round(loss, 6).alias("nats"), F.sum("w").alias("n"))

@@ -114,36 +114,6 @@ def html_fields(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.regexp_extract(html, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(html, '<html lang="([a-z]+)"', 1).alias("lang"), F.size(F.regexp_extract_all(html, F.lit("<p>"), F.lit(0))).cast("long").alias("paragraphs"))
 
 
-HEADING = r"^(#{1,6}) +(\S.*?) *$"
-
-
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of documents with every fifth made a heading of a level by its number: (doc_id, pos, line)."""
-    rows = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    marked = F.concat(F.repeat(F.lit("#"), (F.col("pos") / 5).cast("int") % 3 + 1), F.lit(" "), F.substring(F.trim("line"), 1, 12))
-    return rows.withColumn("line", F.when((F.col("pos") % 5 == 0) & (F.trim("line") != ""), marked).otherwise(F.col("line")))
-
-
-def headings_detect(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lines(spark, d).where(F.col("line").rlike(HEADING))
-    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.length(F.regexp_extract("line", HEADING, 1)).cast("long").alias("level"), F.regexp_extract("line", HEADING, 2).alias("title"))
-
-
-def _section_path(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
-    at = lines.select("doc_id", F.col("pos").cast("long").alias("pos"))
-    return S.as_of(at, headings_detect(spark, d).withColumnRenamed("pos", "since"), "doc_id", "pos", "since", "title")
-
-
-def section_path_asof(spark: SparkSession, d: str) -> DataFrame:
-    """The last heading at or before every seventh line."""
-    return _section_path(spark, d, _lines(spark, d).where("pos % 7 = 3"))
-
-
-def section_path_asof_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The last heading at or before every line."""
-    return _section_path(spark, d, _lines(spark, d))
-
-
 def conversation_turn_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Turns in pairs of a conversation, in order."""
     rows = table(spark, d, "conversations").withColumn("rn", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1)
@@ -210,14 +180,9 @@ QUERIES = {
         round(sum(CASE WHEN used <= 120 AND chunk_index % 3 = 0 THEN stop - start ELSE 0 END) / nullif(sum(CASE WHEN used <= 120 THEN stop - start ELSE 0 END), 0), 6) AS precision FROM t GROUP BY doc_id""",
     ),
     "html_fields": (html_fields, """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages"""),
-    "headings_detect": (headings_detect, f"WITH {LINES} SELECT doc_id, pos, level, title FROM h"),
-    "section_path_asof": (section_path_asof, f"WITH {LINES} SELECT m.doc_id, m.pos, h.title FROM m ASOF LEFT JOIN h ON m.doc_id = h.doc_id AND m.pos >= h.pos WHERE m.pos % 7 = 3"),
     "conversation_turn_chunks": (
         conversation_turn_chunks,
         """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS rn FROM conversations)
         SELECT conv_id, rn // 2 AS chunk_index, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS digest, count(*) AS turns FROM r GROUP BY conv_id, rn // 2""",
     ),
 }
-
-# as above, without the cut of its SQL
-QUERIES["section_path_asof_whole"] = (section_path_asof_whole, QUERIES["section_path_asof"][1].replace(" WHERE m.pos % 7 = 3", ""))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import jsonx as J
+from textloom.functions import attention as A
 from textloom.functions import statistics as S
 from textloom.sources.tables import table
 
@@ -113,10 +114,9 @@ def paired_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sign_test(spark: SparkSession, d: str) -> DataFrame:
-    """Per residue of the id modulo 12, so that each has few pairs."""
     a, b = F.col("a"), F.col("b")
-    n = _pairs(spark, d).groupBy((F.col("doc_id") % 12).alias("part")).agg(F.count_if(a & ~b).alias("x"), F.count_if(b & ~a).alias("y"))
-    return n.select("part", "x", "y", F.round(S.sign_test_column(F.col("x"), F.col("y")), 6).alias("p"))
+    n = _pairs(spark, d).agg(F.count_if(a & ~b).alias("x"), F.count_if(b & ~a).alias("y"))
+    return n.select("x", "y", F.round(S.sign_test_column(F.col("x"), F.col("y")), 6).alias("p"))
 
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
@@ -138,26 +138,13 @@ def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("spent < 600").select("conv_id", "turn", F.col("spent").cast("long").alias("spent"))
 
 
-def _attention(spark: SparkSession, d: str, most: int | None) -> DataFrame:
-    """Causal softmax of the inner products among the first most (None: all) vectors per head (label), and its row statistics."""
-    e = table(spark, d, "embeddings").withColumn("t", F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1)
-    e = e if most is None else e.where(F.col("t") < most)
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    q, k = e.select("label", F.col("t").alias("q"), v.alias("vq")), e.select("label", F.col("t").alias("k"), v.alias("vk"))
-    dot = F.aggregate(F.zip_with("vq", "vk", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    s = q.join(k, "label").where("k <= q").select("label", "q", "k", (dot / 8.0).alias("s"))
-    row = W.partitionBy("label", "q")
-    p = s.withColumn("x", F.exp(F.col("s") - F.max("s").over(row))).withColumn("w", F.col("x") / F.sum("x").over(row))
-    pick = lambda cond, w="w": F.avg(F.when(cond, F.col(w)))
-    return p.groupBy("label").agg(F.round(S.entropy(F.col("w")) / (F.lit(most) if most else F.count_distinct("q")), 6).alias("mean_entropy"), F.round(pick((F.col("k") == F.col("q") - 1)), 6).alias("prev_token"), F.round(pick((F.col("k") == F.col("q")) & (F.col("q") > 0)), 6).alias("self_score"), F.round(pick((F.col("k") == 0) & (F.col("q") > 0)), 6).alias("sink"))
-
-
 def attention_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _attention(spark, d, 8)
-
-
-def attention_stats_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _attention(spark, d, None)
+    """Causal softmax of the inner products of each sequence of 128 vectors (vec_id div 128), and its row statistics."""
+    e = table(spark, d, "embeddings")
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    e = e.select(F.expr("vec_id DIV 128").alias("head"), F.expr("vec_id % 128").alias("t"), v.alias("v"))
+    p = A.softmax(A.causal_scores(e, e, "head", 8.0), "head")
+    return A.summary(p, "head")
 
 
 PROPS = """b AS (SELECT event_id, CASE event_id % 6 WHEN 4 THEN 'quotes' WHEN 5 THEN 'cut' WHEN 0 THEN 'none' WHEN 1 THEN 'strip_fences' WHEN 2 THEN 'extract_json_span' ELSE 'trailing_comma_removal' END AS defect,
@@ -195,8 +182,8 @@ QUERIES = {
     "paired_counts": (paired_counts, f"WITH {PAIRS} SELECT count(*) FILTER (a AND NOT b) AS a_only, count(*) FILTER (b AND NOT a) AS b_only, count(*) FILTER (a = b) AS same FROM p"),
     "sign_test": (
         sign_test,
-        f"""WITH {PAIRS}, n AS (SELECT doc_id % 12 AS part, count(*) FILTER (a AND NOT b) AS x, count(*) FILTER (b AND NOT a) AS y FROM p GROUP BY ALL)
-        SELECT part, x, y, round(CASE WHEN x + y = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(greatest(x, y), x + y + 1), lambda i: exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2))))) END, 6) AS p FROM n""",
+        f"""WITH {PAIRS}, n AS (SELECT count(*) FILTER (a AND NOT b) AS x, count(*) FILTER (b AND NOT a) AS y FROM p)
+        SELECT x, y, round(CASE WHEN x + y = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(greatest(x, y), x + y + 1), lambda i: exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2))))) END, 6) AS p FROM n""",
     ),
     "bootstrap_ci": (
         bootstrap_ci,
@@ -212,12 +199,9 @@ QUERIES = {
     ),
     "attention_stats": (
         attention_stats,
-        """WITH e AS (SELECT label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t FROM embeddings QUALIFY t < 8),
-        s AS (SELECT a.label, a.t AS q, b.t AS k, exp(list_inner_product(a.v, b.v) / 8) AS x FROM e a JOIN e b ON a.label = b.label AND b.t <= a.t),
-        w AS (SELECT *, x / sum(x) OVER (PARTITION BY label, q) AS w FROM s)
-        SELECT label, round(-sum(w * ln(w)) / 8, 6) AS mean_entropy, round(avg(w) FILTER (k = q - 1), 6) AS prev_token, round(avg(w) FILTER (k = q AND q > 0), 6) AS self_score, round(avg(w) FILTER (k = 0 AND q > 0), 6) AS sink FROM w GROUP BY label""",
+        """WITH e AS (SELECT vec_id // 128 AS head, embedding::DOUBLE[] AS v, vec_id % 128 AS t FROM embeddings),
+        s AS (SELECT a.head, a.t AS q, b.t AS k, exp(list_inner_product(a.v, b.v) / 8) AS x FROM e a JOIN e b ON a.head = b.head AND b.t <= a.t),
+        w AS (SELECT *, x / sum(x) OVER (PARTITION BY head, q) AS w FROM s)
+        SELECT head, round(-sum(w * ln(w)) / count(DISTINCT q), 6) AS mean_entropy, round(avg(w) FILTER (k = q - 1), 6) AS prev_token, round(avg(w) FILTER (k = q AND q > 0), 6) AS self_score, round(avg(w) FILTER (k = 0 AND q > 0), 6) AS sink FROM w GROUP BY head""",
     ),
 }
-
-# as above, without the cut of its SQL; the mean is over a label's rows
-QUERIES["attention_stats_whole"] = (attention_stats_whole, QUERIES["attention_stats"][1].replace(" QUALIFY t < 8", "").replace("ln(w)) / 8", "ln(w)) / count(DISTINCT q)"))

@@ -14,12 +14,13 @@ K = 10
 
 
 def _run(spark: SparkSession, d: str) -> DataFrame:
-    return X.top_k(_scored(spark, d, others=True), K).select(F.col("query_id").alias("qid"), F.col("vec_id").alias("doc_id"), "score", "rank")
+    rows = X.unit_rows(table(spark, d, "embeddings"))
+    return X.search(rows.where("vec_id % 100 = 0"), rows, K, others=True).select(F.col("query_id").alias("qid"), F.col("vec_id").alias("doc_id"), "score", "rank")
 
 
 def _qrels(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", "label")
-    q = F.broadcast(rows.where("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("label").alias("l")))
+    q = X.small(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("l")))
     return rows.join(q, F.col("label") == F.col("l")).where("vec_id <> qid").select("qid", F.col("vec_id").alias("doc_id"), F.lit(1).alias("rel"))
 
 
@@ -47,14 +48,14 @@ def ndcg_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evaluate_run_left(spark: SparkSession, d: str) -> DataFrame:
-    """Means over all judged queries; three queries are taken out of the run and count as zeros."""
+    """Means over all judged queries; every third query is taken out of the run and counts as zeros."""
     per = M.per_query(_run(spark, d).where("qid % 3 <> 0"), _qrels(spark, d), K)
     return per.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("recall", "precision", "rr", "ndcg")])
 
 
 def _relevance(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    return _scored(spark, d, others=True).join(F.broadcast(labels.where("query_id < 10")), "query_id").select("query_id", "score", (F.col("label") == F.col("ql")).alias("relevant"))
+    return _scored(spark, d, others=True).join(X.small(labels.where("query_id % 100 = 0")), "query_id").select("query_id", "score", (F.col("label") == F.col("ql")).alias("relevant"))
 
 
 def score_auc(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +87,7 @@ def paired_runs(spark: SparkSession, d: str) -> DataFrame:
 
 RUN = f"""{SCORED}, run AS (SELECT query_id AS qid, vec_id AS doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
    FROM s WHERE query_id <> vec_id QUALIFY rank <= 10),
- qrels AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id FROM embeddings q JOIN embeddings d USING (label) WHERE q.vec_id < 10 AND d.vec_id <> q.vec_id),
+ qrels AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id FROM embeddings q JOIN embeddings d USING (label) WHERE q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id),
  n AS (SELECT qid, count(*) AS n FROM qrels GROUP BY qid),
  hit AS (SELECT run.qid, rank FROM run JOIN qrels USING (qid, doc_id)),
  ideal AS (SELECT qid, sum(1 / log2(i + 1)) AS ideal FROM (SELECT qid, unnest(range(1, least(n, 10) + 1)) AS i FROM n) GROUP BY qid),

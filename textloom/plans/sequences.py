@@ -33,11 +33,12 @@ def carry_forward(spark: SparkSession, d: str) -> DataFrame:
 
 
 def multiset_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Shared words of a document and its benchmark namesake (doc_id modulo 40), as multisets."""
+    """Shared words of a document and its benchmark namesake (doc_id modulo their number), as multisets."""
     words = lambda t: F.explode(F.regexp_extract_all(F.lower(t), F.lit("[a-z]+"), F.lit(0)))
     a = table(spark, d, "documents").select("doc_id", words("text").alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("x"))
     b = table(spark, d, "benchmark").select("item_id", words("text").alias("w")).groupBy("item_id", "w").agg(F.count("*").alias("y"))
-    both = a.join(b, (F.col("doc_id") % 40 == F.col("item_id")) & (a["w"] == b["w"]))
+    items = table(spark, d, "benchmark").count()
+    both = a.join(b, (F.col("doc_id") % items == F.col("item_id")) & (a["w"] == b["w"]))
     return both.groupBy("doc_id").agg(F.sum(F.least("x", "y")).alias("n"))
 
 
@@ -67,7 +68,7 @@ QUERIES = {
         multiset_overlap,
         """WITH a AS (SELECT doc_id, w, count(*) AS x FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) GROUP BY ALL),
         b AS (SELECT item_id, w, count(*) AS y FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) GROUP BY ALL)
-        SELECT doc_id, sum(least(x, y))::BIGINT AS n FROM a JOIN b ON a.w = b.w AND doc_id % 40 = item_id GROUP BY doc_id""",
+        SELECT doc_id, sum(least(x, y))::BIGINT AS n FROM a JOIN b ON a.w = b.w AND doc_id % (SELECT count(*) FROM benchmark) = item_id GROUP BY doc_id""",
     ),
     "lr_schedule": (lr_schedule, "SELECT s AS step, round(CASE WHEN s < 100 THEN 0.001::DOUBLE * (s + 1) / 100 ELSE 0.0001::DOUBLE + 0.5 * 0.0009 * (1 + cos(pi() * (s - 100) / 2900.0)) END::DOUBLE, 9) AS lr FROM range(0, 3001, 50) t(s)"),
     "position_encodings": (position_encodings, "SELECT pos, i, round(sin(pos * pow(10000.0, -2 * i / 16)), 6) AS sin, round(cos(pos * pow(10000.0, -2 * i / 16)), 6) AS cos FROM range(32) p(pos), range(8) q(i)"),

@@ -21,7 +21,7 @@ def _lined(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
 
 
-def headings_all(spark: SparkSession, d: str) -> DataFrame:
+def headings_detect(spark: SparkSession, d: str) -> DataFrame:
     return T.headings(_lined(spark, d)).select("doc_id", "start", F.col("level").cast("long").alias("level"), "title")
 
 
@@ -34,7 +34,7 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
     return _sections(spark, d).select("doc_id", "start", "stop", F.col("level").cast("long").alias("level"), F.array_join("path", " > ").alias("path"))
 
 
-def section_of_chunks(spark: SparkSession, d: str) -> DataFrame:
+def section_path_asof(spark: SparkSession, d: str) -> DataFrame:
     """The section path at every hundredth character, the place of a chunk's start."""
     at = _lined(spark, d).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long"), F.lit(100).cast("long"))).alias("pos"))
     paths = _sections(spark, d).select("doc_id", "start", F.array_join("path", " > ").alias("path"))
@@ -163,9 +163,9 @@ CASE doc_id % 5 WHEN 0 THEN 'Ann Roe;Bo Doe' WHEN 2 THEN 'Bo and' WHEN 3 THEN 'C
 CASE doc_id % 5 WHEN 0 THEN 'March 5, 2001 [EBook #1]' WHEN 1 THEN '5 May 1999' WHEN 2 THEN '2001-02-03' WHEN 3 THEN 'no date' END AS date_raw, CASE doc_id % 5 WHEN 0 THEN 'label:release date' WHEN 1 THEN 'label:posting date' WHEN 2 THEN 'label:release date' WHEN 3 THEN 'label:release date' ELSE 'not_found' END AS date_from FROM documents WHERE text IS NOT NULL"""
 
 QUERIES = {
-    "headings_all": (headings_all, f"WITH {LINED} SELECT doc_id, start, level, title FROM h"),
+    "headings_detect": (headings_detect, f"WITH {LINED} SELECT doc_id, start, level, title FROM h"),
     "sections": (sections, f"WITH {PATHS} SELECT doc_id, start, stop, level, path FROM s"),
-    "section_of_chunks": (section_of_chunks, f"WITH {PATHS}, g AS (SELECT doc_id, max(total) AS n FROM p GROUP BY doc_id), m AS (SELECT doc_id, unnest(range(0, n + 1, 100)) AS pos FROM g) SELECT m.doc_id, m.pos, s.path FROM m ASOF LEFT JOIN s ON m.doc_id = s.doc_id AND m.pos >= s.start"),
+    "section_path_asof": (section_path_asof, f"WITH {PATHS}, g AS (SELECT doc_id, max(total) AS n FROM p GROUP BY doc_id), m AS (SELECT doc_id, unnest(range(0, n + 1, 100)) AS pos FROM g) SELECT m.doc_id, m.pos, s.path FROM m ASOF LEFT JOIN s ON m.doc_id = s.doc_id AND m.pos >= s.start"),
     "heading_match": (
         heading_match,
         f"""WITH {LINED}, c AS (SELECT doc_id, level, title, count(*) AS p FROM h GROUP BY doc_id, level, title), k AS (SELECT doc_id, p, CASE WHEN level % 2 = 0 THEN p + 1 ELSE p - 1 END AS g FROM c), r AS (SELECT doc_id, sum(least(p, g)) AS hit, sum(p) AS p, sum(g) AS g FROM k GROUP BY doc_id)

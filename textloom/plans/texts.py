@@ -7,11 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.functions.sampling import hash_uniform
 from textloom.operators import vocabulary as V
 from textloom.sources.tables import table
 
 
-#: The reference's default max_vocab, for the _whole queries; the others keep 500 words.
+#: Words of the vocabulary.
 MAX_VOCAB = 15_000
 
 
@@ -23,49 +24,40 @@ def vocab_counts(spark: SparkSession, d: str) -> DataFrame:
     return V.counts(_docs(spark, d), 5).select("word", "n")
 
 
-def _first_seen(spark: SparkSession, d: str, size: int) -> DataFrame:
-    return V.vocabulary(_docs(spark, d), size, 5).select("word", F.col("id").cast("long").alias("id"), "n", F.round("f", 8).alias("f"))
-
-
 def vocab_first_seen(spark: SparkSession, d: str) -> DataFrame:
-    return _first_seen(spark, d, 500)
-
-
-def vocab_first_seen_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _first_seen(spark, d, MAX_VOCAB)
-
-
-def _subsample(spark: SparkSession, d: str, size: int) -> DataFrame:
-    return V.vocabulary(_docs(spark, d), size, 5).select("word", F.round(V.keep_probability(F.col("f")), 6).alias("p"))
+    return V.vocabulary(_docs(spark, d), MAX_VOCAB, 5).select("word", F.col("id").cast("long").alias("id"), "n", F.round("f", 8).alias("f"))
 
 
 def subsample_probs(spark: SparkSession, d: str) -> DataFrame:
-    return _subsample(spark, d, 500)
+    return V.vocabulary(_docs(spark, d), MAX_VOCAB, 5).select("word", F.round(V.keep_probability(F.col("f")), 6).alias("p"))
 
 
-def subsample_probs_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _subsample(spark, d, MAX_VOCAB)
+def subsample_words(spark: SparkSession, d: str) -> DataFrame:
+    """How many of each document's vocabulary words are kept when each is drawn by its probability."""
+    kept = V.subsample(V.word_ids(_docs(spark, d), V.vocabulary(_docs(spark, d), MAX_VOCAB, 5)), 1e-3)
+    return kept.groupBy("doc_id").agg(F.count("*").alias("kept"), F.sum("id").alias("ids"))
 
 
-def _cdf(spark: SparkSession, d: str, size: int) -> DataFrame:
-    p = F.pow("f", 0.75)
-    v = V.vocabulary(_docs(spark, d), size, 5).withColumn("p", p / F.sum(p).over(W.partitionBy()))
-    return v.select(F.col("id").cast("long").alias("id"), F.round(F.sum("p").over(W.orderBy("id").rowsBetween(W.unboundedPreceding, 0)), 6).alias("cdf"))
+def word_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's vocabulary words as ids, in order; other words are dropped."""
+    rows = V.word_ids(_docs(spark, d), V.vocabulary(_docs(spark, d), MAX_VOCAB, 5))
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
+    return rows.groupBy("doc_id").agg(F.md5(F.array_join(ids, " ")).alias("ids"), F.count("*").alias("n"))
 
 
 def neg_sampling_cdf(spark: SparkSession, d: str) -> DataFrame:
-    return _cdf(spark, d, 500)
+    v = V.noise_cdf(V.vocabulary(_docs(spark, d), MAX_VOCAB, 5))
+    return v.select(F.col("id").cast("long").alias("id"), F.round("cdf", 6).alias("cdf"))
 
 
-def neg_sampling_cdf_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _cdf(spark, d, MAX_VOCAB)
+def negative_draws(spark: SparkSession, d: str) -> DataFrame:
+    """Two noise words for each event: the first whose share of the distribution reaches a hashed number."""
+    cdf = V.noise_cdf(V.vocabulary(_docs(spark, d), MAX_VOCAB, 5)).withColumn("cdf", F.round("cdf", 6))
+    draws = table(spark, d, "events").select("event_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("draw"))
+    return V.draw_noise(draws, cdf, F.floor(hash_uniform(3, "event_id", "draw") * 1000000) / 1000000).select("event_id", F.col("draw").cast("long").alias("draw"), F.col("id").cast("long").alias("id"))
 
 
 def skipgram_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return skipgram_pairs_whole(spark, d).where("n >= 20")
-
-
-def skipgram_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
     """All pairs, however rare."""
     return V.skipgram_pairs(_docs(spark, d), 3)
 
@@ -74,18 +66,16 @@ def char_histogram(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n")).select(F.hex(F.encode("c", "UTF-8")).alias("c"), "n")
 
 
-def _chars(spark: SparkSession, d: str) -> DataFrame:
-    """Characters of every document, the first nine tenths for training."""
-    rows = _docs(spark, d).select("doc_id", F.length("text").alias("len"), F.posexplode(F.split("text", "")).alias("pos", "c")).where("c <> ''")
-    return rows.select("doc_id", "pos", "c", (F.col("pos") < F.floor(F.col("len") * 9 / 10)).alias("train"))
-
-
 def ngram_floor_unigram(spark: SparkSession, d: str) -> DataFrame:
-    return V.ngram_floor(_chars(spark, d), 1)
+    return V.ngram_floor(_docs(spark, d), 1)
 
 
 def ngram_floor_bigram(spark: SparkSession, d: str) -> DataFrame:
-    return V.ngram_floor(_chars(spark, d), 2)
+    return V.ngram_floor(_docs(spark, d), 2)
+
+
+def ngram_floor_trigram(spark: SparkSession, d: str) -> DataFrame:
+    return V.ngram_floor(_docs(spark, d), 3)
 
 
 def bpe_pair_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +85,7 @@ def bpe_pair_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bpe_train(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(V.train_bpe(_docs(spark, d), 12), "rank int, left int, right int, id int")
+    return spark.createDataFrame(V.train_bpe(_docs(spark, d), 64), "rank int, left int, right int, id int")
 
 
 def pretokenize_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -126,18 +116,10 @@ def required_terms_check(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", reason.alias("reason"))
 
 
-def _normalized(spark: SparkSession, d: str, label) -> DataFrame:
-    ascii_only = F.regexp_replace("text", r"[^\x20-\x7e]", " ")
-    return _docs(spark, d).select("doc_id", F.md5(T.normalize_answer(ascii_only)).alias("digest"), T.label_key(label).alias("key"))
-
-
 def normalize_answers(spark: SparkSession, d: str) -> DataFrame:
-    return _normalized(spark, d, F.substring("text", 1, 30))
-
-
-def normalize_answers_whole(spark: SparkSession, d: str) -> DataFrame:
-    """normalize_answers with keys of whole texts, by digest."""
-    return _normalized(spark, d, F.col("text")).withColumn("key", F.md5("key"))
+    """Digests of whole texts as answers and as label keys."""
+    ascii_only = F.regexp_replace("text", r"[^\x20-\x7e]", " ")
+    return _docs(spark, d).select("doc_id", F.md5(T.normalize_answer(ascii_only)).alias("digest"), F.md5(T.label_key(F.col("text"))).alias("key"))
 
 
 def answer_numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -147,25 +129,16 @@ def answer_numbers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", T.normalize_number(T.extract_tag(said, "answer")).alias("value"))
 
 
-def _turn_f1(spark: SparkSession, d: str, text) -> DataFrame:
+def answer_f1(spark: SparkSession, d: str) -> DataFrame:
+    """Token F1 and exact match of neighbouring conversation turns."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace(text, r"[^\x20-\x7e]", "x").alias("text")).withColumn("gold", F.lag("text").over(w)).where("gold IS NOT NULL")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x20-\x7e]", "x").alias("text")).withColumn("gold", F.lag("text").over(w)).where("gold IS NOT NULL")
     return rows.select("conv_id", "turn", F.round(T.token_f1(F.col("text"), F.col("gold")), 6).alias("f1"), T.exact_match(F.col("text"), F.col("gold")).alias("em"))
 
 
-def answer_f1(spark: SparkSession, d: str) -> DataFrame:
-    """Token F1 and exact match of neighbouring conversation turns, by their first 120 characters."""
-    return _turn_f1(spark, d, F.substring("text", 1, 120))
-
-
-def answer_f1_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Token F1 and exact match of neighbouring conversation turns, whole texts."""
-    return _turn_f1(spark, d, F.col("text"))
-
-
 WORDS = "w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), p AS (SELECT doc_id, i - 1 AS pos, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w))"
 VOC = f"""{WORDS}, c AS (SELECT word, count(*) AS n, min((doc_id, pos)) AS seen FROM p GROUP BY word HAVING count(*) >= 5),
- v AS (SELECT word, n, row_number() OVER (ORDER BY seen) - 1 AS id FROM c QUALIFY id < 500), f AS (SELECT *, n / sum(n) OVER () AS f FROM v)"""
+ v AS (SELECT word, n, row_number() OVER (ORDER BY seen) - 1 AS id FROM c QUALIFY id < 15000), f AS (SELECT *, n / sum(n) OVER () AS f FROM v)"""
 CH = """ch AS (SELECT doc_id, i - 1 AS pos, text[i] AS c, i - 1 < length(text) * 9 // 10 AS train FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents)),
  v AS (SELECT count(DISTINCT c) AS v FROM ch)"""
 NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')"
@@ -174,11 +147,22 @@ QUERIES = {
     "vocab_counts": (vocab_counts, f"WITH {WORDS} SELECT word, count(*) AS n FROM p GROUP BY word HAVING count(*) >= 5"),
     "vocab_first_seen": (vocab_first_seen, f"WITH {VOC} SELECT word, id, n, round(f, 8) AS f FROM f"),
     "subsample_probs": (subsample_probs, f"WITH {VOC} SELECT word, round(least(sqrt(0.001 / f) + 0.001 / f, 1), 6) AS p FROM f"),
+    "word_ids": (word_ids, f"WITH {VOC} SELECT doc_id, md5(string_agg(v.id::VARCHAR, ' ' ORDER BY pos)) AS ids, count(*) AS n FROM p JOIN v USING (word) GROUP BY doc_id"),
+    "subsample_words": (
+        subsample_words,
+        f"""WITH {VOC}, q AS (SELECT p.doc_id, f.id, least(sqrt(0.001 / f) + 0.001 / f, 1) AS keep, ('0x' || md5(concat_ws('|', p.doc_id, p.pos, 0))[1:8])::BIGINT / 4294967296.0 AS u FROM p JOIN f USING (word))
+        SELECT doc_id, count(*) AS kept, sum(id)::BIGINT AS ids FROM q WHERE u < keep GROUP BY doc_id""",
+    ),
+    "negative_draws": (
+        negative_draws,
+        f"""WITH {VOC}, cdf AS (SELECT id, round(sum(pow(f, 0.75)) OVER (ORDER BY id) / sum(pow(f, 0.75)) OVER (), 6) AS cdf FROM f), u AS (SELECT event_id, draw, floor(('0x' || md5(concat_ws('|', event_id, draw, 3))[1:8])::BIGINT / 4294967296.0 * 1000000) / 1000000 AS u FROM events, range(2) t(draw)),
+        x AS (SELECT min(id) AS id, cdf FROM cdf GROUP BY cdf) SELECT event_id, draw, id FROM u ASOF JOIN x ON u.u <= x.cdf""",
+    ),
     "neg_sampling_cdf": (neg_sampling_cdf, f"WITH {VOC} SELECT id, round(sum(pow(f, 0.75)) OVER (ORDER BY id) / sum(pow(f, 0.75)) OVER (), 6) AS cdf FROM f"),
     "skipgram_pairs": (
         skipgram_pairs,
         f"""WITH {WORDS}, r AS (SELECT *, floor(('0x' || md5(concat_ws('|', doc_id, pos, 0))[1:8])::BIGINT / 4294967296.0 * 3)::INT + 1 AS r FROM p)
-        SELECT a.word AS center, b.word AS context, count(*) AS n FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.pos <> a.pos AND abs(a.pos - b.pos) <= a.r GROUP BY ALL HAVING count(*) >= 20""",
+        SELECT a.word AS center, b.word AS context, count(*) AS n FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.pos <> a.pos AND abs(a.pos - b.pos) <= a.r GROUP BY ALL""",
     ),
     "char_histogram": (char_histogram, "SELECT hex(encode(c)) AS c, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY ALL"),
     "ngram_floor_unigram": (
@@ -192,6 +176,12 @@ QUERIES = {
         t AS (SELECT x, c, count(*) AS k FROM g WHERE train AND xt AND x IS NOT NULL GROUP BY ALL), m AS (SELECT x, sum(k) AS m FROM t GROUP BY x)
         SELECT round(-avg(ln((coalesce(k, 0) + 1) / (coalesce(m, 0) + v))), 6) AS nats, count(*) AS n FROM g LEFT JOIN t USING (x, c) LEFT JOIN m USING (x), v WHERE NOT train AND NOT xt AND x IS NOT NULL""",
     ),
+    "ngram_floor_trigram": (
+        ngram_floor_trigram,
+        f"""WITH {CH}, g AS (SELECT lag(c, 2) OVER w || lag(c) OVER w AS x, c, train, lag(train, 2) OVER w AS xt FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+        t AS (SELECT x, c, count(*) AS k FROM g WHERE train AND x IS NOT NULL GROUP BY ALL), m AS (SELECT x, sum(k) AS m FROM t GROUP BY x)
+        SELECT round(-avg(ln((coalesce(k, 0) + 1) / (coalesce(m, 0) + v))), 6) AS nats, count(*) AS n FROM g LEFT JOIN t USING (x, c) LEFT JOIN m USING (x), v WHERE NOT xt AND x IS NOT NULL""",
+    ),
     "bpe_pair_counts": (
         bpe_pair_counts,
         f"WITH {WORDS}, l AS (SELECT word, unnest(range(1, length(word))) AS i FROM p) SELECT word[i] AS left, word[i + 1] AS right, count(*) AS n FROM l GROUP BY ALL",
@@ -211,10 +201,6 @@ QUERIES = {
     ),
     "normalize_answers": (
         normalize_answers,
-        f"""SELECT doc_id, md5({NORM.format("regexp_replace(text, '[^ -~]', ' ', 'g')")}) AS digest, trim(regexp_replace(lower(text[1:30]), '[^a-z0-9]+', '_', 'g'), '_') AS key FROM documents""",
-    ),
-    "normalize_answers_whole": (
-        normalize_answers_whole,
         f"""SELECT doc_id, md5({NORM.format("regexp_replace(text, '[^ -~]', ' ', 'g')")}) AS digest, md5(trim(regexp_replace(lower(regexp_replace(text, '<[^>]+>', ' ', 'g')), '[^a-z0-9]+', '_', 'g'), '_')) AS key FROM documents""",
     ),
     "answer_numbers": (
@@ -223,15 +209,6 @@ QUERIES = {
     ),
     "answer_f1": (
         answer_f1,
-        f"""WITH t AS (SELECT conv_id, turn, regexp_replace(text[1:120], '[^ -~]', 'x', 'g') AS t FROM conversations), x AS (SELECT conv_id, turn, {NORM.format("t")} AS a FROM t),
-        y AS (SELECT *, lag(a) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM x), z AS (SELECT * FROM y WHERE b IS NOT NULL),
-        k AS (SELECT conv_id, turn, 'a' AS s, unnest(string_split(a, ' ')) AS w FROM z UNION ALL SELECT conv_id, turn, 'b', unnest(string_split(b, ' ')) FROM z),
-        c AS (SELECT conv_id, turn, w, count(*) FILTER (s = 'a') AS na, count(*) FILTER (s = 'b') AS nb FROM k WHERE w <> '' GROUP BY ALL),
-        f AS (SELECT conv_id, turn, sum(least(na, nb)) AS m, sum(na) AS ta, sum(nb) AS tb FROM c GROUP BY ALL)
-        SELECT z.conv_id, z.turn, round(CASE WHEN m > 0 THEN 2.0 * m / (ta + tb) ELSE 0 END, 6) AS f1, a = b AS em FROM z LEFT JOIN f USING (conv_id, turn)""",
-    ),
-    "answer_f1_whole": (
-        answer_f1_whole,
         f"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', 'x', 'g') AS t FROM conversations), x AS (SELECT conv_id, turn, {NORM.format("t")} AS a FROM t),
         y AS (SELECT *, lag(a) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM x), z AS (SELECT * FROM y WHERE b IS NOT NULL),
         k AS (SELECT conv_id, turn, 'a' AS s, unnest(string_split(a, ' ')) AS w FROM z UNION ALL SELECT conv_id, turn, 'b', unnest(string_split(b, ' ')) FROM z),
@@ -240,8 +217,3 @@ QUERIES = {
         SELECT z.conv_id, z.turn, round(CASE WHEN m > 0 THEN 2.0 * m / (ta + tb) ELSE 0 END, 6) AS f1, a = b AS em FROM z LEFT JOIN f USING (conv_id, turn)""",
     ),
 }
-
-# as above, without the cuts of their SQL
-QUERIES |= {f"{f.__name__}_whole": (g, QUERIES[f.__name__][1].replace("id < 500", f"id < {MAX_VOCAB}").replace(" HAVING count(*) >= 20", "")) for f, g in (
-    (vocab_first_seen, vocab_first_seen_whole), (subsample_probs, subsample_probs_whole), (neg_sampling_cdf, neg_sampling_cdf_whole), (skipgram_pairs, skipgram_pairs_whole),
-)}

@@ -14,7 +14,7 @@ from textloom.sources.tables import table
 UNIT = """u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u
      FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings))"""
 SCORED = f"""{UNIT}, s AS (SELECT q.vec_id AS query_id, q.label AS query_label, d.vec_id, d.label, round(list_inner_product(d.u, q.u), 6) AS score
-     FROM u q, u d WHERE q.vec_id < 10)"""
+     FROM u q, u d WHERE q.vec_id % 100 = 0)"""
 
 
 def _rows(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +23,7 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str, others: bool = False) -> DataFrame:
     rows = _rows(spark, d)
-    out = X.scores(rows.where("vec_id < 10"), rows)
+    out = X.scores(rows.where("vec_id % 100 = 0"), rows)
     return out.where("query_id <> vec_id") if others else out
 
 
@@ -32,18 +32,20 @@ def vec_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vec_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
-    return X.top_k(_scored(spark, d), 5).drop("label")
+    rows = _rows(spark, d)
+    return X.search(rows.where("vec_id % 100 = 0"), rows, 5)
 
 
 def vec_topk_exclude_self(spark: SparkSession, d: str) -> DataFrame:
-    return X.top_k(_scored(spark, d, others=True), 5).drop("label")
+    rows = _rows(spark, d)
+    return X.search(rows.where("vec_id % 100 = 0"), rows, 5, others=True)
 
 
 def _analogy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Rows, and quadruples (a, b, c) = (i, i + 1, i + 2) for i < 5 with their unit vectors."""
+    """Rows, and quadruples (a, b, c) = (i, i + 1, i + 2) for i divisible by 100, with their unit vectors."""
     rows = _rows(spark, d).select("vec_id", "u")
     a, b, c = (rows.select(F.col("vec_id").alias(x), F.col("u").alias(f"u{x}")) for x in "abc")
-    return rows, X.small(a.where("a < 5").join(b, F.col("b") == F.col("a") + 1).join(c, F.col("c") == F.col("a") + 2))
+    return rows, X.small(a.where("a % 100 = 0").join(b, F.col("b") == F.col("a") + 1).join(c, F.col("c") == F.col("a") + 2))
 
 
 def vec_analogy_add(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +76,7 @@ def select_capped_label(spark: SparkSession, d: str) -> DataFrame:
 
 def select_random_hash(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", "label")
-    asked = X.small(rows.where("vec_id < 10").select(F.col("vec_id").alias("query_id")))
+    asked = X.small(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id")))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(draw_key(42, "query_id", "vec_id"), "vec_id"))
     return rows.crossJoin(asked).where("vec_id <> query_id").withColumn("rank", rank).where("rank <= 5")
 
@@ -87,8 +89,9 @@ def selector_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def select_mmr(spark: SparkSession, d: str) -> DataFrame:
+    """Maximal marginal relevance over all rows, for the queries divisible by 100."""
     rows = _rows(spark, d)
-    return X.mmr(_scored(spark, d, others=True), rows, 5)
+    return X.mmr(rows.where("vec_id % 100 = 0"), rows, 5)
 
 
 def _centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -109,12 +112,12 @@ def ivf_cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
 def _ivf(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = _rows(spark, d)
     c = _centroids(spark, d)
-    return rows, c, X.assign(rows, c)
+    return rows, c, X.assign(rows, c, keep_vectors=True)
 
 
 def ivf_search(spark: SparkSession, d: str) -> DataFrame:
     rows, c, a = _ivf(spark, d)
-    return X.ivf_search(rows.where("vec_id < 10"), rows, c, a, 5, 3)
+    return X.ivf_search(rows.where("vec_id % 100 = 0"), c, a, 5, 3)
 
 
 def ivf_index_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -127,24 +130,23 @@ def ivf_index_recall(spark: SparkSession, d: str) -> DataFrame:
 def ivf_scan_fraction(spark: SparkSession, d: str) -> DataFrame:
     rows, c, a = _ivf(spark, d)
     n = table(spark, d, "embeddings").agg(F.count("*").alias("n"))
-    got = X.ivf_candidates(rows.where("vec_id < 10"), c, a, 3).groupBy("query_id").agg(F.count("*").alias("scanned"))
+    got = X.ivf_candidates(rows.where("vec_id % 100 = 0"), c, a, 3).groupBy("query_id").agg(F.count("*").alias("scanned"))
     return got.crossJoin(F.broadcast(n)).select("query_id", "scanned", F.round(F.col("scanned") / F.col("n"), 6).alias("fraction"))
 
 
 def kmeans_one_step(spark: SparkSession, d: str) -> DataFrame:
-    rows, _, a = _ivf(spark, d)
-    return X.centroid_means(rows, a).select(F.col("cid"), F.posexplode("u").alias("pos", "x")).select("cid", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+    return X.centroid_means(_ivf(spark, d)[2]).select(F.col("cid"), F.posexplode("u").alias("pos", "x")).select("cid", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
 def kmeans_full(spark: SparkSession, d: str) -> DataFrame:
-    _, labels = X.kmeans(_rows(spark, d), 8, 5)
+    _, labels = X.kmeans(_rows(spark, d), 8)
     return labels.groupBy("cid").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
 CENT = f"""{UNIT}, c AS (SELECT label AS cid, arg_min(u, vec_id) AS c FROM u GROUP BY label),
  a AS (SELECT vec_id, u, cid, score FROM (SELECT u.vec_id, u.u, c.cid, round(list_inner_product(u.u, c.c), 6) AS score FROM u, c)
        QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, cid) = 1)"""
-PROBE = f"""{CENT}, p AS (SELECT query_id, q, cid FROM (SELECT q.vec_id AS query_id, q.u AS q, c.cid, round(list_inner_product(q.u, c.c), 6) AS s FROM u q, c WHERE q.vec_id < 10)
+PROBE = f"""{CENT}, p AS (SELECT query_id, q, cid FROM (SELECT q.vec_id AS query_id, q.u AS q, c.cid, round(list_inner_product(q.u, c.c), 6) AS s FROM u q, c WHERE q.vec_id % 100 = 0)
        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, cid) <= 3)"""
 TOP = "SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM {} {} QUALIFY rank <= 5"
 IVF = f"{PROBE}, f AS (SELECT p.query_id, a.vec_id, round(list_inner_product(a.u, p.q), 6) AS score FROM p JOIN a USING (cid))"
@@ -156,7 +158,7 @@ QUERIES = {
     "vec_analogy_add": (
         vec_analogy_add,
         f"""WITH {UNIT}, t AS (SELECT a.vec_id AS query_id, b.vec_id AS b, c.vec_id AS c, list_transform(list_zip(a.u, b.u, c.u), lambda z: z[2] - z[1] + z[3]) AS t
-            FROM u a JOIN u b ON b.vec_id = a.vec_id + 1 JOIN u c ON c.vec_id = a.vec_id + 2 WHERE a.vec_id < 5),
+            FROM u a JOIN u b ON b.vec_id = a.vec_id + 1 JOIN u c ON c.vec_id = a.vec_id + 2 WHERE a.vec_id % 100 = 0),
         s AS (SELECT query_id, vec_id, round(list_inner_product(u.u, t.t) / sqrt(list_inner_product(t.t, t.t)), 6) AS score FROM u, t WHERE vec_id NOT IN (query_id, b, c)) """
         + TOP.format("s", ""),
     ),
@@ -164,7 +166,7 @@ QUERIES = {
         vec_analogy_mul,
         f"""WITH {UNIT}, s AS (SELECT a.vec_id AS query_id, d.vec_id,
             round((list_inner_product(d.u, b.u) + 1) / 2 * ((list_inner_product(d.u, c.u) + 1) / 2) / ((list_inner_product(d.u, a.u) + 1) / 2 + 0.001), 6) AS score
-            FROM u a JOIN u b ON b.vec_id = a.vec_id + 1 JOIN u c ON c.vec_id = a.vec_id + 2, u d WHERE a.vec_id < 5 AND d.vec_id NOT IN (a.vec_id, b.vec_id, c.vec_id)) """
+            FROM u a JOIN u b ON b.vec_id = a.vec_id + 1 JOIN u c ON c.vec_id = a.vec_id + 2, u d WHERE a.vec_id % 100 = 0 AND d.vec_id NOT IN (a.vec_id, b.vec_id, c.vec_id)) """
         + TOP.format("s", ""),
     ),
     "vec_random_pairs": (
@@ -181,7 +183,7 @@ QUERIES = {
     "select_random_hash": (
         select_random_hash,
         """SELECT q.vec_id AS query_id, d.vec_id, d.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY md5(concat_ws('|', q.vec_id, d.vec_id, 42)), d.vec_id) AS rank
-        FROM embeddings q, embeddings d WHERE q.vec_id < 10 AND d.vec_id <> q.vec_id QUALIFY rank <= 5""",
+        FROM embeddings q, embeddings d WHERE q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id QUALIFY rank <= 5""",
     ),
     "selector_quality": (
         selector_quality,
@@ -194,7 +196,7 @@ QUERIES = {
     "ivf_search": (ivf_search, f"WITH {IVF} " + TOP.format("f", "")),
     "ivf_index_recall": (
         ivf_index_recall,
-        f"""WITH {IVF}, i AS ({TOP.format("f", "")}), s AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_inner_product(d.u, q.u), 6) AS score FROM u q, u d WHERE q.vec_id < 10),
+        f"""WITH {IVF}, i AS ({TOP.format("f", "")}), s AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_inner_product(d.u, q.u), 6) AS score FROM u q, u d WHERE q.vec_id % 100 = 0),
         e AS ({TOP.format("s", "")}) SELECT round(avg(h), 6) AS recall FROM (SELECT e.query_id, count(i.vec_id) / 5.0 AS h FROM e LEFT JOIN i USING (query_id, vec_id) GROUP BY e.query_id)""",
     ),
     "ivf_scan_fraction": (ivf_scan_fraction, f"WITH {IVF} SELECT query_id, count(*) AS scanned, round(count(*) / (SELECT count(*) FROM embeddings), 6) AS fraction FROM f GROUP BY query_id"),
