@@ -1,12 +1,15 @@
 """WARC archives: a writer with revisit records, and a salvage reader.
 
-The reader takes an archive member by member. When a check fails (compression, version line,
-headers, block length, payload digest), it searches for the next place where a valid member or
-version line begins, goes on from there, and logs the bytes between as a quarantined gap.
+The reader takes an archive member by member or, uncompressed, record by record. When a check fails
+(compression, version line, headers, block length, payload digest), it searches for the next place
+where a valid member or version line begins, goes on from there, and logs the bytes between as a
+quarantined gap. The same search runs over the inflated bytes of a member, so a member with one bad
+record, or one that breaks off, still gives its other records.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -44,6 +47,8 @@ def record(page_id: int | str | None, url: str | None, payload: bytes, digest: s
 def with_record_types(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """(page_id, url, html, digest, record_type, refers_to): of equal payloads the largest page_id is the response.
 
+    Rows that share the largest page_id are all responses; one without an id refers to the response.
+
     Only digests seen more than once come back from the count, a row each; a join against them
     splits a hot payload by AQE's skew join or is broadcast by its measured size.
     """
@@ -121,81 +126,130 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Bad("block length")
     block = data[start:stop]
-    kind, digest = fields.get("warc-type", ""), fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    kind, digest = fields.get("warc-type", ""), _digest(fields.get("warc-payload-digest", ""))
     payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
-    if kind == "response" and digest and re.fullmatch(r"[0-9a-f]{40}", digest) and hashlib.sha1(payload).hexdigest() != digest:
+    if kind == "response" and digest and hashlib.new(digest[0], payload).hexdigest() != digest[1]:
         raise Bad("payload digest")
     number = lambda s: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?[0-9]+)>", fields.get(s, ""))) else None
     length = fields.get("x-payload-length", "")
     return {
-        "page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": number("warc-refers-to"), "payload_digest": digest or None,
+        "page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "record_type": kind, "refers_to": number("warc-refers-to"), "payload_digest": digest[1] if digest else None,
         "payload_bytes": len(payload) if kind == "response" else int(length) if re.fullmatch(r"[0-9]{1,18}", length) else None, "payload": payload if kind == "response" else None,
     }, stop + 4
 
 
-def _member(data: bytes, at: int) -> tuple[list[dict], int]:
-    """All records of the gzip member at a place, and where it ends."""
-    inflate = zlib.decompressobj(31)
-    try:
-        plain = inflate.decompress(data[at : at + (1 << 20)])
-        done = at + (1 << 20)
-        while not inflate.eof and done < len(data):
-            plain += inflate.decompress(data[done : done + (1 << 20)])
-            done += 1 << 20
-    except zlib.error as e:
-        raise Bad("compression") from e
-    if not inflate.eof:
-        raise Bad("compression")
-    end = min(done, len(data)) - len(inflate.unused_data)
-    found, pos = [], 0
-    while pos < len(plain):
-        x, pos = _parse(plain, pos)
-        found.append(x)
-    if not found:
-        raise Bad("empty member")
-    return found, end
-
-
-def _next(data: bytes, at: int, packed: bool) -> int:
-    """The first place from at on where a member or record passes all checks; len(data) if none."""
-    sign = MEMBER if packed else VERSION
-    while (at := data.find(sign, at)) >= 0:
+def _digest(text: str) -> tuple[str, str] | None:
+    """(algorithm, lower-case hexadecimal digits) of a labelled digest in hexadecimal or base32; None if it can't be checked."""
+    name, _, value = text.rpartition(":")
+    name = name.lower().replace("-", "") or "sha1"
+    size = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}.get(name)
+    if size and re.fullmatch(r"[0-9A-Fa-f]+", value) and len(value) == 2 * size:
+        return name, value.lower()
+    if size and re.fullmatch(r"[A-Za-z2-7]+=*", value):
         try:
-            (_member if packed else _parse)(data, at)
-            return at
-        except Bad:
-            at += 1
+            raw = base64.b32decode(value.rstrip("=").upper() + "=" * (-len(value.rstrip("=")) % 8))
+        except ValueError:
+            return None
+        return (name, raw.hex()) if len(raw) == size else None
+    return None
+
+
+def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int | None]:
+    """The bytes of the gzip member at a place, as far as they can be had, and where it ends (None if it is damaged)."""
+    inflate, out = zlib.decompressobj(31), []
+    while at < len(data):
+        before = inflate.copy()
+        try:
+            out.append(inflate.decompress(data[at : at + step]))
+        except zlib.error:
+            # up to the damage, byte by byte
+            for i in range(at, min(at + step, len(data))):
+                try:
+                    out.append(before.decompress(data[i : i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), None
+        at += step
+        if inflate.eof:
+            return b"".join(out), min(at, len(data)) - len(inflate.unused_data)
+    return b"".join(out), None
+
+
+def _records(plain: bytes) -> list[dict]:
+    """Records and gaps of inflated bytes: after a failed check the next version line that starts a valid record goes on."""
+    found, at = [], 0
+    while at < len(plain):
+        try:
+            x, end = _parse(plain, at)
+            found.append({"kind": "record"} | x)
+        except Bad as e:
+            end = _next(plain, at + 1, (VERSION,))
+            found.append({"kind": "gap", "reason": str(e), "inner_offset": at, "inner_end": end})
+        at = end
+    return found
+
+
+def _valid(data: bytes, at: int) -> bool:
+    if data.startswith(MEMBER, at):
+        plain, _ = _inflate(data, at)
+        return any(x["kind"] == "record" for x in _records(plain))
+    try:
+        _parse(data, at)
+    except Bad:
+        return False
+    return True
+
+
+def _next(data: bytes, at: int, signs: tuple[bytes, ...] = (MEMBER, VERSION)) -> int:
+    """The first place from at on where a member or version line begins a valid record; len(data) if none."""
+    places = {s: data.find(s, at) for s in signs}
+    while (left := {s: p for s, p in places.items() if p >= 0}):
+        sign = min(left, key=left.get)
+        if _valid(data, left[sign]):
+            return left[sign]
+        places[sign] = data.find(sign, left[sign] + 1)
     return len(data)
 
 
 def salvage(data: bytes) -> Iterator[dict]:
-    """Records and gaps of an archive in order: kind is 'record' (with its offset) or 'gap' (offset, gap_end, reason)."""
-    packed = data.startswith(MEMBER[:2]) or (MEMBER in data and VERSION not in data[:64])
+    """Records and gaps of an archive in order: kind is 'record' (with its offset) or 'gap' (offset, gap_end, reason).
+
+    A gap inside a whole member has the member's bounds and its own place in the inflated bytes
+    (inner_offset, inner_end). A damaged member is a gap up to the next valid place, after the records
+    that could be read from its beginning.
+    """
     at = 0
     while at < len(data):
-        try:
-            if packed:
-                found, end = _member(data, at)
+        if data.startswith(MEMBER, at):
+            plain, end = _inflate(data, at)
+            found = _records(plain)
+            if end is None or not any(x["kind"] == "record" for x in found):
+                reason = "compression" if end is None else found[0]["reason"] if found else "empty member"
+                yield from ({"offset": at} | x for x in found if x["kind"] == "record")
+                end = _next(data, at + 1)
+                yield {"kind": "gap", "offset": at, "gap_end": end, "reason": reason}
             else:
-                x, end = _parse(data, at)
-                found = [x]
-        except Bad as e:
-            end = _next(data, at + 1, packed)
-            yield {"kind": "gap", "offset": at, "gap_end": end, "reason": str(e)}
+                yield from ({"offset": at} | ({"gap_end": end} if x["kind"] == "gap" else {}) | x for x in found)
         else:
-            for x in found:
+            try:
+                x, end = _parse(data, at)
                 yield {"kind": "record", "offset": at} | x
+            except Bad as e:
+                end = _next(data, at + 1)
+                yield {"kind": "gap", "offset": at, "gap_end": end, "reason": str(e)}
         at = end
 
 
-RECORD = "archive string, kind string, offset long, gap_end long, reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
+RECORD = "archive string, kind string, offset long, gap_end long, reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, inner_offset long, inner_end long"
 
 
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = True, pattern: str = "*.warc*") -> DataFrame:
     """Records and quarantined gaps (column kind) of all archives in folder; each is checked as it is read.
 
     A damaged archive gives the records before and after each gap. An empty archive gives no row.
-    Revisits carry no payload; their payload_bytes and payload_digest are the response's.
+    Revisits carry no payload; their payload_bytes and payload_digest are the response's. Digests are
+    checked as md5, sha1, sha256 or sha512 in hexadecimal or base32. An archive is one row of Spark's
+    binary reader, which takes files up to 2 GB; archives from write_archives are far smaller.
     """
     schema = RECORD + ", payload binary" * with_payload
     columns = [x.split(" ")[0] for x in schema.split(", ")]
@@ -220,6 +274,6 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True, p
 
 def _frame(rows: list[dict], path: str, columns: list[str]) -> pd.DataFrame:
     out = pd.DataFrame([x | {"archive": path} for x in rows]).reindex(columns=columns)
-    for c in ("offset", "gap_end", "page_id", "refers_to", "payload_bytes"):
+    for c in ("offset", "gap_end", "page_id", "refers_to", "payload_bytes", "inner_offset", "inner_end"):
         out[c] = pd.array([None if x is None or x != x else int(x) for x in (r.get(c) for r in rows)], dtype="Int64")
     return out.astype({c: object for c in ("kind", "reason", "url", "record_type", "payload_digest")}).where(out.notna(), None)
