@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import cut
 from textloom.llm.langid import fold
 from textloom.llm.wordbpe import Cache
 
@@ -158,7 +159,8 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     total = sum(counts.values())
     if len(counts) < 2:
         return Model()
-    drawn = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < min(1.0, train_docs / total) * 1_000_003)
+    # written once: five passes follow
+    drawn = cut(labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < min(1.0, train_docs / total) * 1_000_003), "toxicity-drawn")
     tally = {r["toxic"]: r["n"] for r in drawn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = tally.get(1, 0), tally.get(0, 0)
     if not n1 or not n0:
@@ -289,7 +291,10 @@ def _udf(docs: DataFrame, model: Model):
 
 
 def keep_civil(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose score is under one half."""
+    """The rows of docs, all columns, whose score is under one half.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table stays empty.
+    """
     return docs.where(_udf(docs, model)(F.col(text_col)) < 0.5)
 
 
@@ -300,6 +305,11 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted), learned from the rows that are not held out."""
+    """(doc_id, held_out, score, predicted), learned from the rows that are not held out.
+
+    Null and empty texts have the score of a text without matches; a null id is not held out (its fold
+    is null); repeated rows each give a row; very long texts are scored whole; an empty table gives an
+    empty result, and without labels every score is near 0.
+    """
     out = score(docs, fit(training_rows(docs, labels)))
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
