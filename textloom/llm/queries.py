@@ -23,10 +23,12 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and verdict of every document. A null text has no words and fails; see quality.quality."""
     return quality(table(spark, sf_dir, "documents"))
 
 
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back by the salvage reader. A null html is an empty payload; repeated rows give a record each."""
     folder = scratch_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), folder).agg({"records": "sum"}).collect()
     found = read_archives(spark, folder, with_payload=False).where("kind = 'record'")
@@ -34,38 +36,65 @@ def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document; a null text counts as empty. See token_count.count_tokens."""
     return count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings of 200 that occur twice; a null text counts as empty. See suffix_dedup.dedup_digests."""
     return dedup_digests(table(spark, sf_dir, "documents"))
 
 
 def op5_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of each vector whose id is divisible by 20. Null, zero and non-finite vectors take no part. See ann.nearest."""
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, rows.where("vec_id % 20 = 0"))
 
 
 def op6_language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows that are not held out; und for null texts and those without a letter."""
     return language_query(table(spark, sf_dir, "documents"))
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them; a null text counts as empty. See bpe_codec.codec_digests."""
     return codec_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op8_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, learned from the labelled rows that are not held out. See toxicity.toxicity_query."""
     return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces and their places in sequences of 4096; a null text is the end token alone. See packing.pack_documents."""
     return pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and component of every document; null and blank texts are linked with nothing. See jaccard_join.near_duplicates."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: All rules of the cascade; the verdict doesn't depend on their order.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, range(5) AS o(o) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+      len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+      coalesce(list_sum(list_transform(l, lambda x: length(x))), 0) - coalesce(list_sum(list_transform(list_distinct(l), lambda x: length(x))), 0) AS dup_chars,
+      len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS stutters,
+      length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS upper, length(t) - length(regexp_replace(t, '\p{Ll}', '', 'g')) AS lower
+      FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR n_symbols > 0.3 * n_words OR dup_chars > 0.3 * word_chars OR stutters > 0.3 * n_words OR 2 * upper > greatest(1, upper + lower) OR word_chars < 1.5 * n_words OR word_chars > 25 * n_words) AS kept
+FROM b
+"""
+
 OP2_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(encode(html)) AS payload_digest FROM p),
@@ -82,4 +111,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_salvage": OP2_SQL}
+    return {"op1_quality_cascade": OP1_SQL, "op2_warc_salvage": OP2_SQL}
