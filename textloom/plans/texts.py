@@ -85,7 +85,7 @@ def bpe_pair_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bpe_train(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(V.train_bpe(_docs(spark, d), 64), "rank int, left int, right int, id int")
+    return spark.createDataFrame(V.train_bpe(_docs(spark, d), 32), "rank int, left int, right int, id int")
 
 
 def pretokenize_counts(spark: SparkSession, d: str) -> DataFrame:
