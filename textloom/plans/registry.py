@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import answers, chunks, evaluation, replay, retrieval, sequences, structure, texts, vectors
+from textloom.plans import answers, chunks, evaluation, replay, retrieval, schemas, sequences, structure, texts, vectors
 
-MODULES = (vectors, retrieval, chunks, texts, evaluation, sequences, answers, replay, structure)
+MODULES = (vectors, retrieval, chunks, texts, evaluation, sequences, answers, replay, structure, schemas)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
