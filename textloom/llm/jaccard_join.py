@@ -196,7 +196,7 @@ def links(sets: DataFrame, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
         ends, big = live.where(F.col("m") <= leaf), live.where(F.col("m") > leaf)
         x, y = (ends.select("region", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("cap").alias(f"p{k}"), F.col("cls").alias(f"c{k}")) for k in "ab")
         pairs = x.join(y, "region").where("a < b AND ca <> cb AND nb <= pa AND na <= pb").select("a", "b")
-        chosen = cut(_pivots(big, pivots, 8**depth), f"join-pivots-{depth}")
+        chosen = cut(_pivots(big, pivots, 32**depth), f"join-pivots-{depth}")
         at = big.join(chosen, "region").where("node <> p")
         # distances to the Voronoi pivots place a node; another pivot is tested where it can be a partner
         near = at.where("voronoi OR cls <> pc AND pn <= cap AND n <= pp")
