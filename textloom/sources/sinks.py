@@ -50,3 +50,43 @@ def check_aligned(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id")
     a, b = chunks.select(key), vectors.select(key)
     if not a.exceptAll(b).isEmpty() or not b.exceptAll(a).isEmpty():
         raise ValueError(f"the two tables differ in {key}")
+
+
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """(key, embedding) as Parquet; a null vector or one of another length than the rest raises an error."""
+    n = vectors.agg(F.min(F.size("embedding")).alias("a"), F.max(F.size("embedding")).alias("b"), F.count_if(F.col("embedding").isNull()).alias("c")).first()
+    if n["c"] or n["a"] != n["b"]:
+        raise ValueError("vectors are missing or differ in length")
+    vectors.write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str, chunks: DataFrame | None = None, key: str = "chunk_id") -> DataFrame:
+    """Saved vectors; with chunks, an error unless both have the same keys."""
+    vectors = spark.read.parquet(path)
+    if chunks is not None:
+        check_aligned(chunks, vectors, key)
+    return vectors
+
+
+def embed_with_cache(texts: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame], key: str = "chunk_id") -> DataFrame:
+    """The vectors in path if it has those of the keys of texts, else embed(texts), written there. A stale cache raises an error."""
+    vectors = cached(texts.sparkSession, path, lambda: embed(texts))
+    check_aligned(texts, vectors, key)
+    return vectors
+
+
+def write_summary_row(row: DataFrame, path: str, key: str) -> DataFrame:
+    """The summary in path with row in the place of one of the same key; columns that either lacks are null.
+
+    The new table is written beside the old one and read from there by the returned path's newest part.
+    """
+    spark = row.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted(s.getPath().getName() for s in store.listStatus(at)) if store.exists(at) else []
+    if parts:
+        old = spark.read.parquet(f"{path}/{parts[-1]}")
+        row = old.join(row.select(key), key, "left_anti").unionByName(row, allowMissingColumns=True)
+    new = f"{path}/part={len(parts):06d}"
+    row.coalesce(1).write.parquet(new)
+    return spark.read.parquet(new)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CORPUS = "_id string, title string, text string"
@@ -43,3 +44,77 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("question string, answer string").json(path)
     last = F.element_at(F.split("answer", "####"), -1)
     return rows.withColumn("gold", F.regexp_replace(F.trim(last), ",", "").try_cast("double"))
+
+
+def code_corpus(files: DataFrame, limit_chars: int) -> DataFrame:
+    """(path, text): whole files in the order of their paths, as many as fit limit_chars.
+
+    The running sum sees one number a file; texts are joined back by path.
+    """
+    order = W.orderBy("path").rowsBetween(W.unboundedPreceding, 0)
+    kept = files.select("path", F.length("text").alias("n")).withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= limit_chars)
+    return files.join(kept.select("path"), "path")
+
+
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """(id, text, label) from a CSV file with the header text,label; label in lower case, id in the order of the file's hash."""
+    rows = spark.read.schema("text string, label string").csv(path, header=True, multiLine=True, escape='"')
+    return rows.select(F.substring(F.sha2(F.concat_ws("\u0001", "text", "label"), 256), 1, 16).alias("id"), "text", F.lower(F.trim("label")).alias("label"))
+
+
+def label_list(rows: DataFrame) -> list[str]:
+    """The distinct labels in order."""
+    return [r["label"] for r in rows.select("label").distinct().orderBy("label").collect()]
+
+
+def read_tagged(spark: SparkSession, path: str) -> DataFrame:
+    """(id, tokens, tags) from JSON lines of token and tag arrays; rows whose arrays differ in length raise an error when read."""
+    rows = spark.read.schema("id string, tokens array<string>, tags array<string>").json(path)
+    same = F.size("tokens") == F.size("tags")
+    return rows.withColumn("tags", F.when(same, F.col("tags")).otherwise(F.raise_error(F.concat(F.lit("tokens and tags differ in "), F.coalesce("id", F.lit("a row"))))))
+
+
+def entities_of_tags(rows: DataFrame) -> DataFrame:
+    """(id, entities array<struct(text, type)>): runs of B-X and I-X tags, joined by spaces; an I-X of another type starts a run too."""
+    at = rows.select("id", F.posexplode(F.arrays_zip("tokens", "tags")).alias("pos", "x")).select("id", "pos", F.col("x.tokens").alias("token"), F.col("x.tags").alias("tag"))
+    w = W.partitionBy("id").orderBy("pos")
+    kind = F.when(F.col("tag") != "O", F.substring("tag", 3, 100))
+    at = at.withColumn("kind", kind).withColumn("before", F.lag("kind").over(w))
+    starts = F.col("kind").isNotNull() & (F.col("tag").startswith("B-") | ~F.col("kind").eqNullSafe(F.col("before")))
+    runs = at.withColumn("run", F.sum(starts.cast("int")).over(w)).where("kind IS NOT NULL")
+    per = runs.groupBy("id", "run").agg(F.min("pos").alias("pos"), F.first("kind").alias("type"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]), " ").alias("text"))
+    found = per.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text", "type"))), lambda e: F.struct(e["text"].alias("text"), e["type"].alias("type"))).alias("entities"))
+    return rows.select("id").join(found, "id", "left").select("id", F.coalesce("entities", F.array().cast("array<struct<text:string,type:string>>")).alias("entities"))
+
+
+def read_hops(spark: SparkSession, path: str) -> DataFrame:
+    """(id, question, answer, titles, texts) of JSON lines with a context of titles and sentence lists."""
+    rows = spark.read.schema("id string, question string, answer string, context struct<title:array<string>,sentences:array<array<string>>>").json(path)
+    return rows.select("id", "question", "answer", F.col("context.title").alias("titles"), F.transform("context.sentences", lambda s: F.array_join(s, "")).alias("texts"))
+
+
+def context_paragraphs(titles, texts):
+    """Column: 'title: text' of each pair, with a blank line between."""
+    return F.array_join(F.zip_with(titles, texts, lambda t, x: F.concat(t, F.lit(": "), x)), "\n\n")
+
+
+def read_beir(spark: SparkSession, folder: str, split: str = "test") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Corpus, the queries that have judgements, and judgements of a folder in the usual layout."""
+    qrels = read_qrels(spark, f"{folder}/qrels/{split}.tsv")
+    return read_corpus(spark, f"{folder}/corpus.jsonl"), read_queries(spark, f"{folder}/queries.jsonl").join(qrels.select("qid").distinct(), "qid", "left_semi"), qrels
+
+
+def read_runs(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Rows of all JSON files in folder with run, the file's name without its ending."""
+    rows = spark.read.schema(schema).option("pathGlobFilter", "*.json*").json(folder)
+    return rows.withColumn("run", F.regexp_extract(F.input_file_name(), r"([^/]+?)\.jsonl?$", 1))
+
+
+def run_ids(runs: DataFrame, wanted: list[str] | None = None) -> list[str]:
+    """The runs there are, in order; of wanted ones those, and an error for any that is missing."""
+    known = [r["run"] for r in runs.select("run").distinct().orderBy("run").collect()]
+    if wanted is None:
+        return known
+    if missing := [w for w in wanted if w not in known]:
+        raise ValueError(f"no run {', '.join(missing)}")
+    return [w for w in wanted if w in known]
