@@ -145,7 +145,7 @@ def pieces(chunks: DataFrame, spans: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def coherence(parts: DataFrame, chunks: DataFrame, embed: Callable) -> DataFrame:
-    """(doc_id, chunk_index, score): the mean inner product of a chunk's vector with those of its pieces; NaN under two pieces.
+    """(doc_id, chunk_index, score): the mean inner product of a chunk's vector with those of its pieces; null under two pieces.
 
     embed turns a list of texts into rows of unit vectors, a batch at a time.
     """
@@ -156,8 +156,8 @@ def coherence(parts: DataFrame, chunks: DataFrame, embed: Callable) -> DataFrame
     def scores(texts: pd.Series, lists: pd.Series) -> pd.Series:
         found = []
         for text, p in zip(texts, lists, strict=True):
-            found.append(float((embed([x["text"] for x in p]) @ embed([text])[0]).mean()) if p is not None and len(p) > 1 else float("nan"))
-        return pd.Series(found, dtype=float)
+            found.append(float((embed([x["text"] for x in p]) @ embed([text])[0]).mean()) if p is not None and len(p) > 1 else None)
+        return pd.Series(found, dtype=object)
 
     return rows.select("doc_id", "chunk_index", scores("text", "p").alias("score"))
 
