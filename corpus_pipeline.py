@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, toxicity, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the
-last return the columns of documents.
+last return the columns of documents. In every stage repeated rows are rows of their own, very long
+texts are taken whole, other columns are carried along or not read, and an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -17,24 +19,30 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text passes all rules. Null and empty texts go; a null id doesn't matter."""
     return quality.keep_good(docs)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learned from the labelled rows among docs that are not held out."""
+    """The rows whose score is under one half, learned from the labelled rows among docs that are not held out.
+
+    Null and empty texts stay; without labels of both kinds nothing is learned and all rows stay.
+    """
     return toxicity.keep_civil(docs, toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels"))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows with the smallest id of their group of near duplicates; rows without words or without an id stay."""
     return jaccard_join.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated passages; n_chars follows the new text."""
+    """All rows, texts without the bytes of repeated passages; n_chars follows the new text. A null text stays null."""
     return suffix_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each token piece, with its place in a sequence; a null or empty text is the end token alone."""
     return packing.pack_documents(docs, WORD_BPE)
 
 
@@ -46,7 +54,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Token ids can't be had from SQL; tests hold the stages against brute force.
+#: Token ids can't be had from SQL; tests/llm/test_contracts.py holds run() against five plain stages.
 ORACLE_SQL = None
 
 
