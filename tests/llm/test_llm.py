@@ -214,7 +214,9 @@ def test_salvage_recovers_records_around_damage():
         assert [x["page_id"] for x in found if x["kind"] == "record"] == [0, 2, 3, 4]
         gap = next(x for x in found if x["kind"] == "gap")
         assert (gap["offset"], gap["gap_end"]) == (len(parts[0]), len(parts[0]) + len(parts[1]))
-        assert [x["page_id"] for x in warc.salvage(whole[:-5]) if x["kind"] == "record"] == [0, 1, 2, 3]
+        # a member that lacks the end of its checksum still gives a record whose digest is right
+        cut = list(warc.salvage(whole[:-5]))
+        assert [x["page_id"] for x in cut if x["kind"] == "record"] == [0, 1, 2, 3, 4][: 5 if packed else 4] and cut[-1]["kind"] == "gap"
 
 
 def test_archives_round_trip(spark, tmp_path):

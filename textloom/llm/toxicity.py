@@ -307,8 +307,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), learned from the rows that are not held out.
 
-    Null and empty texts have the score of a text without matches; a null id is not held out (its fold
-    is null); repeated rows each give a row; very long texts are scored whole; an empty table gives an
+    Null and empty texts have the score of a text without matches; a null id counts as
+    held out; repeated rows each give a row; very long texts are scored whole; an empty table gives an
     empty result, and without labels every score is near 0.
     """
     out = score(docs, fit(training_rows(docs, labels)))
