@@ -131,7 +131,11 @@ def recursive(text: str, budget: int, min_tokens: int = 0, across: bool = False)
 
 
 def semantic(text: str, distances: list[float], spans: list[Span], threshold: float, budget: int, min_tokens: int = 0) -> list[Span]:
-    """Cut where the distance between neighbours exceeds the threshold; small segments merge towards the nearer side."""
+    """Cut where the distance between neighbours exceeds the threshold; small segments merge towards the nearer side.
+
+    From the left, a segment under min_tokens joins the one before it or the one after it, whichever
+    fits the budget; of both the nearer, of equally near ones the one after it.
+    """
     if not spans:
         return []
     groups: list[list[Span]] = [[spans[0]]]
@@ -143,25 +147,24 @@ def semantic(text: str, distances: list[float], spans: list[Span], threshold: fl
         else:
             groups[-1].append(s)
     size = [count(text[g[0][0] : g[-1][1]]) for g in groups]
+    # a merged segment isn't judged again: the next one is that after it
+    done: list[tuple[list[Span], int]] = []
     i = 0
     while i < len(groups):
-        if size[i] < min_tokens and len(groups) > 1:
-            left = i > 0 and size[i - 1] + size[i] <= budget
-            right = i + 1 < len(groups) and size[i] + size[i + 1] <= budget
-            if left and (not right or gaps[i - 1] < gaps[i]):
-                groups[i - 1 : i + 1] = [groups[i - 1] + groups[i]]
-                size[i - 1 : i + 1] = [size[i - 1] + size[i]]
-                gaps.pop(i - 1)
-                i = max(0, i - 1)
-                continue
-            if right:
-                groups[i : i + 2] = [groups[i] + groups[i + 1]]
-                size[i : i + 2] = [size[i] + size[i + 1]]
-                gaps.pop(i)
-                continue
-        i += 1
+        small = size[i] < min_tokens
+        left = small and bool(done) and done[-1][1] + size[i] <= budget
+        right = small and i + 1 < len(groups) and size[i] + size[i + 1] <= budget
+        if left and (not right or gaps[i - 1] < gaps[i]):
+            done[-1] = done[-1][0] + groups[i], done[-1][1] + size[i]
+            i += 1
+        elif right:
+            done.append((groups[i] + groups[i + 1], size[i] + size[i + 1]))
+            i += 2
+        else:
+            done.append((groups[i], size[i]))
+            i += 1
     out: list[Span] = []
-    for g, n in zip(groups, size, strict=True):
+    for g, n in done:
         out += [(g[0][0], g[-1][1])] if n <= budget else pack_sentences(text, budget, 0, g)
     return out
 
@@ -190,6 +193,17 @@ def gap_distances(text: str, spans: list[Span], embed: Callable = word_vectors,
     return [float(1 - unit(e[max(0, i + 1 - window) : i + 1].mean(axis=0)) @ unit(e[i + 1 : i + 1 + window].mean(axis=0))) for i in range(len(spans) - 1)]
 
 
+def document_gaps(docs: DataFrame, embed: Callable = word_vectors, window: int = 1) -> DataFrame:
+    """(doc_id, d): the distances at all gaps between sentences, to take a percentile of."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(d, x) for d, t in b.itertuples(index=False) if t for x in gap_distances(t, sentences(t), embed, window)]
+            yield pd.DataFrame(rows, columns=["doc_id", "d"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, d double")
+
+
 def chunk_documents(docs: DataFrame, spans_of: Callable[[str], list[Span]]) -> DataFrame:
     """Chunks of (doc_id, text) by a function from text to spans; null texts have none."""
 

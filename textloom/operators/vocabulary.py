@@ -14,6 +14,10 @@ from textloom.functions.sampling import hash_uniform
 from textloom.functions.text import bound, words
 
 
+# Fixed value: the split pattern of byte-level tokenizers.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def positions(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, word): words [a-z]+ of the lower-cased text."""
     return docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "word"))
@@ -116,7 +120,7 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
-def train_bpe(docs: DataFrame, merges: int, pattern: str = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+") -> list[tuple[int, int, int, int]]:
+def train_bpe(docs: DataFrame, merges: int, pattern: str = SPLIT) -> list[tuple[int, int, int, int]]:
     """(rank, left, right, id) of at most merges merges; ties go to the smaller pair; stops under two occurrences.
 
     The text is reduced to distinct pre-tokens with counts once; each merge is one small aggregation.

@@ -64,11 +64,15 @@ def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
+    """Cuts at distances over the 80th percentile of the corpus."""
+    docs = _docs(spark, d)
+    threshold = C.document_gaps(docs).agg(F.percentile("d", F.lit(0.8))).first()[0] or 0.0
+
     def spans(t):
         s = C.sentences(t)
-        return C.semantic(t, C.gap_distances(t, s), s, 0.8, 64, 16)
+        return C.semantic(t, C.gap_distances(t, s), s, threshold, 64, 16)
 
-    return C.chunk_documents(_docs(spark, d), spans).drop("text")
+    return C.chunk_documents(docs, spans).drop("text")
 
 
 def _word_spans(spark: SparkSession, d: str, size: int, overlap: int) -> DataFrame:

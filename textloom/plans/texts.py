@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.functions.sampling import hash_uniform
 from textloom.operators import vocabulary as V
+from textloom.operators.byte_pairs import BytePairs, encode_documents
 from textloom.sources.tables import table
 
 
@@ -88,6 +89,13 @@ def bpe_train(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(V.train_bpe(_docs(spark, d), 32), "rank int, left int, right int, id int")
 
 
+def bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each document under 32 trained merges, and whether decoding gives the text back."""
+    docs = _docs(spark, d).where("text IS NOT NULL")
+    model = BytePairs(sorted(V.train_bpe(docs, 32)))
+    return encode_documents(docs, model).select("doc_id", "n_tokens", "same")
+
+
 def pretokenize_counts(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), F.lit(0))).cast("long").alias("n"))
 
@@ -187,6 +195,7 @@ QUERIES = {
         f"WITH {WORDS}, l AS (SELECT word, unnest(range(1, length(word))) AS i FROM p) SELECT word[i] AS left, word[i + 1] AS right, count(*) AS n FROM l GROUP BY ALL",
     ),
     "bpe_train": (bpe_train, None),
+    "bpe_round_trip": (bpe_round_trip, None),
     "pretokenize_counts": (pretokenize_counts, r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+')) AS n FROM documents"),
     "ngram8_leakage": (
         ngram8_leakage,
