@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import answers, attention, chunks, evaluation, figures, replay, retrieval, schemas, sequences, structure, texts, vectors
+from textloom.plans import answers, attention, chunks, evaluation, figures, prompts, replay, retrieval, schemas, sequences, structure, texts, vectors
 
-MODULES = (vectors, retrieval, chunks, texts, evaluation, sequences, answers, replay, structure, schemas, attention, figures)
+MODULES = (vectors, retrieval, chunks, texts, evaluation, sequences, answers, replay, structure, schemas, attention, figures, prompts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
