@@ -121,6 +121,9 @@ def test_sign_test(spark):
     assert ST.sign_test(3, 9) == pytest.approx(0.146, abs=1e-3)
     assert one(spark, ST.sign_test_column(F.col("b"), F.col("c")), b=3, c=9) == pytest.approx(ST.sign_test(3, 9))
     assert ST.sign_test(0, 0) == 1
+    # more pairs than 0.5 to their power can say
+    for b, c in ((600, 700), (1000, 900)):
+        assert one(spark, ST.sign_test_column(F.col("b"), F.col("c")), b=b, c=c) == pytest.approx(ST.sign_test(b, c), rel=1e-6)
     assert ST.interpret(-0.01, 0.01, 0.02) == "tie" and ST.interpret(0.1, 0.2, 0) == "b_better"
 
 
@@ -131,8 +134,13 @@ def test_byte_pairs(spark):
     assert one(spark, V.merge_pair(F.col("s"), 97, 97, 256), s=[97, 97, 97, 98]) == [256, 97, 98]
 
 
-@pytest.mark.parametrize("n", [0, 3])
+@pytest.mark.parametrize("n", [0, 4])
 def test_ngram_floor_of_another_n_is_an_error(spark, n):
-    chars = spark.createDataFrame([(1, i, c, i < 4) for i, c in enumerate("abcabc")], "doc_id long, pos int, c string, train boolean")
     with pytest.raises(ValueError):
-        V.ngram_floor(chars, n)
+        V.ngram_floor(spark.createDataFrame([(1, "abcabc")], "doc_id long, text string"), n)
+
+
+def test_ngram_floor_of_a_small_text(spark):
+    # 9 of 10 characters train: aab twice and aaa; the last, b, is held out; two characters are known
+    docs = spark.createDataFrame([(1, "aabaabaaab"), (2, None), (3, "")], "doc_id long, text string")
+    assert V.ngram_floor(docs, 1).first()["nats"] == pytest.approx(-math.log(3 / 11), abs=1e-6)

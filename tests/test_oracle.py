@@ -9,7 +9,6 @@ import pytest
 from textloom.plans import registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW = {"ngram_floor_unigram", "ngram_floor_bigram"}
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +25,7 @@ def plain(x):
     return x
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_rows(spark, duck, name):
     df = registry.queries()[name](spark, DATA)
     got = sorted(repr([plain(r[c]) for c in sorted(df.columns)]) for r in df.collect())
