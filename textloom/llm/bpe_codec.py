@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from textloom.llm.wordbpe import Cache, WordVocab, byte_chars, vocab
 
 NEVER = 1 << 60
-#: Pairs of tokens whose compatibility a worker remembers.
-PAIRS = 300_000
+#: Pairs of tokens whose compatibility a worker remembers; entries of one generation of a task's caches.
+PAIRS, CODEC_ENTRIES = 300_000, 300_000
 
 
 class Codec:
@@ -62,8 +62,8 @@ class Codec:
         self.length = [len(k) for k in self.key]
         #: the longest token that is a proper prefix; -1 if none
         self.shorter = [next((i for m in range(len(k) - 1, 0, -1) if (i := known.get(k[:m])) is not None), -1) for k in self.key]
-        self.word = Cache(self._word).__getitem__
-        self.cache = Cache(self._chunk)
+        self.words, self.cache = Cache(self._word, CODEC_ENTRIES), Cache(self._chunk, CODEC_ENTRIES)
+        self.word = self.words.__getitem__
         # decoding: token texts one after another, each with the space that joins tokens
         texts = [(t + " ").encode() for t in v.text]
         numbers = [f"{i} ".encode() for i in range(n)]
@@ -139,9 +139,17 @@ class Codec:
             if token < 0:
                 token = known[end] = next(longest(s, end))[1]
 
+    def shrink(self) -> None:
+        """Halve the caches at the end of a task: the worker may serve other stages, or the next task of this one."""
+        self.words.shrink()
+        self.cache.shrink()
+
     def _chunk(self, chunk: str) -> bytes:
         words = self.vocab.chunk_words(chunk)
-        return self.word(words[0]) if len(words) == 1 else b"".join(map(self.word, words))
+        if len(words) == 1:
+            # a chunk that is its own word is kept once, by the caller
+            return self._word(chunk) if words[0] == chunk else self.word(words[0])
+        return b"".join(map(self.word, words))
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids of a text as unsigned 32-bit integers in the machine's (little-endian) order."""
@@ -201,6 +209,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
         c = codec(vocab_path)
         for batch in texts:
             yield pd.Series([c.encode(t).astype(np.int32) for t in batch], dtype=object)
+        c.shrink()
 
     return docs.select(F.col(id_col), ids(F.col(text_col)).alias("ids"))
 
@@ -234,5 +243,6 @@ def codec_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text
                 ids = c.encode(t)
                 rows.append((len(ids), sha(c.numbers(ids)), sha(c.decode_bytes(ids))))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        c.shrink()
 
     return docs.select(F.col(id_col), digest(F.col(text_col)).alias("d")).select(id_col, "d.*")

@@ -34,7 +34,8 @@ def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id:
     schema = f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end, step = codec(vocab_path).encode_bytes, np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+        c = codec(vocab_path)
+        encode, end, step = c.encode_bytes, np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows = []
             for doc, text in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
@@ -43,6 +44,7 @@ def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id:
                     part = raw[at : at + step]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)) + ((np.frombuffer(part, dtype="<i4"),) if with_ids else ()))
             yield pd.DataFrame(rows, columns=schema_names)
+        c.shrink()
 
     schema_names = [x.strip().split(" ")[0] for x in schema.split(", ")]
     return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(run, schema)

@@ -49,7 +49,8 @@ def merges_made(symbols: list[int], merged: dict[tuple[int, int], int]) -> int:
 class Counter:
     def __init__(self, v: WordVocab):
         self.vocab = v
-        self.word = Cache(self._word).__getitem__
+        self.words = Cache(self._word)
+        self.word = self.words.__getitem__
         self.cache = Cache(lambda chunk: sum(map(self.word, v.chunk_words(chunk))))
 
     def _word(self, word: str) -> int:
@@ -83,6 +84,8 @@ def count_tokens(docs: DataFrame, vocab_path: str, limit: int = 2048, id_col: st
         count = counter(vocab_path)
         for batch in texts:
             yield pd.Series([count(t) for t in batch], dtype="int64")
+        count.words.shrink()
+        count.cache.shrink()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), n_tokens(F.col(text_col)).alias("n_tokens"))

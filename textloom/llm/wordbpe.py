@@ -12,8 +12,8 @@ import json
 import re
 import unicodedata
 
-#: Entries of one generation of a worker's cache, and the longest key that is kept: two generations take 30 MB at most.
-CACHE_ENTRIES, CACHE_KEY = 50_000, 100
+#: Entries of one generation of a cache, and the longest key that is kept.
+CACHE_ENTRIES, CACHE_KEY = 150_000, 100
 
 # Texts with other characters than these take the library's own normaliser and splitter, as
 # Unicode versions differ outside these blocks; so do texts with control separators.
@@ -140,3 +140,7 @@ class Cache(dict):
             out = self.make(key)
         self[key] = out
         return out
+
+    def shrink(self) -> None:
+        """Give the older generation back; a worker outlives its task."""
+        self.older = {}
