@@ -5,8 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_blocks(rows: DataFrame, id_col: str, text_col: str, limit: int) -> tuple[int, Iterator[list]]:
+    """The distinct rows with a text as (id, raw bytes), in blocks of about limit bytes; one block at a time is collected."""
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw")).where("raw IS NOT NULL").distinct()
+    n = -(-(rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0) // limit)
+    return n, (rows.where(F.pmod(F.xxhash64("id", "raw"), F.lit(n)) == k).collect() for k in range(n))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
