@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.text import bound, clean_amount, extract_tag, normalize_answer, normalize_number, squash
+from textloom.functions.text import bound, clean_amount, collapse, extract_tag, normalize_answer, normalize_number, squash, strip
 
 # The patterns of the answer ladder.
 TAG = r"(?is)<\s*answer\s*>(.*?)<\s*/\s*answer\s*>"
@@ -45,8 +45,8 @@ def parse_output(t: Column, require_thinking: bool = True) -> Column:
         answer = clean_amount(F.try_element_at(hits, F.lit(-1)))
         found = answer.isNotNull()
         blocks = x["thinking"]
-        before = F.trim(F.coalesce(*[F.when(method == k, _before(x["t"], p, F.size(hits))) for k, p in (("tag", TAG), ("open_tag", OPEN_TAG), ("marker", MARKER))]))
-        thought = F.when(F.size(blocks) > 0, F.trim(F.try_element_at(blocks, F.lit(-1)))).otherwise(F.when(before != "", before))
+        before = strip(F.coalesce(*[F.when(method == k, _before(x["t"], p, F.size(hits))) for k, p in (("tag", TAG), ("open_tag", OPEN_TAG), ("marker", MARKER))]))
+        thought = F.when(F.size(blocks) > 0, strip(F.try_element_at(blocks, F.lit(-1)))).otherwise(F.when(before != "", before))
         errors = _present(
             F.when(F.size(x["tag"]) == 0, "no_tag"),
             F.when((F.size(x["tag"]) == 0) & (F.size(x["open"]) == 0), "no_open_tag"),
@@ -85,7 +85,7 @@ def label_parser(t: Column, tag: str, allowed: list[str]) -> Column:
 
 def text_parser(t: Column, tag: str = "answer") -> Column:
     raw = extract_tag(t, tag)
-    return _result(F.trim(raw), F.when(raw.isNull(), "no_tag").when(F.trim(raw) == "", "empty"))
+    return _result(strip(raw), F.when(raw.isNull(), "no_tag").when(strip(raw) == "", "empty"))
 
 
 def pair_parser(t: Column, first: str, second: str) -> Column:
@@ -116,7 +116,7 @@ def _end(t: Column, tag: str) -> Column:
 def thought_of(t: Column, tag: str = "thought") -> Column:
     """The block's text, else what follows an open tag, else the whole text; null if that is blank."""
     found = F.when(_place(t, tag).isNotNull(), _inner(t, tag)).when(t.rlike(rf"(?is)<{tag}>"), F.regexp_extract(t, rf"(?is)<{tag}>(.*)$", 1)).otherwise(t)
-    return F.when(F.trim(found) != "", F.trim(found))
+    return F.when(strip(found) != "", strip(found))
 
 
 def kept(t: Column, tag: str = "input") -> Column:
@@ -136,7 +136,7 @@ def parse_action(t: Column) -> Column:
         a, f = x["a"], x["f"]
         ends = f.isNotNull() & (a.isNull() | (f < a))
         rest = F.substring(t, (x["ae"] + 1).cast("int"), F.length(t))
-        tool, arg, answer = F.trim(_inner(t, "action")), F.trim(_inner(rest, "input")), F.trim(_inner(t, "finish"))
+        tool, arg, answer = strip(_inner(t, "action")), strip(_inner(rest, "input")), strip(_inner(t, "finish"))
         has_input = _place(rest, "input").isNotNull()
         between = F.substring(rest, F.lit(1), (_place(rest, "input") - 1).cast("int"))
         early = _place(F.substring(t, F.lit(1), (a - 1).cast("int")), "input").isNotNull()
@@ -171,7 +171,7 @@ def numbers_equal(a: Column, b: Column, within: float = 1e-6) -> Column:
 
 
 def field_key(t: Column) -> Column:
-    return F.replace(F.lower(F.trim(t)), F.lit(" "), F.lit("_"))
+    return F.replace(F.lower(strip(t)), F.lit(" "), F.lit("_"))
 
 
 def amount_in_text(t: Column, amount: Column) -> Column:
@@ -183,8 +183,8 @@ def amount_in_text(t: Column, amount: Column) -> Column:
 
 def quote_grounded(evidence: Column, article: Column) -> Column:
     """Whether the evidence, without regard to case and outer spaces, is a part of the article; blank or null evidence is not."""
-    quote = F.trim(F.lower(evidence))
-    return F.coalesce((quote != "") & F.contains(F.trim(F.lower(article)), quote), F.lit(False))
+    quote = strip(F.lower(evidence))
+    return F.coalesce((quote != "") & F.contains(strip(F.lower(article)), quote), F.lit(False))
 
 
 def squashed_in(quote: Column, context: Column) -> Column:
@@ -199,12 +199,12 @@ def ungrounded(entities: Column, t: Column) -> Column:
 def surnames(authors: Column) -> Column:
     """Of 'Last, First; Last, First [Role]': distinct lower-case surnames without bracketed entries."""
     kept_ones = F.filter(F.split(authors, ";"), lambda x: ~F.contains(x, F.lit("[")))
-    return F.array_distinct(F.filter(F.transform(kept_ones, lambda x: F.lower(F.trim(F.element_at(F.split(x, ","), 1)))), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(kept_ones, lambda x: F.lower(strip(F.element_at(F.split(x, ","), 1)))), lambda x: x != ""))
 
 
 def last_words(names: Column) -> Column:
     """The distinct lower-case last words of an array of names."""
-    return F.array_distinct(F.filter(F.transform(names, lambda n: F.lower(F.try_element_at(F.split(F.trim(n), r"\s+"), F.lit(-1)))), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(names, lambda n: F.lower(F.try_element_at(F.split(collapse(n), " "), F.lit(-1)))), lambda x: x != ""))
 
 
 def mid_word(t: Column, place: Column) -> Column:
@@ -215,7 +215,7 @@ def mid_word(t: Column, place: Column) -> Column:
 
 def evidence_place(t: Column, evidence: Column) -> Column:
     """struct(start, stop) from 0 of the evidence in the text, as it is, else without outer spaces; null if it isn't there."""
-    e = F.when(F.instr(t, evidence) > 0, evidence).otherwise(F.trim(evidence))
+    e = F.when(F.instr(t, evidence) > 0, evidence).otherwise(strip(evidence))
     at = F.instr(t, e)
     return F.when((at > 0) & (F.length(e) > 0), F.struct((at - 1).alias("start"), (at - 1 + F.length(e)).alias("stop")))
 
@@ -224,7 +224,7 @@ def embed_text(t: Column, title: Column, path: Column, mode: str) -> Column:
     """The text behind its title (mode title) or title and section path (title_section); blank parts are left out."""
     if mode not in ("none", "title", "title_section"):
         raise ValueError(f"unknown mode {mode}")
-    head = F.when(F.trim(title) != "", F.concat(F.lit("Title: "), title, F.lit("\n")))
+    head = F.when(strip(title) != "", F.concat(F.lit("Title: "), title, F.lit("\n")))
     section = F.when(F.size(path) > 0, F.concat(F.lit("Section: "), F.array_join(path, " > "), F.lit("\n")))
     parts = {"none": [], "title": [head], "title_section": [head, section]}[mode]
     return F.concat(*[F.coalesce(p, F.lit("")) for p in parts], t) if parts else t

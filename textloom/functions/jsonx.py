@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.text import strip
+
 # Texts that stand for a missing value.
 NULL_WORDS = ("", "n/a", "na", "none", "null", "unknown")
 
@@ -16,11 +18,10 @@ def strict(t: Column) -> Column:
 
 def strip_fences(t: Column) -> Column:
     """What stands between code fences around the whole text, without the word json and outer white space; else the text."""
-    space = r"^\s+|\s+$"
-    bare = F.regexp_replace(t, space, "")
+    bare = strip(t)
     inner = F.substring(bare, F.lit(4), F.length(bare) - 6)
     fenced = bare.startswith("```") & bare.endswith("```") & (F.length(bare) >= 6)
-    return F.when(fenced, F.regexp_replace(F.regexp_replace(inner, "^json", ""), space, "")).otherwise(t)
+    return F.when(fenced, strip(F.regexp_replace(inner, "^json", ""))).otherwise(t)
 
 
 def json_span(t: Column) -> Column:
@@ -49,13 +50,13 @@ def repaired(t: Column, stop_reason: Column | None = None) -> Column:
 
 
 def nullify(t: Column) -> Column:
-    return F.when(F.lower(F.trim(t)).isin(*NULL_WORDS), F.lit(None)).otherwise(t)
+    return F.when(F.lower(strip(t)).isin(*NULL_WORDS), F.lit(None)).otherwise(t)
 
 
 def normalize_enum(t: Column, allowed: list[str]) -> Column:
     """The allowed value that equals t without regard to case and spaces at the ends; t itself if none does."""
     known = F.create_map(*[F.lit(x) for a in allowed for x in (a.upper(), a)])
-    return F.coalesce(F.try_element_at(known, F.upper(F.trim(t))), t)
+    return F.coalesce(F.try_element_at(known, F.upper(strip(t))), t)
 
 
 def field_errors(t: Column, fields: dict[str, str], optional: tuple[str, ...] = ()) -> Column:

@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 # ASCII punctuation, articles.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ARTICLES = ("a", "an", "the")
+# Fixed value: the characters that count as white space.
+SPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def strip(t: Column) -> Column:
+    """t without white space of any kind at its ends."""
+    return F.regexp_replace(t, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def collapse(t: Column) -> Column:
+    """The words of t with one space between them."""
+    return F.trim(F.regexp_replace(t, f"{SPACE}+", " "))
 
 
 def normalize_newlines(t: Column) -> Column:
@@ -15,7 +27,7 @@ def normalize_newlines(t: Column) -> Column:
 
 
 def squash(t: Column) -> Column:
-    return F.regexp_replace(F.trim(F.lower(t)), r"\s+", " ")
+    return collapse(F.lower(t))
 
 
 def label_key(t: Column) -> Column:
@@ -25,7 +37,7 @@ def label_key(t: Column) -> Column:
 
 def normalize_answer(t: Column) -> Column:
     bare = F.translate(F.lower(t), PUNCTUATION, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, rf"\b({'|'.join(ARTICLES)})\b", " "), r"\s+", " "))
+    return collapse(F.regexp_replace(bare, rf"\b({'|'.join(ARTICLES)})\b", " "))
 
 
 def extract_tag(t: Column, tag: str) -> Column:
@@ -35,7 +47,7 @@ def extract_tag(t: Column, tag: str) -> Column:
 
 def normalize_number(t: Column) -> Column:
     """The first fraction or decimal; , and $ are dropped; a decimal that starts first wins; n/0 is null."""
-    s = F.regexp_replace(F.trim(F.regexp_replace(t, r"[,$]", "")), r"\.+$", "")
+    s = F.regexp_replace(strip(F.regexp_replace(t, r"[,$]", "")), r"\.+$", "")
     fraction, decimal = r"\b\d+/\d+\b", r"-?\d+(?:\.\d+)?"
     f_at, d_at = F.regexp_instr(s, F.lit(fraction)), F.regexp_instr(s, F.lit(decimal))
     f = F.split(F.regexp_substr(s, F.lit(fraction)), "/")
@@ -91,6 +103,6 @@ def prompt_hash(t: Column) -> Column:
 
 def parse_date(t: Column) -> Column:
     """ISO date of four day formats, or YYYY-MM of a month and year; bracketed tails are dropped."""
-    s = F.trim(F.regexp_replace(t, r"\s*\[[^\]]*\]\s*$", ""))
+    s = strip(F.regexp_replace(t, r"\s*\[[^\]]*\]\s*$", ""))
     days = [F.date_format(F.try_to_timestamp(s, F.lit(f)), "yyyy-MM-dd") for f in ("MMMM d, yyyy", "MMM d, yyyy", "yyyy-MM-dd", "d MMMM yyyy")]
     return F.coalesce(*days, F.date_format(F.try_to_timestamp(s, F.lit("MMMM yyyy")), "yyyy-MM"))

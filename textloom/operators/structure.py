@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.answers import mid_word
 from textloom.functions.sampling import draw_key, sample_rows
-from textloom.functions.text import parse_date
+from textloom.functions.text import parse_date, strip
 
 # Heading patterns and names, front matter patterns, words that point back.
 MARKDOWN = r"^(#{1,6})\s+(\S.*?)\s*$"
@@ -29,15 +29,15 @@ def heading(line: Column) -> Column:
 
     A numbered line of over 10 words or with a full stop at its end is none, nor is a chapter line of over 8 words.
     """
-    words = lambda c: F.size(F.split(F.trim(c), r"\s+"))
+    words = lambda c: F.size(F.split(strip(c), r"\s+"))
     as_struct = lambda level, title: F.struct(level.cast("int").alias("level"), title.alias("title"))
     number, rest = F.regexp_extract(line, NUMBERED, 1), F.regexp_extract(line, NUMBERED, 2)
-    name = F.lower(F.rtrim(F.trim(line), F.lit(".:")))
+    name = F.lower(F.rtrim(strip(line), F.lit(".:")))
     return (
         F.when(line.rlike(MARKDOWN), as_struct(F.length(F.regexp_extract(line, MARKDOWN, 1)), F.regexp_extract(line, MARKDOWN, 2)))
         .when(line.rlike(NUMBERED), F.when((words(rest) <= 10) & ~rest.endswith("."), as_struct(F.length(number) - F.length(F.replace(number, F.lit("."))) + 1, rest)))
-        .when(line.rlike(CHAPTER), F.when(words(line) <= 8, as_struct(F.when(F.upper(F.regexp_extract(line, CHAPTER, 1)).isin("BOOK", "PART"), 1).otherwise(2), F.trim(line))))
-        .when(name.isin(*KNOWN), as_struct(F.lit(1), F.trim(line)))
+        .when(line.rlike(CHAPTER), F.when(words(line) <= 8, as_struct(F.when(F.upper(F.regexp_extract(line, CHAPTER, 1)).isin("BOOK", "PART"), 1).otherwise(2), strip(line))))
+        .when(name.isin(*KNOWN), as_struct(F.lit(1), strip(line)))
     )
 
 
@@ -83,13 +83,13 @@ def front_matter(t: Column, lines: int = 100) -> Column:
 
 def label_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, label, pos, value) of front matter: the first line of each label and the indented lines that continue it."""
-    lines = docs.select("doc_id", F.posexplode(F.split(front_matter(F.col("text")), "\n")).alias("pos", "line")).where(F.trim(F.regexp_replace("line", r"\s", " ")) != "")
-    label = F.when(F.col("line").rlike(LABEL), F.lower(F.trim(F.regexp_extract("line", LABEL, 1))))
+    lines = docs.select("doc_id", F.posexplode(F.split(front_matter(F.col("text")), "\n")).alias("pos", "line")).where(strip(F.regexp_replace("line", r"\s", " ")) != "")
+    label = F.when(F.col("line").rlike(LABEL), F.lower(strip(F.regexp_extract("line", LABEL, 1))))
     lines = lines.withColumn("label", label).withColumn("more", F.col("label").isNull() & F.col("line").rlike(r"^\s"))
     first = F.row_number().over(W.partitionBy("doc_id", "label").orderBy("pos")) == 1
     lines = lines.withColumn("opens", F.when(~F.col("more"), F.struct(F.when(F.col("label").isNotNull() & first, F.col("label")).alias("label"))))
     lines = lines.withColumn("under", F.last("opens", ignorenulls=True).over(W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))["label"])
-    value = F.when(F.col("more"), F.trim("line")).otherwise(F.trim(F.regexp_extract("line", LABEL, 2)))
+    value = F.when(F.col("more"), strip("line")).otherwise(strip(F.regexp_extract("line", LABEL, 2)))
     return lines.where("under IS NOT NULL").select("doc_id", F.col("under").alias("label"), F.col("pos").cast("long").alias("pos"), value.alias("value"))
 
 
@@ -98,10 +98,10 @@ def book_fields(docs: DataFrame) -> DataFrame:
     of = lambda label: F.transform(F.sort_array(F.collect_list(F.when(F.col("label") == label, F.struct("pos", "value")))), lambda x: x["value"])
     labels = {"title": "title", "author": "author", "release": "release date", "posting": "posting date"}
     found = label_lines(docs).groupBy("doc_id").agg(*[of(v).alias(k) for k, v in labels.items()])
-    top = F.try_element_at(F.filter(F.split("text", r"\r?\n"), lambda x: F.trim(x) != ""), F.lit(1))
-    rows = docs.select("doc_id", F.when(top.rlike(HEADER), F.trim(F.regexp_extract(top, HEADER, 1))).alias("top")).join(found, "doc_id", "left")
+    top = F.try_element_at(F.filter(F.split("text", r"\r?\n"), lambda x: strip(x) != ""), F.lit(1))
+    rows = docs.select("doc_id", F.when(top.rlike(HEADER), strip(F.regexp_extract(top, HEADER, 1))).alias("top")).join(found, "doc_id", "left")
     has = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0
-    names = F.filter(F.transform(F.flatten(F.transform("author", lambda a: F.split(a, " and "))), lambda x: F.trim(x)), lambda x: x != "")
+    names = F.filter(F.transform(F.flatten(F.transform("author", lambda a: F.split(a, " and "))), lambda x: strip(x)), lambda x: x != "")
     raw = F.when(has("release"), F.element_at("release", 1)).when(has("posting"), F.element_at("posting", 1))
     return rows.select(
         "doc_id", F.when(has("title"), F.array_join("title", " ")).otherwise(F.col("top")).alias("title"),
@@ -139,7 +139,7 @@ def pieces(chunks: DataFrame, spans: DataFrame, docs: DataFrame) -> DataFrame:
     at = x.join(spans.select("doc_id", "start", "stop"), "doc_id").where("start <= c1 AND stop > c0")
     at = at.select("doc_id", "chunk_index", F.greatest("start", "c0").alias("a"), F.least("stop", "c1").alias("b"))
     per = at.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "a", "b"))).alias("p"))
-    cut = docs.select("doc_id", "text").join(per, "doc_id").select("doc_id", F.explode(F.transform("p", lambda p: F.struct(p["chunk_index"].alias("chunk_index"), p["a"].alias("a"), F.trim(F.substring("text", (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))).alias("text")))).alias("p"))
+    cut = docs.select("doc_id", "text").join(per, "doc_id").select("doc_id", F.explode(F.transform("p", lambda p: F.struct(p["chunk_index"].alias("chunk_index"), p["a"].alias("a"), strip(F.substring("text", (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int"))).alias("text")))).alias("p"))
     rows = cut.select("doc_id", "p.*").where("text <> ''")
     return rows.select("doc_id", "chunk_index", (F.row_number().over(W.partitionBy("doc_id", "chunk_index").orderBy("a")) - 1).alias("piece"), "text")
 

@@ -1,4 +1,4 @@
-"""Exact and inverted-file vector search, spherical k-means, few-shot selection."""
+"""Exact vector search, spherical k-means, few-shot selection."""
 
 from __future__ import annotations
 
@@ -164,20 +164,6 @@ def kmeans(rows: DataFrame, k: int, max_iter: int = 25, seed: int = 0, tolerance
         rows.unpersist()
 
 
-def ivf_candidates(queries: DataFrame, centroids: DataFrame, assigned: DataFrame, nprobe: int) -> DataFrame:
-    """(query_id, q, vec_id[, u]): the members of each query's nprobe nearest lists, by an equi-join on cid."""
-    c = small(centroids.select("cid", F.col("u").alias("c")))
-    near = queries.select(F.col("vec_id").alias("query_id"), F.col("u").alias("q")).crossJoin(c).select("query_id", "q", "cid", F.round(dot("q", "c"), 6).alias("s"))
-    probes = near.withColumn("p", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("s"), "cid"))).where(F.col("p") <= nprobe).select("query_id", "q", "cid")
-    return small(probes).join(assigned.drop("score"), "cid").drop("cid")
-
-
-def ivf_search(queries: DataFrame, centroids: DataFrame, assigned: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """assigned holds the vectors (assign with keep_vectors), so lists need no second join."""
-    found = ivf_candidates(queries, centroids, assigned, nprobe)
-    return top_k(found.select("query_id", "vec_id", F.round(dot("u", "q"), 6).alias("score")), k)
-
-
 def capped_label(scored: DataFrame, k: int, cap: float = 0.5) -> DataFrame:
     """Greedy top-k with at most max(1, int(k * cap)) rows of a label: rank within the label, then overall."""
     most = max(1, int(k * cap))

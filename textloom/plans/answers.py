@@ -150,7 +150,7 @@ QUERIES = {
         answer_ladder,
         f"""SELECT event_id, CASE event_id % 7 WHEN 0 THEN {K}::DOUBLE * 1000 WHEN 1 THEN {K}::DOUBLE WHEN 2 THEN {K}::DOUBLE WHEN 3 THEN {K}::DOUBLE WHEN 6 THEN ('-' || {K} || '.5')::DOUBLE END AS answer,
         CASE event_id % 7 WHEN 0 THEN 'tag' WHEN 1 THEN 'open_tag' WHEN 2 THEN 'marker' WHEN 3 THEN 'tag' WHEN 6 THEN 'marker' END AS method,
-        CASE event_id % 7 WHEN 0 THEN 'sum it' WHEN 1 THEN 'first this' || chr(10) WHEN 2 THEN 'so the' WHEN 3 THEN '<answer>1</answer> no,' WHEN 6 THEN 'a' END AS thought,
+        CASE event_id % 7 WHEN 0 THEN 'sum it' WHEN 1 THEN 'first this' WHEN 2 THEN 'so the' WHEN 3 THEN '<answer>1</answer> no,' WHEN 6 THEN 'a' END AS thought,
         CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'no_tag,no_thinking' WHEN 2 THEN 'no_tag,no_open_tag,no_thinking' WHEN 3 THEN 'several,no_thinking' WHEN 4 THEN 'not_a_number' WHEN 5 THEN 'no_tag,no_open_tag,no_answer' ELSE 'no_tag,no_open_tag' END AS errors FROM events""",
     ),
     "tag_parsers": (

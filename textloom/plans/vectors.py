@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.sampling import draw_key
 from textloom.functions.vector import dot, minus, plus, unit
+from textloom.operators import inverted_file as IF
 from textloom.operators import vector_index as X
 from textloom.sources.tables import table
 
@@ -94,48 +97,68 @@ def select_mmr(spark: SparkSession, d: str) -> DataFrame:
     return X.mmr(rows.where("vec_id % 100 = 0"), rows, 5)
 
 
-def _centroids(spark: SparkSession, d: str) -> DataFrame:
-    rows = _rows(spark, d)
-    first = rows.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    return rows.join(first.select("vec_id"), "vec_id").select(F.col("label").alias("cid"), "u")
+def _nlist(n: int) -> int:
+    """As many lists as the root of the rows; two thirds of them are probed, as the vectors hardly form clusters."""
+    return max(1, math.isqrt(n))
 
 
-def ivf_assign(spark: SparkSession, d: str) -> DataFrame:
-    return X.assign(_rows(spark, d), _centroids(spark, d))
+def _nprobe(nlist: int) -> int:
+    return -(-2 * nlist // 3)
 
 
-def ivf_cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
-    sizes = ivf_assign(spark, d).groupBy("cid").agg(F.count("*").alias("n"))
-    return _centroids(spark, d).select("cid").join(sizes, "cid", "left").select("cid", F.coalesce("n", F.lit(0)).alias("n"))
+#: Iterations of the training that the SQL repeats.
+ROUNDS = 3
 
 
-def _ivf(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _lists(spark: SparkSession, d: str) -> IF.InvertedFile:
+    """The index over all rows, trained by ROUNDS iterations."""
+    rows = _rows(spark, d)
+    return IF.build(rows, IF.train(rows, _nlist(rows.count()), ROUNDS))
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, d).where("vec_id % 100 = 0")
+
+
+def ivf_assign(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d)
-    c = _centroids(spark, d)
-    return rows, c, X.assign(rows, c, keep_vectors=True)
+    return IF.assign(rows, IF.train(rows, _nlist(rows.count()), ROUNDS)).select("vec_id", "cid", "score")
+
+
+def ivf_cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return _lists(spark, d).sizes()
 
 
 def ivf_search(spark: SparkSession, d: str) -> DataFrame:
-    rows, c, a = _ivf(spark, d)
-    return X.ivf_search(rows.where("vec_id % 100 = 0"), c, a, 5, 3)
+    index = _lists(spark, d)
+    return index.search(_asked(spark, d), 5, _nprobe(len(index.centroids)))
 
 
 def ivf_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Mean share of the five nearest rows that the index finds, with the share of rows it looks at."""
+    index, asked = _lists(spark, d), _asked(spark, d)
+    nprobe = _nprobe(len(index.centroids))
     exact = vec_topk_cosine(spark, d).select("query_id", "vec_id")
-    hits = exact.join(ivf_search(spark, d).select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi")
-    per = exact.select("query_id").distinct().join(hits.groupBy("query_id").agg(F.count("*").alias("h")), "query_id", "left")
-    return per.agg(F.round(F.avg(F.coalesce("h", F.lit(0)) / 5.0), 6).alias("recall"))
+    found = index.search(asked, 5, nprobe).select("query_id", "vec_id")
+    hits = exact.join(found, ["query_id", "vec_id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("h"))
+    n = table(spark, d, "embeddings").count()
+    per = exact.select("query_id").distinct().join(hits, "query_id", "left").join(index.scanned(asked, nprobe), "query_id")
+    return per.agg(F.lit(len(index.centroids)).alias("nlist"), F.lit(nprobe).alias("nprobe"), F.round(F.avg(F.coalesce("h", F.lit(0)) / 5.0), 6).alias("recall"), F.round(F.avg(F.col("scanned") / n), 6).alias("scanned"))
 
 
 def ivf_scan_fraction(spark: SparkSession, d: str) -> DataFrame:
-    rows, c, a = _ivf(spark, d)
-    n = table(spark, d, "embeddings").agg(F.count("*").alias("n"))
-    got = X.ivf_candidates(rows.where("vec_id % 100 = 0"), c, a, 3).groupBy("query_id").agg(F.count("*").alias("scanned"))
-    return got.crossJoin(F.broadcast(n)).select("query_id", "scanned", F.round(F.col("scanned") / F.col("n"), 6).alias("fraction"))
+    index, n = _lists(spark, d), table(spark, d, "embeddings").count()
+    return index.scanned(_asked(spark, d), _nprobe(len(index.centroids))).select("query_id", "scanned", F.round(F.col("scanned") / n, 6).alias("fraction"))
+
+
+def _label_centroids(spark: SparkSession, d: str) -> DataFrame:
+    rows = _rows(spark, d)
+    first = rows.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    return rows.join(first.select("vec_id"), "vec_id").select(F.col("label").alias("cid"), "u")
 
 
 def kmeans_one_step(spark: SparkSession, d: str) -> DataFrame:
-    return X.centroid_means(_ivf(spark, d)[2]).select(F.col("cid"), F.posexplode("u").alias("pos", "x")).select("cid", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+    return X.centroid_means(X.assign(_rows(spark, d), _label_centroids(spark, d), keep_vectors=True)).select(F.col("cid"), F.posexplode("u").alias("pos", "x")).select("cid", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
 def kmeans_full(spark: SparkSession, d: str) -> DataFrame:
@@ -146,10 +169,28 @@ def kmeans_full(spark: SparkSession, d: str) -> DataFrame:
 CENT = f"""{UNIT}, c AS (SELECT label AS cid, arg_min(u, vec_id) AS c FROM u GROUP BY label),
  a AS (SELECT vec_id, u, cid, score FROM (SELECT u.vec_id, u.u, c.cid, round(list_inner_product(u.u, c.c), 6) AS score FROM u, c)
        QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, cid) = 1)"""
-PROBE = f"""{CENT}, p AS (SELECT query_id, q, cid FROM (SELECT q.vec_id AS query_id, q.u AS q, c.cid, round(list_inner_product(q.u, c.c), 6) AS s FROM u q, c WHERE q.vec_id % 100 = 0)
-       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, cid) <= 3)"""
 TOP = "SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM {} {} QUALIFY rank <= 5"
-IVF = f"{PROBE}, f AS (SELECT p.query_id, a.vec_id, round(list_inner_product(a.u, p.q), 6) AS score FROM p JOIN a USING (cid))"
+
+
+def _trained() -> str:
+    """The same training in SQL: c holds the centroids, a each row's list, p the probed lists of each query."""
+    parts = [UNIT, "n AS (SELECT greatest(1, floor(sqrt(count(*))))::INT AS nlist FROM u)", f"o AS (SELECT vec_id, u, row_number() OVER (ORDER BY md5(concat_ws('|', vec_id, 0)), vec_id) - 1 AS pos FROM u QUALIFY pos < {IF.TRAIN_ROWS})", "c0 AS (SELECT pos AS cid, u AS c FROM o, n WHERE pos < nlist)"]
+    own = "SELECT {cols}, cid, score FROM (SELECT {cols}, cid, round(list_inner_product(u, c), 6) AS score FROM {rows}, {c}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, cid) = 1"
+    for i in range(ROUNDS):
+        parts += [
+            f"a{i} AS ({own.format(cols='vec_id, u', rows='o', c=f'c{i}')})",
+            f"x{i} AS (SELECT cid, pos, avg(x) AS m FROM (SELECT cid, unnest(u) AS x, generate_subscripts(u, 1) AS pos FROM a{i}) GROUP BY cid, pos)",
+            f"m{i} AS (SELECT cid, list(round(m / l, 9) ORDER BY pos) AS c FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY cid)) AS l FROM x{i}) GROUP BY cid)",
+            f"c{i + 1} AS (SELECT cid, coalesce(m.c, b.c) AS c FROM c{i} AS b LEFT JOIN m{i} AS m USING (cid))",
+        ]
+    parts += [f"c AS (SELECT cid::INT AS cid, c FROM c{ROUNDS})", f"a AS ({own.format(cols='vec_id, u', rows='u', c='c')})"]
+    parts.append("""p AS (SELECT query_id, q, cid FROM (SELECT vec_id AS query_id, u AS q, cid, round(list_inner_product(u, c), 6) AS s FROM u, c WHERE vec_id % 100 = 0), n
+       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, cid) <= (2 * nlist + 2) // 3)""")
+    return ", ".join(parts)
+
+
+LISTS = _trained()
+IVF = f"{LISTS}, f AS (SELECT p.query_id, a.vec_id, round(list_inner_product(a.u, p.q), 6) AS score FROM p JOIN a USING (cid))"
 
 QUERIES = {
     "vec_normalize": (vec_normalize, f"WITH {UNIT} SELECT vec_id, round(list_inner_product(u, u), 6) AS norm2, round(u[1], 6) AS first, len(u) AS d FROM u"),
@@ -191,13 +232,15 @@ QUERIES = {
         SELECT query_id, max((label = query_label)::INT) AS hit, round(avg((label = query_label)::INT), 6) AS precision, count(DISTINCT label) AS labels, round(avg(score), 6) AS mean_score FROM t GROUP BY query_id""",
     ),
     "select_mmr": (select_mmr, None),
-    "ivf_assign": (ivf_assign, f"WITH {CENT} SELECT vec_id, cid, score FROM a"),
-    "ivf_cluster_sizes": (ivf_cluster_sizes, f"WITH {CENT} SELECT c.cid, count(a.vec_id) AS n FROM c LEFT JOIN a USING (cid) GROUP BY c.cid"),
+    "ivf_assign": (ivf_assign, f"WITH {LISTS} SELECT vec_id, cid, score FROM a"),
+    "ivf_cluster_sizes": (ivf_cluster_sizes, f"WITH {LISTS} SELECT c.cid, count(a.vec_id) AS n FROM c LEFT JOIN a USING (cid) GROUP BY c.cid"),
     "ivf_search": (ivf_search, f"WITH {IVF} " + TOP.format("f", "")),
     "ivf_index_recall": (
         ivf_index_recall,
         f"""WITH {IVF}, i AS ({TOP.format("f", "")}), s AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_inner_product(d.u, q.u), 6) AS score FROM u q, u d WHERE q.vec_id % 100 = 0),
-        e AS ({TOP.format("s", "")}) SELECT round(avg(h), 6) AS recall FROM (SELECT e.query_id, count(i.vec_id) / 5.0 AS h FROM e LEFT JOIN i USING (query_id, vec_id) GROUP BY e.query_id)""",
+        e AS ({TOP.format("s", "")}), h AS (SELECT e.query_id, count(i.vec_id) / 5.0 AS h FROM e LEFT JOIN i USING (query_id, vec_id) GROUP BY e.query_id),
+        g AS (SELECT query_id, count(*) / (SELECT count(*) FROM embeddings) AS g FROM f GROUP BY query_id)
+        SELECT any_value(nlist) AS nlist, any_value((2 * nlist + 2) // 3) AS nprobe, round(avg(h), 6) AS recall, round(avg(g), 6) AS scanned FROM h JOIN g USING (query_id), n""",
     ),
     "ivf_scan_fraction": (ivf_scan_fraction, f"WITH {IVF} SELECT query_id, count(*) AS scanned, round(count(*) / (SELECT count(*) FROM embeddings), 6) AS fraction FROM f GROUP BY query_id"),
     "kmeans_one_step": (

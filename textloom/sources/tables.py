@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.functions.text import strip
+
 CORPUS = "_id string, title string, text string"
 QUERIES = "_id string, text string"
 QRELS = "qid string, doc_id string, rel int"
@@ -18,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, title, text) from JSONL; text is the title, a space and the trimmed body."""
     rows = spark.read.schema(CORPUS).json(path)
-    return rows.select(F.col("_id").alias("doc_id"), "title", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.trim(F.coalesce("text", F.lit("")))).alias("text"))
+    return rows.select(F.col("_id").alias("doc_id"), "title", F.concat(F.coalesce("title", F.lit("")), F.lit(" "), strip(F.coalesce("text", F.lit("")))).alias("text"))
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +45,7 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     """(question, answer, gold): gold is the number after the last ####, without commas."""
     rows = spark.read.schema("question string, answer string").json(path)
     last = F.element_at(F.split("answer", "####"), -1)
-    return rows.withColumn("gold", F.regexp_replace(F.trim(last), ",", "").try_cast("double"))
+    return rows.withColumn("gold", F.regexp_replace(strip(last), ",", "").try_cast("double"))
 
 
 def code_corpus(files: DataFrame, limit_chars: int) -> DataFrame:
@@ -59,7 +61,7 @@ def code_corpus(files: DataFrame, limit_chars: int) -> DataFrame:
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """(id, text, label) from a CSV file with the header text,label; label in lower case, id in the order of the file's hash."""
     rows = spark.read.schema("text string, label string").csv(path, header=True, multiLine=True, escape='"')
-    return rows.select(F.substring(F.sha2(F.concat_ws("\u0001", "text", "label"), 256), 1, 16).alias("id"), "text", F.lower(F.trim("label")).alias("label"))
+    return rows.select(F.substring(F.sha2(F.concat_ws("\u0001", "text", "label"), 256), 1, 16).alias("id"), "text", F.lower(strip("label")).alias("label"))
 
 
 def label_list(rows: DataFrame) -> list[str]:
