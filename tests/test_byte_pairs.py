@@ -3,6 +3,7 @@
 import pytest
 
 from textloom.operators import chunking
+from textloom.operators import bpe_training as B
 from textloom.operators import vocabulary as V
 from textloom.operators.byte_pairs import BytePairs, encode_documents
 
@@ -36,7 +37,7 @@ def test_training_encoding_and_decoding(spark):
     texts = ["low lower lowest, newer newest é 🙂", "aaa aaaa  new\n\nlow 12 123", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     words = collections.Counter(w for t in texts if t for w in regex.findall(V.SPLIT, t))
-    merges = [tuple(m) for m in V.train_bpe(docs, 12)]
+    merges = [tuple(m) for m in B.train(docs, 12)]
     assert merges == plain_training(words, 12) and len(merges) == 12
     model = BytePairs(merges)
     got = {r["doc_id"]: r for r in encode_documents(docs, model).collect()}

@@ -13,6 +13,7 @@ from textloom.functions import statistics as ST
 from textloom.functions import text as T
 from textloom.operators import chunking as C
 from textloom.operators import metrics as M
+from textloom.operators import bpe_training as B
 from textloom.operators import vocabulary as V
 from textloom.plans import registry
 
@@ -129,7 +130,7 @@ def test_sign_test(spark):
 
 def test_byte_pairs(spark):
     docs = spark.createDataFrame([(1, "aaabdaaabac aaab")], "doc_id long, text string")
-    merges = V.train_bpe(docs, 3)
+    merges = B.train(docs, 3)
     assert merges[0] == (0, 97, 97, 256) and len(merges) == 3
     assert one(spark, V.merge_pair(F.col("s"), 97, 97, 256), s=[97, 97, 97, 98]) == [256, 97, 98]
 

@@ -29,7 +29,7 @@ def test_beir_folder(spark, tmp_path):
 def test_code_files_are_taken_in_order_of_their_paths(spark, tmp_path):
     for name, n in (("b.py", 30), ("a/c.py", 20), ("skip/d.py", 50), ("e.txt", 60), ("z.py", 5)):
         (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).write_text("x" * n)
+        (tmp_path / name).write_text("x" * (n - 2) + "\n\n")
     files = tables.read_code_files(spark, str(tmp_path), min_chars=10, blocked=("skip",))
     assert sorted(r["path"].rsplit("/", 1)[1] for r in files.collect()) == ["b.py", "c.py"]
     assert [r["path"].rsplit("/", 1)[1] for r in tables.code_corpus(files, 25).collect()] == ["c.py"]

@@ -2,9 +2,8 @@
 
 The text is reduced to distinct pre-tokens with counts once. Pre-tokens lie in blocks, a row each. The driver
 keeps the counts of pairs, a table whose size is bounded by the vocabulary and not by the text. A round
-proposes the most frequent pairs in order; each task applies them one after another to its pre-tokens, finds
-the words of a pair by an index, and sends what each step changes in the counts. The driver replays the steps
-and keeps the longest beginning in which each step is what a plain trainer would choose: exact, in a fraction
+proposes the most frequent pairs in order; each task applies them one after another to its pre-tokens and
+sends what each step changes in the counts. The driver replays the steps and keeps the longest beginning in which each step is what a plain trainer would choose: exact, in a fraction
 of the passes.
 """
 
@@ -39,71 +38,77 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
 
 
 class Words:
-    """The pre-tokens of a block as lists of symbols, with an index from pair to words."""
+    """The pre-tokens of a block as one array of symbols, with the word that each symbol is in."""
 
     def __init__(self, row: dict):
-        symbols, ends = np.frombuffer(row["symbols"], np.int32).tolist(), np.cumsum(np.frombuffer(row["lengths"], np.int32)).tolist()
-        self.words = [symbols[a:e] for a, e in zip([0, *ends], ends, strict=False)]
-        self.counts = np.frombuffer(row["counts"], np.int64).tolist()
-        self.where: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for i, w in enumerate(self.words):
-            for p in zip(w, w[1:], strict=False):
-                self.where[p].add(i)
-
-    def pairs(self) -> Counter:
-        total = Counter()
-        for w, n in zip(self.words, self.counts, strict=True):
-            for p in zip(w, w[1:], strict=False):
-                total[p] += n
-        return total
-
-    def merge(self, pair: tuple[int, int], new: int) -> Counter:
-        """Replace the pair from left to right in all words; what this changes in the counts of pairs."""
+        self.symbols = np.frombuffer(row["symbols"], np.int32).astype(np.int64)
+        lengths = np.frombuffer(row["lengths"], np.int32)
+        self.word = np.repeat(np.arange(len(lengths)), lengths)
+        self.counts = np.frombuffer(row["counts"], np.int64)
+
+    def pairs(self, symbols: np.ndarray | None = None, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Keys left << 32 | right of the adjacent pairs, and the count of each one's word."""
+        symbols, word = (self.symbols, self.word) if symbols is None else (symbols, word)
+        inside = word[:-1] == word[1:]
+        return ((symbols[:-1] << 32) | symbols[1:])[inside], self.counts[word[:-1][inside]]
+
+    def merge(self, pair: tuple[int, int], new: int, changes: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
+        """Replace the pair from left to right in all words; what this changes in the counts of pairs, None if the pair isn't there."""
         left, right = pair
-        change = Counter()
-        for i in self.where.pop(pair, ()):
-            old, n = self.words[i], self.counts[i]
-            out, at, last = [], 0, len(old) - 1
-            while at <= last:
-                if at < last and old[at] == left and old[at + 1] == right:
-                    out.append(new)
-                    at += 2
-                else:
-                    out.append(old[at])
-                    at += 1
-            if len(out) == len(old):
-                continue  # the index may name a word whose pair is gone
-            for p in zip(old, old[1:], strict=False):
-                change[p] -= n
-            for p in zip(out, out[1:], strict=False):
-                change[p] += n
-                self.where[p].add(i)
-            self.words[i] = out
-        return change
+        at = np.flatnonzero((self.symbols[:-1] == left) & (self.symbols[1:] == right) & (self.word[:-1] == self.word[1:]))
+        if not len(at):
+            return None
+        if left == right:
+            # of a run of overlapping places every other one
+            run = np.concatenate([[0], np.flatnonzero(np.diff(at) > 1) + 1])
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff([*run, len(at)]))) % 2 == 0]
+        touched = np.zeros(len(self.counts), bool)
+        touched[self.word[at]] = True
+        before = self._of(touched) if changes else None
+        self.symbols[at] = new
+        kept = np.ones(len(self.symbols), bool)
+        kept[at + 1] = False
+        self.symbols, self.word = self.symbols[kept], self.word[kept]
+        if not changes:
+            return None
+        after = self._of(touched)
+        return summed(np.concatenate([before[0], after[0]]), np.concatenate([-before[1], after[1]]))
+
+    def _of(self, touched: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = touched[self.word]
+        return self.pairs(self.symbols[some], self.word[some])
 
     def row(self) -> dict:
-        lengths = np.fromiter(map(len, self.words), np.int32, len(self.words))
-        return {"symbols": np.fromiter((s for w in self.words for s in w), np.int32, int(lengths.sum())).tobytes(), "lengths": lengths.tobytes(), "counts": np.array(self.counts, np.int64).tobytes()}
+        lengths = np.bincount(self.word, minlength=len(self.counts)).astype(np.int32)
+        return {"symbols": self.symbols.astype(np.int32).tobytes(), "lengths": lengths.tobytes(), "counts": self.counts.tobytes()}
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys with their sums, without those of sum 0."""
+    known, at = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(known), np.int64)
+    np.add.at(total, at, n)
+    return known[total != 0], total[total != 0]
 
 
 def _changes(done: list[tuple[int, int, int]], proposed: list[tuple[int, int, int]]):
     """(step, left, right, n): step -1 are the counts after the merges done, later ones the changes of the proposed merges."""
 
     def run(batches):
-        total: dict[int, Counter] = defaultdict(Counter)
+        found: dict[int, list] = defaultdict(list)
         for b in batches:
             for row in b.to_pylist():
                 words = Words(row)
                 for left, right, new in done:
-                    words.merge((left, right), new)
+                    words.merge((left, right), new, changes=False)
                 if not proposed:
-                    total[-1].update(words.pairs())
+                    found[-1].append(summed(*words.pairs()))
                 for step, (left, right, new) in enumerate(proposed):
-                    for p, n in words.merge((left, right), new).items():
-                        total[step][p] += n
-        flat = [(s, a, b, n) for s, c in total.items() for (a, b), n in c.items() if n]
-        step, left, right, n = (np.array(x, np.int64) for x in zip(*flat, strict=True)) if flat else (np.empty(0, np.int64),) * 4
-        yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(left), pa.array(right), pa.array(n)], names=["step", "l", "r", "n"])
+                    if (change := words.merge((left, right), new)) is not None:
+                        found[step].append(change)
+        for step, parts in found.items():
+            keys, n = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), step, np.int64)), pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(n)], names=["step", "l", "r", "n"])
 
     return run
 
@@ -116,7 +121,7 @@ def _applied(done: list[tuple[int, int, int]]):
             for row in b.to_pylist():
                 words = Words(row)
                 for left, right, new in done:
-                    words.merge((left, right), new)
+                    words.merge((left, right), new, changes=False)
                 yield pa.RecordBatch.from_pylist([words.row()], schema)
 
     return run

@@ -213,3 +213,55 @@ def chunk_documents(docs: DataFrame, spans_of: Callable[[str], list[Span]]) -> D
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "start", "stop", "text", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInPandas(run, CHUNK)
+
+
+def prepared(docs: DataFrame, embed: Callable = word_vectors, window: int = 1) -> DataFrame:
+    """(doc_id, text, spans, gaps): each text's sentences and the distances at the gaps between them, embedded once and written."""
+    from textloom.operators.vocabulary import checkpointed
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(d, t, [list(x) for x in s], gap_distances(t, s, embed, window)) for d, t in b.itertuples(index=False) if t for s in [sentences(t)]]
+            yield pd.DataFrame(rows, columns=["doc_id", "text", "spans", "gaps"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return checkpointed(docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, text string, spans array<array<int>>, gaps array<double>"))
+
+
+def semantic_sizes(ready: DataFrame, thresholds: dict[int, float], budget: int, min_tokens: int) -> DataFrame:
+    """(percentile, chunks, tokens): chunks and their tokens under each threshold, all in one pass over what prepared gave."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {p: [0, 0] for p in thresholds}
+        for b in batches:
+            for text, spans, gaps in zip(b["text"], b["spans"], b["gaps"], strict=True):
+                s, g = [(int(x), int(y)) for x, y in spans], [float(x) for x in gaps]
+                for p, t in thresholds.items():
+                    found = semantic(text, g, s, t, budget, min_tokens)
+                    total[p][0] += len(found)
+                    total[p][1] += sum(count(text[x:y]) for x, y in found)
+        yield pd.DataFrame([(p, *n) for p, n in total.items()], columns=["percentile", "chunks", "tokens"])
+
+    parts = ready.select("text", "spans", "gaps").mapInPandas(run, "percentile int, chunks long, tokens long")
+    return parts.groupBy("percentile").agg(F.sum("chunks").alias("chunks"), F.sum("tokens").alias("tokens"))
+
+
+def tune_semantic(docs: DataFrame, size: int, percentiles: list[int], embed: Callable = word_vectors, window: int = 1, min_tokens: int = 0) -> DataFrame:
+    """(percentile, threshold, mean_tokens, target, chosen, within): the percentile of all distances whose chunks come closest to fixed ones of size.
+
+    target is the mean of fixed windows without overlap. Of equally close percentiles the first in the list is
+    chosen; within says whether it is within 5 % of the target. Texts without two sentences add no distance.
+    """
+    spark = docs.sparkSession
+    fixed = chunk_documents(docs, lambda t: by_tokens(t, 0, len(t), size))
+    target = fixed.agg(F.avg("n_tokens")).first()[0]
+    ready = prepared(docs, embed, window)
+    schema = "percentile int, threshold double, mean_tokens double, target double, chosen boolean, within boolean"
+    if target is None:
+        return spark.createDataFrame([], schema)
+    ends = ready.select(F.explode("gaps").alias("g")).agg(*[F.percentile("g", F.lit(p / 100)).alias(f"p{p}") for p in percentiles]).first()
+    thresholds = {p: float("inf") if ends[f"p{p}"] is None else ends[f"p{p}"] for p in percentiles}
+    means = {r["percentile"]: r["tokens"] / r["chunks"] for r in semantic_sizes(ready, thresholds, size, min_tokens).collect() if r["chunks"]}
+    best = min(percentiles, key=lambda p: abs(means.get(p, float("inf")) - target))
+    rows = [(p, thresholds[p], means.get(p), target, p == best, p in means and abs(means[p] - target) <= 0.05 * target) for p in percentiles]
+    return spark.createDataFrame(rows, schema)

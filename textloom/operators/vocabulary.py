@@ -1,4 +1,4 @@
-"""Vocabulary statistics, skip-gram pairs, n-gram floors, byte-pair training."""
+"""Vocabulary statistics, skip-gram pairs, n-gram floors."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -110,39 +110,20 @@ def merge_pair(symbols, left: int, right: int, new: int):
     return F.aggregate(symbols, F.array().cast("array<int>"), step)
 
 
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """rows written to the shared checkpoint folder; a local session without one gets a temporary folder."""
-    context = rows.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; a local session without one gets a temporary folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
-    return rows.checkpoint()
-
+    return context.getCheckpointDir()
 
-def train_bpe(docs: DataFrame, merges: int, pattern: str = SPLIT) -> list[tuple[int, int, int, int]]:
-    """(rank, left, right, id) of at most merges merges; ties go to the smaller pair; stops under two occurrences.
 
-    The text is reduced to distinct pre-tokens with counts once; each merge is one small aggregation.
-    """
-    tokens = docs.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    state = tokens.select(byte_symbols(F.col("w")).alias("symbols"), "n").persist()
-    out = []
-    try:
-        for rank in range(merges):
-            best = pair_counts(state).orderBy(F.desc("n"), "left", "right").first()
-            if best is None or best["n"] < 2:
-                break
-            new = 256 + rank
-            out.append((rank, best["left"], best["right"], new))
-            old, state = state, state.withColumn("symbols", merge_pair(F.col("symbols"), best["left"], best["right"], new))
-            # a written copy every few merges keeps the plan short
-            state = checkpointed(state) if rank % 8 == 7 else state.persist()
-            state.count()
-            old.unpersist()
-    finally:
-        state.unpersist()
-    return out
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """rows written to the shared checkpoint folder."""
+    shared_folder(rows.sparkSession)
+    return rows.checkpoint()
 
 
 def ngram_floor(docs: DataFrame, n: int, share: float = 0.9) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions.sampling import hash_uniform
+from textloom.operators import bpe_training as B
 from textloom.operators import vocabulary as V
 from textloom.operators.byte_pairs import BytePairs, encode_documents
 from textloom.sources.tables import table
@@ -85,15 +86,18 @@ def bpe_pair_counts(spark: SparkSession, d: str) -> DataFrame:
     return V.pair_counts(w.select(F.filter(F.split("word", ""), lambda c: c != "").alias("symbols"), "n"))
 
 
+#: Merges of the registered queries; a real vocabulary takes thousands.
+MERGES = 256
+
+
 def bpe_train(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(V.train_bpe(_docs(spark, d), 32), "rank int, left int, right int, id int")
+    return spark.createDataFrame(B.train(_docs(spark, d), MERGES), "rank int, left int, right int, id int")
 
 
 def bpe_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of each document under 32 trained merges, and whether decoding gives the text back."""
+    """Tokens of each document under the trained merges, and whether decoding gives the text back."""
     docs = _docs(spark, d).where("text IS NOT NULL")
-    model = BytePairs(sorted(V.train_bpe(docs, 32)))
-    return encode_documents(docs, model).select("doc_id", "n_tokens", "same")
+    return encode_documents(docs, BytePairs(B.train(docs, MERGES))).select("doc_id", "n_tokens", "same")
 
 
 def pretokenize_counts(spark: SparkSession, d: str) -> DataFrame:

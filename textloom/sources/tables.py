@@ -34,7 +34,7 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 def read_code_files(spark: SparkSession, folder: str, pattern: str = "*.py", min_chars: int = 500, blocked: tuple[str, ...] = ()) -> DataFrame:
     """(path, text): whole files under folder, without paths that hold a blocked part and short files."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+    rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     rows = rows.select(F.input_file_name().alias("path"), F.col("value").alias("text")).where(F.length("text") >= min_chars)
     for part in blocked:
         rows = rows.where(~F.col("path").contains(f"/{part}/"))
@@ -51,11 +51,12 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
 def code_corpus(files: DataFrame, limit_chars: int) -> DataFrame:
     """(path, text): whole files in the order of their paths, as many as fit limit_chars.
 
-    The running sum sees one number a file; texts are joined back by path.
+    Running sums by partition see one number a file; texts are joined back by path.
     """
-    order = W.orderBy("path").rowsBetween(W.unboundedPreceding, 0)
-    kept = files.select("path", F.length("text").alias("n")).withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= limit_chars)
-    return files.join(kept.select("path"), "path")
+    from textloom.operators.token_stream import offsets
+
+    placed = offsets(files.select("path", F.length("text").cast("long").alias("n")), ["path"], "n")
+    return files.join(placed.where(F.col("offset") + F.col("n") <= limit_chars).select("path"), "path")
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
