@@ -91,3 +91,38 @@ def test_training_is_bounded_by_its_sample(spark):
     rows = rows_of(spark, rng.standard_normal((300, 4)))
     a, b = IF.train(rows, 8, train_rows=50), IF.train(rows.repartition(7), 8, train_rows=50)
     assert np.array_equal(a, b) and np.allclose((a * a).sum(1), 1)
+
+
+@pytest.mark.parametrize("broadcast", [20_000, 3])
+def test_exact_search_by_broadcast_and_by_shuffle(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(X, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(X, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(X, "QUERY_ROWS", 2)
+    monkeypatch.setattr(X, "HELD", 50)
+    rng = np.random.default_rng(7)
+    v = rng.standard_normal((300, 5)).round(1)
+    v[200:240] = v[0]  # ties
+    label = rng.integers(0, 3, 300)
+    unit_v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    rows = spark.createDataFrame([(i, int(label[i]), [float(x) for x in unit_v[i]]) for i in range(300)] + [(900, 0, [1.0, 0.0]), (901, 1, [0.6, 0.8]), (902, 0, None)], "vec_id long, label int, u array<double>").repartition(4)
+    asked = rows.where("vec_id % 40 = 0 OR vec_id >= 900")
+    s = np.round(unit_v @ unit_v.T, 6)
+    want, capped = [], []
+    for q in range(0, 300, 40):
+        order = sorted((i for i in range(300) if i != q), key=lambda i: (-s[q, i], i))
+        want += [(q, n + 1, i, s[q, i]) for n, i in enumerate(order[:6])]
+        kept = [i for i in order if sum(label[j] == label[i] for j in order[: order.index(i)]) < 2]
+        capped += [(q, n + 1, i, s[q, i]) for n, i in enumerate(kept[:5])]
+    assert [x for x in found(X.search(asked, rows, 6, others=True)) if x[0] < 900] == sorted(want)
+    assert [x for x in found(X.search(asked, rows, 6, others=True)) if x[0] >= 900] == [(900, 1, 901, 0.6), (901, 1, 900, 0.6)]
+    assert [x for x in found(X.capped_label(asked, rows, 5, 0.4)) if x[0] < 900] == sorted(capped)
+    counts = {(r["query_id"], r["score"]): (r["r"], r["o"]) for r in X.score_counts(asked.where("vec_id < 300"), rows.where("vec_id < 300")).collect()}
+    assert sum(a + b for a, b in counts.values()) == 8 * 299
+    q = 80
+    for x in set(s[q].tolist()):
+        at = [i for i in range(300) if i != q and s[q, i] == x]
+        if at:
+            assert counts[q, x] == (sum(label[i] == label[q] for i in at), sum(label[i] != label[q] for i in at))
+    picks = sorted(tuple(r) for r in X.mmr(asked.where("vec_id < 300"), rows.where("vec_id < 300"), 3).collect())
+    monkeypatch.setattr(X, "BROADCAST_ROWS", 20_000)
+    assert picks == sorted(tuple(r) for r in X.mmr(asked.where("vec_id < 300"), rows.where("vec_id < 300"), 3).collect()) and len(picks) == 24

@@ -302,6 +302,17 @@ def tool_results(blocks: Column, tools: dict[str, Tool]) -> Column:
 _OPS = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b, ast.Pow: lambda a, b: a**b}
 
 
+#: Whole numbers beyond this are too large to be written.
+MOST_BITS = 14_000
+
+
+def _bits(op: ast.AST, a: int, b: int) -> int:
+    """About how many bits the result has at most."""
+    if isinstance(op, ast.Pow):
+        return a.bit_length() * max(b, 0)
+    return a.bit_length() + b.bit_length() if isinstance(op, ast.Mult) else 0
+
+
 def _value(node: ast.AST, most: int):
     match node:
         case ast.Constant(value=v) if isinstance(v, int | float) and not isinstance(v, bool):
@@ -313,6 +324,8 @@ def _value(node: ast.AST, most: int):
             a, b = _value(a, most), _value(b, most)
             if isinstance(op, ast.Pow) and abs(b) > most:
                 raise ValueError(f"exponent over {most}")
+            if isinstance(a, int) and isinstance(b, int) and _bits(op, a, b) > MOST_BITS:
+                raise OverflowError
             return _OPS[type(op)](a, b)
     raise ValueError("only numbers and + - * / ** are allowed")
 

@@ -18,14 +18,29 @@ def sign_test(b: int, c: int) -> float:
 
 
 def _upper_tail(n: Column, least: Column) -> Column:
-    """Sum of C(n, i) / 2^n for i from least to n; terms run in logarithms, so any n will do."""
-    start = F.struct((n * F.lit(math.log(0.5))).alias("t"), F.lit(0.0).alias("s"))
+    """Sum of C(n, i) / 2^n for i from least, at least n / 2, to n.
+
+    Terms run in logarithms and fall ever faster; those farther than ten roots of n beyond least add nothing
+    that a double can hold, so a row's array has no more than that many.
+    """
+    n, least = n.cast("long"), least.cast("long")
+    first = _log_gamma(n + 1) - _log_gamma(least + 1) - _log_gamma(n - least + 1) + n * F.lit(math.log(0.5))
+    start = F.struct(first.alias("t"), F.lit(0.0).alias("s"))
 
     def step(acc: Column, i: Column) -> Column:
         ratio = F.when(i < n, F.log((n - i).cast("double")) - F.log((i + 1).cast("double"))).otherwise(0.0)
-        return F.struct((acc["t"] + ratio).alias("t"), (acc["s"] + F.when(i >= least, F.exp(acc["t"])).otherwise(0.0)).alias("s"))
+        return F.struct((acc["t"] + ratio).alias("t"), (acc["s"] + F.exp(acc["t"])).alias("s"))
+
+    last = F.least(n, least + F.ceil(10 * F.sqrt(n.cast("double"))) + 50)
+    return F.aggregate(F.sequence(least, last), start, step)["s"]
+
 
-    return F.aggregate(F.sequence(F.lit(0), n.cast("int")), start, step)["s"]
+def _log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function for x from 1, by Stirling's series eight steps up."""
+    x = x.cast("double")
+    y = x + 8
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    return series - sum((F.log(x + i) for i in range(1, 8)), F.log(x))
 
 
 def sign_test_column(b: Column, c: Column) -> Column:

@@ -31,7 +31,11 @@ def auc(rows: DataFrame, by: str) -> DataFrame:
 
     Equal scores are counted first, then a running sum over distinct scores: no pairs are formed.
     """
-    per = rows.groupBy(by, "score").agg(F.sum(F.col("relevant").cast("long")).alias("r"), F.sum((~F.col("relevant")).cast("long")).alias("o"))
+    return auc_of_counts(rows.groupBy(by, "score").agg(F.sum(F.col("relevant").cast("long")).alias("r"), F.sum((~F.col("relevant")).cast("long")).alias("o")), by)
+
+
+def auc_of_counts(per: DataFrame, by: str) -> DataFrame:
+    """auc from (by, score, r, o): how many relevant and other rows have each score."""
     below = F.sum("o").over(W.partitionBy(by).orderBy("score").rowsBetween(W.unboundedPreceding, -1))
     parts = per.withColumn("below", F.coalesce(below, F.lit(0)))
     out = parts.groupBy(by).agg(F.sum(F.col("r") * (F.col("below") + F.col("o") / 2)).alias("u"), F.sum("r").alias("nr"), F.sum("o").alias("no"))

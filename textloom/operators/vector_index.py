@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.vector import dot, unit
 
-#: Query or centroid tables of at most this many rows are broadcast; larger query sets are taken in blocks.
+#: Query or centroid tables of at most this many rows are broadcast; a larger set of queries is shuffled.
 BROADCAST_ROWS = 20_000
+#: Rows and queries of a block, and candidates that a task holds before it keeps the best.
+BLOCK_ROWS, QUERY_ROWS, HELD = 2048, 512, 1 << 18
 
 
 def small(rows: DataFrame) -> DataFrame:
@@ -27,63 +31,172 @@ def unit_rows(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return rows.select(id_col, *keep, unit(F.col(vector_col)).alias("u"))
 
 
-def blocks(queries: DataFrame, id_col: str = "vec_id") -> list[DataFrame]:
-    """queries in parts of about BROADCAST_ROWS rows at most, each to be met with all rows in a pass of its own."""
-    n = queries.count()
-    parts = -(-n // (BROADCAST_ROWS // 2)) if n > BROADCAST_ROWS else 1
-    return [queries.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [queries]
+def _matrix(vectors) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return functools.reduce(DataFrame.unionByName, parts)
+def _cells(cells: pa.ListArray) -> np.ndarray:
+    n = len(cells)
+    flat = np.asarray(cells.flatten(), dtype=np.float64)
+    return flat.reshape(n, len(flat) // n if n else 0)
 
 
-def scores(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score[, label]) of every query with every row; queries are a stated set, taken in blocks."""
-    extra = ["label"] if "label" in rows.columns else []
+def _of_one_length(batches, vector: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows whose vectors have one length."""
+    for b in batches:
+        d = np.asarray(pc.list_value_length(b.column(vector)))
+        for n in np.unique(d):
+            same = b if (d == n).all() else b.filter(pa.array(d == n))
+            for a in range(0, same.num_rows, most):
+                yield same.slice(a, most)
 
-    def block(part: DataFrame) -> DataFrame:
-        q = F.broadcast(part.select(F.col("vec_id").alias("query_id"), F.col("u").alias("q")))
-        return rows.crossJoin(q).select("query_id", "vec_id", *extra, F.round(dot("u", "q"), 6).alias("score"))
 
-    return _union([block(p) for p in blocks(queries)])
+def _packed(rows: DataFrame, vectors: tuple[str, ...], extra: tuple[str, ...], most: int, prefix: str) -> DataFrame:
+    """rows as one row for at most so many of one batch: d, ids, and a cell for each vector and extra column."""
+    names = ["d", "ids", *vectors, *extra]
 
+    def pack(batches) -> Iterator[pa.RecordBatch]:
+        for b in _of_one_length(batches, vectors[0], most):
+            v = [_cells(b.column(c)) for c in vectors]
+            ids = np.asarray(b.column("vec_id"), np.int64)
+            cells = [pa.array([v[0].shape[1]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, *v, *(np.asarray(b.column(c), np.int64) for c in extra)))]
+            yield pa.RecordBatch.from_arrays(cells, names=[f"{prefix}{n}" for n in names])
 
-def _matrix(vectors) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    kind = ", ".join(f"{prefix}{n} {'int' if n == 'd' else 'binary'}" for n in names)
+    return rows.select("vec_id", *vectors, *[F.col(c).cast("long").alias(c) for c in extra]).mapInArrow(pack, kind)
 
 
-def search(queries: DataFrame, rows: DataFrame, k: int, others: bool = False) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k best rows of each query by inner product, exactly, ties to the smaller id.
+def products(queries: DataFrame, rows: DataFrame, run: Callable, schema: str, vectors: tuple[str, ...] = ("u",), extra: tuple[str, ...] = (), query_extra: tuple[str, ...] = ()) -> DataFrame:
+    """What run makes of blocks of queries that meet blocks of rows; both have vec_id, and vectors of one length.
 
-    A block of queries, bounded by BROADCAST_ROWS, is a matrix that every task multiplies with its
-    batches of rows; only what can be among a query's k best of a batch leaves the task. others leaves
-    out the query's own id. Null vectors take no part.
+    run gets an iterator of (query side, row side): dictionaries of arrays ids, the vectors as matrices (of rows: u), and
+    the extra columns. A set of at most BROADCAST_ROWS queries is broadcast; a larger one is shuffled to each
+    part of the rows that it meets, so the plan has no cartesian product and the driver no vectors.
     """
-    rows, queries = (x.select("vec_id", "u").where("u IS NOT NULL") for x in (rows, queries))
+    asked = _packed(queries, vectors, query_extra, QUERY_ROWS, "q_")
+    known = _packed(rows, ("u",), extra, BLOCK_ROWS, "r_")
+    few = queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:
+        pairs = known.join(F.broadcast(asked), F.col("q_d") == F.col("r_d"))
+    else:
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # queries are dealt out to parts, and rows copied to each
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("q_ids"), F.lit(parts)))
+        known = known.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        pairs = known.join(asked, "part").where("q_d = r_d")
+
+    def sides(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                x = {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
+                q, r = ({"ids": np.frombuffer(x[f"{p}ids"], np.int64)} for p in ("q_", "r_"))
+                q |= {c: np.frombuffer(x[f"q_{c}"]).reshape(len(q["ids"]), x["q_d"]) for c in vectors}
+                r |= {"u": np.frombuffer(x["r_u"]).reshape(len(r["ids"]), x["r_d"])}
+                q |= {c: np.frombuffer(x[f"q_{c}"], np.int64) for c in query_extra}
+                r |= {c: np.frombuffer(x[f"r_{c}"], np.int64) for c in extra}
+                yield q, r
 
-    def block(part: DataFrame) -> DataFrame:
-        asked = part.collect()
-        if not asked:
-            return rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-        shared = rows.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in asked]), _matrix(r["u"] for r in asked)))
+    return pairs.mapInArrow(lambda batches: run(sides(batches)), schema)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for b in batches:
-                if not len(b):
-                    continue
-                v = b["vec_id"].to_numpy()
-                s = np.round(_matrix(b["u"]) @ q.T, 6)
-                if others:
-                    s[v[:, None] == ids[None, :]] = -np.inf
-                least = np.partition(s, -k, axis=0)[-k] if len(v) > k else np.full(len(ids), -np.inf)
-                i, j = np.nonzero((s >= least) & (s > -np.inf))
-                yield pd.DataFrame({"query_id": ids[j], "vec_id": v[i], "score": s[i, j]})
 
-        return rows.mapInPandas(run, "query_id long, vec_id long, score double")
+def _scored(q: dict, r: dict) -> np.ndarray:
+    return np.round(q["u"] @ r["u"].T, 6)
+
+
+def scores(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score[, label]) of every query with every row: for small tables and pictures; what ranks or counts has its own operator."""
+    extra = ("label",) if "label" in rows.columns else ()
+
+    def run(pairs) -> Iterator[pa.RecordBatch]:
+        for q, r in pairs:
+            s = _scored(q, r)
+            n = len(r["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q["ids"], n)), pa.array(np.tile(r["ids"], len(q["ids"]))), pa.array(s.ravel()), *(pa.array(np.tile(r[c], len(q["ids"]))) for c in extra)], names=["query_id", "vec_id", "score", *extra])
+
+    rows, queries = (x.where("u IS NOT NULL") for x in (rows, queries))
+    return products(queries, rows, run, "query_id long, vec_id long, score double" + ", label long" * len(extra), extra=extra)
 
-    return top_k(_union([block(p) for p in blocks(queries)]), k)
+
+def score_counts(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, score, r, o): how many other rows of the query's label, and of other labels, have each score, to six digits.
+
+    A block's pairs are counted where they are made, so a query has at most as many rows as there are scores.
+    """
+
+    def run(pairs) -> Iterator[pa.RecordBatch]:
+        for q, r in pairs:
+            s = np.rint(_scored(q, r) * 1e6).astype(np.int64)
+            same = q["label"][:, None] == r["label"][None, :]
+            other = q["ids"][:, None] != r["ids"][None, :]
+            i, j = np.nonzero(other)
+            at = np.stack([i, s[i, j]], axis=1)
+            known, place = np.unique(at, axis=0, return_inverse=True)
+            hits = np.bincount(place.ravel(), weights=same[i, j], minlength=len(known)).astype(np.int64)
+            total = np.bincount(place.ravel(), minlength=len(known))
+            yield pa.RecordBatch.from_arrays([pa.array(q["ids"][known[:, 0]]), pa.array(known[:, 1] / 1e6), pa.array(hits), pa.array(total - hits)], names=["query_id", "score", "r", "o"])
+
+    parts = products(queries, rows, run, "query_id long, score double, r long, o long", extra=("label",), query_extra=("label",))
+    return parts.groupBy("query_id", "score").agg(F.sum("r").alias("r"), F.sum("o").alias("o"))
+
+
+class _Best:
+    """The k best (score, id) of each group of each query, larger scores first, then smaller ids; what can't be among them isn't kept."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.size = k, [], 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        """query, group, score, id"""
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        if self.size > HELD:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        query, group, score, ids = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+        order = np.lexsort((ids, -score, group, query))
+        query, group, score, ids = query[order], group[order], score[order], ids[order]
+        new = np.ones(len(query), bool)
+        new[1:] = (query[1:] != query[:-1]) | (group[1:] != group[:-1])
+        first = np.flatnonzero(new)
+        keep = np.arange(len(query)) - np.repeat(first, np.diff([*first, len(query)])) < self.k
+        kept = query[keep], group[keep], score[keep], ids[keep]
+        self.parts, self.size = [kept], len(kept[0])
+        return kept
+
+
+def best_scores(queries: DataFrame, rows: DataFrame, k: int, others: bool = False, score: Callable = _scored, vectors: tuple[str, ...] = ("u",), extra: tuple[str, ...] = (), group: Callable | None = None) -> DataFrame:
+    """(query_id, vec_id, score, grp): each task's k best rows of each query, or of each group of rows that group makes of a row side.
+
+    A task keeps its best while it goes through its blocks and gives them once, at its end.
+    """
+
+    def run(pairs) -> Iterator[pa.RecordBatch]:
+        best = _Best(k)
+        for q, r in pairs:
+            s = score(q, r)
+            if others:
+                s[q["ids"][:, None] == r["ids"][None, :]] = -np.inf
+            g = group(r) if group else np.zeros(len(r["ids"]), np.int64)
+            for one in np.unique(g):
+                at = np.flatnonzero(g == one)
+                part = s[:, at]
+                least = np.partition(part, -k, axis=1)[:, -k] if len(at) > k else np.full(len(part), -np.inf)
+                i, j = np.nonzero((part >= least[:, None]) & (part > -np.inf))
+                best.add(q["ids"][i], np.full(len(i), one), part[i, j], r["ids"][at[j]])
+        query, grp, value, ids = best.settle()
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids), pa.array(value), pa.array(grp)], names=["query_id", "vec_id", "score", "grp"])
+
+    return products(queries, rows, run, "query_id long, vec_id long, score double, grp long", vectors, extra)
+
+
+def search(queries: DataFrame, rows: DataFrame, k: int, others: bool = False) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k best rows of each query by inner product, exactly, ties to the smaller id.
+
+    others leaves out the query's own id. Null vectors take no part.
+    """
+    rows, queries = (x.select("vec_id", "u").where("u IS NOT NULL") for x in (rows, queries))
+    return top_k(best_scores(queries, rows, k, others).drop("grp"), k)
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "vec_id") -> DataFrame:
@@ -164,24 +277,32 @@ def kmeans(rows: DataFrame, k: int, max_iter: int = 25, seed: int = 0, tolerance
         rows.unpersist()
 
 
-def capped_label(scored: DataFrame, k: int, cap: float = 0.5) -> DataFrame:
-    """Greedy top-k with at most max(1, int(k * cap)) rows of a label: rank within the label, then overall."""
+def capped_label(queries: DataFrame, rows: DataFrame, k: int, cap: float = 0.5, others: bool = True) -> DataFrame:
+    """(query_id, vec_id, label, score, rank): greedy top-k with at most max(1, int(k * cap)) rows of a label: the best of each label, then overall."""
     most = max(1, int(k * cap))
+    found = best_scores(queries.where("u IS NOT NULL"), rows.where("u IS NOT NULL"), most, others, extra=("label",), group=lambda r: r["label"]).withColumnRenamed("grp", "label")
     within = F.row_number().over(W.partitionBy("query_id", "label").orderBy(F.desc("score"), "vec_id"))
-    return top_k(scored.withColumn("in_label", within).where(F.col("in_label") <= most), k)
+    return top_k(found.withColumn("in_label", within).where(F.col("in_label") <= most), k)
 
 
 def mmr(queries: DataFrame, rows: DataFrame, k: int, lam: float = 0.7, others: bool = True) -> DataFrame:
     """(query_id, step, vec_id): maximal marginal relevance over all rows, ties to the smaller id.
 
-    k passes over the rows. In each, a task keeps its best row a query against the picks so far; one row
-    a query comes back. queries are at most BROADCAST_ROWS // k. others leaves out the query's own id.
+    Queries are taken in blocks of about BROADCAST_ROWS // k, each block in k passes over the rows: in a pass a
+    task keeps its best row a query against the picks so far, and one row a query comes back. others
+    leaves out the query's own id.
     """
-    spark = rows.sparkSession
-    asked = queries.select("vec_id", "u").where("u IS NOT NULL").limit(BROADCAST_ROWS // k + 1).collect()
-    if len(asked) > BROADCAST_ROWS // k:
-        raise ValueError("too many queries for one call")
+    queries = queries.select("vec_id", "u").where("u IS NOT NULL")
     rows = rows.select("vec_id", "u").where("u IS NOT NULL")
+    n, limit = queries.count(), max(1, BROADCAST_ROWS // k)
+    blocks = -(-n // limit)
+    parts = [_mmr(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i), rows, k, lam, others) for i in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], "query_id long, step int, vec_id long")
+
+
+def _mmr(queries: DataFrame, rows: DataFrame, k: int, lam: float, others: bool) -> DataFrame:
+    spark = rows.sparkSession
+    asked = queries.collect()  # a block
     ids = [r["vec_id"] for r in asked]
     picks: dict[int, list[tuple[int, list[float]]]] = {i: [] for i in ids}
     for _ in range(k if asked else 0):
@@ -189,12 +310,13 @@ def mmr(queries: DataFrame, rows: DataFrame, k: int, lam: float = 0.7, others: b
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, q, picks = shared.value
+            top: dict[int, tuple] = {}
             for b in batches:
                 if not len(b):
                     continue
                 b = b.sort_values("vec_id", ignore_index=True)
                 v, u = b["vec_id"].to_numpy(), _matrix(b["u"])
-                relevance, found = np.round(u @ q.T, 6), []
+                relevance = np.round(u @ q.T, 6)
                 for j, i in enumerate(ids):
                     value = lam * relevance[:, j]
                     if picks[i]:
@@ -202,12 +324,13 @@ def mmr(queries: DataFrame, rows: DataFrame, k: int, lam: float = 0.7, others: b
                     value = np.round(value, 9)
                     value[np.isin(v, [x for x, _ in picks[i]] + [i] * others)] = -np.inf
                     at = int(np.argmax(value))
-                    if value[at] > -np.inf:
-                        found.append((i, int(v[at]), float(value[at]), u[at]))
-                yield pd.DataFrame(found, columns=["query_id", "vec_id", "value", "u"])
+                    if value[at] > -np.inf and (i not in top or (value[at], -v[at]) > (top[i][2], -top[i][1])):
+                        top[i] = (i, int(v[at]), float(value[at]), u[at])
+            yield pd.DataFrame(list(top.values()), columns=["query_id", "vec_id", "value", "u"])
 
-        top = rows.mapInPandas(best, "query_id long, vec_id long, value double, u array<double>").groupBy("query_id").agg(F.max_by(F.struct("vec_id", "u"), F.struct("value", -F.col("vec_id"))).alias("x"))
-        for r in top.collect():
+        found = rows.mapInPandas(best, "query_id long, vec_id long, value double, u array<double>").groupBy("query_id").agg(F.max_by(F.struct("vec_id", "u"), F.struct("value", -F.col("vec_id"))).alias("x"))
+        for r in found.collect():
             picks[r["query_id"]].append((r["x"]["vec_id"], r["x"]["u"]))
-    found = [(i, s, x) for i in ids for s, (x, _) in enumerate(picks[i], 1)]
-    return spark.createDataFrame(found, "query_id long, step int, vec_id long")
+        shared.destroy()
+    out = [(i, s, x) for i in ids for s, (x, _) in enumerate(picks[i], 1)]
+    return spark.createDataFrame(out, "query_id long, step int, vec_id long")

@@ -10,6 +10,7 @@ from textloom.functions import spans as S
 from textloom.functions import templates as T
 from textloom.plans.chunks import _word_spans
 from textloom.sources.sinks import config_id
+from textloom.operators.token_stream import offsets
 from textloom.sources.tables import table
 
 EXAMPLE = "Q: {{ question }}\nA: {{answer}}"
@@ -35,15 +36,18 @@ def few_shot(spark: SparkSession, d: str) -> DataFrame:
 def prefixed_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of a split and a running number within it, from 0."""
     split = F.when(F.col("doc_id") % 5 == 0, "dev").otherwise("train")
-    rows = table(spark, d, "labels").select("doc_id", split.alias("split"))
-    return rows.select("doc_id", F.concat("split", F.lit("-"), (F.row_number().over(W.partitionBy("split").orderBy("doc_id")) - 1).cast("string")).alias("id"))
+    rows = table(spark, d, "labels").select("doc_id", split.alias("split"), F.lit(1).cast("long").alias("n"))
+    placed = offsets(rows, ["split", "doc_id"], "n")
+    first = placed.groupBy("split").agg(F.min("offset").alias("first"))
+    return placed.join(F.broadcast(first), "split").select("doc_id", F.concat("split", F.lit("-"), (F.col("offset") - F.col("first")).cast("string")).alias("id"))
 
 
 def config_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Chunk sizes by overlap and strategy, each with a key of its settings; an overlap fits its size."""
-    values = lambda c, x, kind: spark.createDataFrame([(v,) for v in x], f"{c} {kind}")
-    grid = values("size", (64, 128, 256), "int").crossJoin(values("overlap", (0, 32, 64), "int")).crossJoin(values("strategy", ("fixed", "recursive", "sentence"), "string")).where("overlap < size")
-    return config_id(grid, ["size", "overlap", "strategy"])
+    """Chunk sizes by overlap and strategy for each language of the documents, with a key of the settings; an overlap fits its size."""
+    rows = table(spark, d, "documents").where("lang IS NOT NULL").select("lang").distinct()
+    for name, values in (("size", (64, 128, 256)), ("overlap", (0, 32, 64)), ("strategy", ("fixed", "recursive", "sentence"))):
+        rows = rows.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return config_id(rows.where("overlap < size"), ["size", "overlap", "strategy", "lang"])
 
 
 def annotator_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -80,8 +84,8 @@ QUERIES = {
     "prefixed_ids": (prefixed_ids, "WITH s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'dev' ELSE 'train' END AS split FROM labels) SELECT doc_id, split || '-' || (row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1) AS id FROM s"),
     "config_grid": (
         config_grid,
-        """SELECT size::INT AS size, overlap::INT AS overlap, strategy, sha1('{"overlap":' || overlap || ',"size":' || size || ',"strategy":"' || strategy || '"}')[1:10] AS config_id
-        FROM unnest([64, 128, 256]) AS a(size), unnest([0, 32, 64]) AS b(overlap), unnest(['fixed', 'recursive', 'sentence']) AS c(strategy) WHERE overlap < size""",
+        """SELECT lang, size::INT AS size, overlap::INT AS overlap, strategy, sha1('{"lang":"' || lang || '","overlap":' || overlap || ',"size":' || size || ',"strategy":"' || strategy || '"}')[1:10] AS config_id
+        FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL), unnest([64, 128, 256]) AS a(size), unnest([0, 32, 64]) AS b(overlap), unnest(['fixed', 'recursive', 'sentence']) AS c(strategy) WHERE overlap < size""",
     ),
     "annotator_evidence": (
         annotator_evidence,

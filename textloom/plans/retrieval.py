@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import metrics as M
 from textloom.operators import vector_index as X
-from textloom.plans.vectors import SCORED, _scored
+from textloom.plans.vectors import SCORED
 from textloom.sources.tables import table
 
 K = 10
@@ -26,9 +28,20 @@ def _qrels(spark: SparkSession, d: str) -> DataFrame:
 
 def rank_maxp(spark: SparkSession, d: str) -> DataFrame:
     """Chunks are vectors, documents are vec_id div 4: a document has the score of its best chunk."""
-    scored = _scored(spark, d).withColumn("doc_id", F.expr("vec_id DIV 4"))
-    best = scored.groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    return X.top_k(best, 5, tie="doc_id")
+    rows = X.unit_rows(table(spark, d, "embeddings"))
+
+    def run(pairs):
+        # a document among the best has its best chunk in a block where it is among the best
+        for q, r in pairs:
+            order = np.argsort(r["ids"] // 4, kind="stable")
+            docs, first = np.unique(r["ids"][order] // 4, return_index=True)
+            s = np.maximum.reduceat(np.round(q["u"] @ r["u"].T, 6)[:, order], first, axis=1)
+            least = np.partition(s, -5, axis=1)[:, -5] if len(docs) > 5 else np.full(len(s), -np.inf)
+            i, j = np.nonzero(s >= least[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(q["ids"][i]), pa.array(docs[j]), pa.array(s[i, j])], names=["query_id", "doc_id", "score"])
+
+    found = X.products(rows.where("vec_id % 100 = 0"), rows, run, "query_id long, doc_id long, score double")
+    return X.top_k(found.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), 5, tie="doc_id")
 
 
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
@@ -54,24 +67,27 @@ def evaluate_run_left(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _relevance(spark: SparkSession, d: str) -> DataFrame:
-    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    return _scored(spark, d, others=True).join(X.small(labels.where("query_id % 100 = 0")), "query_id").select("query_id", "score", (F.col("label") == F.col("ql")).alias("relevant"))
+    """(query_id, score, r, o): how many rows of the query's label and of others have a score."""
+    rows = X.unit_rows(table(spark, d, "embeddings"))
+    return X.score_counts(rows.where("vec_id % 100 = 0"), rows)
 
 
 def score_auc(spark: SparkSession, d: str) -> DataFrame:
-    return M.auc(_relevance(spark, d), "query_id")
+    return M.auc_of_counts(_relevance(spark, d), "query_id")
 
 
 def score_gap(spark: SparkSession, d: str) -> DataFrame:
-    r = _relevance(spark, d)
-    pick = lambda flag: F.when(F.col("relevant") == flag, F.col("score"))
-    return r.agg(F.round(F.avg(pick(True)), 6).alias("mean_relevant"), F.round(F.avg(pick(False)), 6).alias("mean_other"), F.round(F.avg(pick(True)) - F.avg(pick(False)), 6).alias("gap"), F.round(F.stddev_pop(pick(False)), 6).alias("sd_other"), F.round(F.percentile(pick(False), 0.95), 6).alias("p95_other"))
+    n = _relevance(spark, d).groupBy("score").agg(F.sum("r").alias("r"), F.sum("o").alias("o"))
+    mean = lambda c: F.sum(F.col("score") * F.col(c)) / F.sum(c)
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("score") * F.col("score") * F.col("o")) / F.sum("o") - mean("o") * mean("o")))
+    p95 = F.percentile(F.when(F.col("o") > 0, F.col("score")), 0.95, F.greatest("o", F.lit(1)))
+    return n.agg(F.round(mean("r"), 6).alias("mean_relevant"), F.round(mean("o"), 6).alias("mean_other"), F.round(mean("r") - mean("o"), 6).alias("gap"), F.round(sd, 6).alias("sd_other"), F.round(p95, 6).alias("p95_other"))
 
 
 def score_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Shared mass of the two score histograms, 20 bins from -1 to 1."""
-    b = _relevance(spark, d).select("relevant", F.least(F.lit(19), F.floor((F.col("score") + 1) * 10)).cast("int").alias("bin"))
-    n = b.groupBy("bin").agg(F.sum(F.col("relevant").cast("int")).alias("r"), F.sum((~F.col("relevant")).cast("int")).alias("o"))
+    b = _relevance(spark, d).select("r", "o", F.least(F.lit(19), F.floor((F.col("score") + 1) * 10)).cast("int").alias("bin"))
+    n = b.groupBy("bin").agg(F.sum("r").alias("r"), F.sum("o").alias("o"))
     t = n.agg(F.sum("r").alias("tr"), F.sum("o").alias("to"))
     return n.crossJoin(F.broadcast(t)).agg(F.round(F.sum(F.least(F.col("r") / F.col("tr"), F.col("o") / F.col("to"))), 6).alias("overlap"))
 
@@ -80,7 +96,9 @@ def paired_runs(spark: SparkSession, d: str) -> DataFrame:
     """Wins, losses and ties of the exact run against one re-ranked by hash, per query recall."""
     q = _qrels(spark, d)
     a = M.per_query(_run(spark, d), q, K).select("qid", F.col("recall").alias("a"))
-    other = X.top_k(_scored(spark, d, others=True).withColumn("score", F.round(F.col("score") * 0.5, 6) + (F.col("vec_id") % 7) * 0.1), K).select(F.col("query_id").alias("qid"), F.col("vec_id").alias("doc_id"), "score", "rank")
+    rows = X.unit_rows(table(spark, d, "embeddings"))
+    again = X.best_scores(rows.where("vec_id % 100 = 0"), rows, K, others=True, score=lambda q, r: np.round(q["u"] @ r["u"].T, 6) * 0.5 + (r["ids"] % 7) * 0.1)
+    other = X.top_k(again.drop("grp"), K).select(F.col("query_id").alias("qid"), F.col("vec_id").alias("doc_id"), "score", "rank")
     b = M.per_query(other, q, K).select("qid", F.col("recall").alias("b"))
     return a.join(b, "qid").agg(F.count_if(F.col("a") > F.col("b")).alias("wins"), F.count_if(F.col("a") < F.col("b")).alias("losses"), F.count_if(F.col("a") == F.col("b")).alias("ties"))
 
@@ -124,7 +142,7 @@ QUERIES = {
     "paired_runs": (
         paired_runs,
         f"""WITH {RUN}, r2 AS (SELECT query_id AS qid, vec_id AS doc_id FROM s WHERE query_id <> vec_id
-            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score * 0.5, 6) + (vec_id % 7) * 0.1 DESC, vec_id) <= 10),
+            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score * 0.5::DOUBLE + (vec_id % 7) * 0.1::DOUBLE DESC, vec_id) <= 10),
         m2 AS (SELECT n.qid, round(count(r2.doc_id) / any_value(n.n), 6) AS recall FROM n LEFT JOIN (SELECT r2.* FROM r2 JOIN qrels USING (qid, doc_id)) r2 USING (qid) GROUP BY n.qid)
         SELECT count(*) FILTER (m.recall > m2.recall) AS wins, count(*) FILTER (m.recall < m2.recall) AS losses, count(*) FILTER (m.recall = m2.recall) AS ties FROM m JOIN m2 USING (qid)""",
     ),

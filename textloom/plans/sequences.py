@@ -43,16 +43,19 @@ def multiset_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lr_schedule(spark: SparkSession, d: str) -> DataFrame:
-    """Linear warm-up of 100 steps, then cosine decay to 1e-4 at step 3000."""
+    """A rate for each event as a training step: linear warm-up of 100 steps, then cosine decay to 1e-4 at the last event."""
+    rows = table(spark, d, "events").select(F.col("event_id").alias("step"))
+    last = rows.agg(F.max("step")).first()[0] or 0
     s = F.col("step")
-    decay = (s - 100) / 2900.0
-    return spark.range(0, 3001, 50).select(F.col("id").alias("step")).select("step", F.round(F.when(s < 100, 1e-3 * (s + 1) / 100).otherwise(1e-4 + 0.5 * (1e-3 - 1e-4) * (1 + F.cos(F.lit(math.pi) * decay))), 9).alias("lr"))
+    decay = (s - 100) / float(max(1, last - 100))
+    return rows.select("step", F.round(F.when(s < 100, 1e-3 * (s + 1) / 100).otherwise(1e-4 + 0.5 * (1e-3 - 1e-4) * (1 + F.cos(F.lit(math.pi) * decay))), 9).alias("lr"))
 
 
 def position_encodings(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.range(32).select(F.col("id").alias("pos"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("i"))
+    """Sines and cosines of each conversation turn's place, in eight frequencies."""
+    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("i"))
     angle = F.col("pos") * F.pow(F.lit(10000.0), -2 * F.col("i") / 16)
-    return rows.select("pos", "i", F.round(F.sin(angle), 6).alias("sin"), F.round(F.cos(angle), 6).alias("cos"))
+    return rows.select("conv_id", "pos", "i", F.round(F.sin(angle), 6).alias("sin"), F.round(F.cos(angle), 6).alias("cos"))
 
 
 EV = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
@@ -70,6 +73,6 @@ QUERIES = {
         b AS (SELECT item_id, w, count(*) AS y FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) GROUP BY ALL)
         SELECT doc_id, sum(least(x, y))::BIGINT AS n FROM a JOIN b ON a.w = b.w AND doc_id % (SELECT count(*) FROM benchmark) = item_id GROUP BY doc_id""",
     ),
-    "lr_schedule": (lr_schedule, "SELECT s AS step, round(CASE WHEN s < 100 THEN 0.001::DOUBLE * (s + 1) / 100 ELSE 0.0001::DOUBLE + 0.5 * 0.0009 * (1 + cos(pi() * (s - 100) / 2900.0)) END::DOUBLE, 9) AS lr FROM range(0, 3001, 50) t(s)"),
-    "position_encodings": (position_encodings, "SELECT pos, i, round(sin(pos * pow(10000.0, -2 * i / 16)), 6) AS sin, round(cos(pos * pow(10000.0, -2 * i / 16)), 6) AS cos FROM range(32) p(pos), range(8) q(i)"),
+    "lr_schedule": (lr_schedule, "SELECT s AS step, round(CASE WHEN s < 100 THEN 0.001::DOUBLE * (s + 1) / 100 ELSE 0.0001::DOUBLE + 0.5 * 0.0009 * (1 + cos(pi() * (s - 100) / greatest(1, last - 100)::DOUBLE)) END::DOUBLE, 9) AS lr FROM (SELECT event_id AS s, max(event_id) OVER () AS last FROM events)"),
+    "position_encodings": (position_encodings, "SELECT conv_id, turn AS pos, i, round(sin(turn * pow(10000.0, -2 * i / 16)), 6) AS sin, round(cos(turn * pow(10000.0, -2 * i / 16)), 6) AS cos FROM conversations, range(8) q(i)"),
 }

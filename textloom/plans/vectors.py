@@ -24,12 +24,6 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return X.unit_rows(table(spark, d, "embeddings"))
 
 
-def _scored(spark: SparkSession, d: str, others: bool = False) -> DataFrame:
-    rows = _rows(spark, d)
-    out = X.scores(rows.where("vec_id % 100 = 0"), rows)
-    return out.where("query_id <> vec_id") if others else out
-
-
 def vec_normalize(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, d).select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm2"), F.round(F.element_at("u", 1), 6).alias("first"), F.size("u").cast("long").alias("d"))
 
@@ -51,18 +45,27 @@ def _analogy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows, X.small(a.where("a % 100 = 0").join(b, F.col("b") == F.col("a") + 1).join(c, F.col("c") == F.col("a") + 2))
 
 
+def _without(found: DataFrame, quads: DataFrame) -> DataFrame:
+    """The five best of each query without the words of its analogy, of more that were found."""
+    known = quads.select(F.col("a").alias("query_id"), F.explode(F.array("a", "b", "c")).alias("vec_id"))
+    return X.top_k(found.drop("grp").join(known, ["query_id", "vec_id"], "left_anti"), 5)
+
+
 def vec_analogy_add(spark: SparkSession, d: str) -> DataFrame:
     rows, quads = _analogy(spark, d)
-    asked = quads.select(F.col("a").alias("query_id"), "b", "c", unit(plus(minus(F.col("ub"), F.col("ua")), F.col("uc"))).alias("t"))
-    scored = rows.crossJoin(asked).where("vec_id NOT IN (query_id, b, c)").select("query_id", "vec_id", F.round(dot("u", "t"), 6).alias("score"))
-    return X.top_k(scored, 5)
+    asked = quads.select(F.col("a").alias("vec_id"), unit(plus(minus(F.col("ub"), F.col("ua")), F.col("uc"))).alias("u"))
+    return _without(X.best_scores(asked, rows, 8), quads)
 
 
 def vec_analogy_mul(spark: SparkSession, d: str) -> DataFrame:
     rows, quads = _analogy(spark, d)
-    half = lambda x: (dot("u", x) + 1) / 2
-    scored = rows.crossJoin(quads).where("vec_id NOT IN (a, b, c)").select(F.col("a").alias("query_id"), "vec_id", F.round(half("ub") * half("uc") / (half("ua") + 1e-3), 6).alias("score"))
-    return X.top_k(scored, 5)
+
+    def score(q: dict, r: dict):
+        a, b, c = ((q[x] @ r["u"].T + 1) / 2 for x in ("ua", "ub", "uc"))
+        return (b * c / (a + 1e-3)).round(6)
+
+    asked = quads.select(F.col("a").alias("vec_id"), "ua", "ub", "uc")
+    return _without(X.best_scores(asked, rows, 8, score=score, vectors=("ua", "ub", "uc")), quads)
 
 
 def vec_random_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +77,8 @@ def vec_random_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def select_capped_label(spark: SparkSession, d: str) -> DataFrame:
-    return X.capped_label(_scored(spark, d, others=True), 5, 0.4).select("query_id", "vec_id", "label", "score", "rank")
+    rows = _rows(spark, d)
+    return X.capped_label(rows.where("vec_id % 100 = 0"), rows, 5, 0.4).select("query_id", "vec_id", "label", "score", "rank")
 
 
 def select_random_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +91,8 @@ def select_random_hash(spark: SparkSession, d: str) -> DataFrame:
 def selector_quality(spark: SparkSession, d: str) -> DataFrame:
     """Label hits of top-5 examples per query and overall redundancy by label count."""
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
-    top = X.top_k(_scored(spark, d, others=True), 5).join(labels, "query_id")
+    near = vec_topk_exclude_self(spark, d)
+    top = near.join(labels.select(F.col("query_id").alias("vec_id"), F.col("query_label").alias("label")), "vec_id").join(labels, "query_id")
     return top.groupBy("query_id").agg(F.max((F.col("label") == F.col("query_label")).cast("int")).alias("hit"), F.round(F.avg((F.col("label") == F.col("query_label")).cast("double")), 6).alias("precision"), F.count_distinct("label").alias("labels"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
