@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,29 @@ def text_blocks(rows: DataFrame, id_col: str, text_col: str, limit: int) -> tupl
     return n, (rows.where(F.pmod(F.xxhash64("id", "raw"), F.lit(n)) == k).collect() for k in range(n))
 
 
+def release() -> None:
+    """Give unused memory of this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a generator over batches, with release() at its end: a worker outlives its task, and other stages use it next."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

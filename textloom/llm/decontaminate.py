@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.bytewords import word_places, words
-from textloom.llm.common import cut, fresh, text_blocks
+from textloom.llm.common import cut, fresh, text_blocks, tidy
 
 WINDOW, BLOCK = 10, 2
 #: Bytes of item texts whose tables a pass holds, and passes in one stage: their workers live side by side.
@@ -120,7 +120,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
             while held:
                 held.pop().destroy()
         held.append(docs.sparkSession.sparkContext.broadcast(([bytes(r["raw"]) for r in block], [str(r["id"]) for r in block])))
-        out = out.mapInArrow(_pass(held[-1], raw, window), out.schema)
+        out = out.mapInArrow(tidy(_pass(held[-1], raw, window)), out.schema)
     return out.drop(raw)
 
 

@@ -33,15 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, fresh
+from textloom.llm.common import cut, fresh, tidy
 from textloom.llm.components import components
 from textloom.llm.wordbpe import Cache
 
 #: Nodes of a region that are compared directly; pivots of a larger one in the first round; a list of at most this many ids or pairs is broadcast.
 LEAF, PIVOTS, BROADCAST_ROWS = 12, 4, 200_000
 
-#: Sets that a task remembers having written.
-SEEN = 200_000
+#: Sets that a task remembers having written, and rows that it gives at a time.
+SEEN, ROWS = 200_000, 1000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -86,7 +86,7 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets, seen = Shingler(), set()
-        for b in batches:
+        for b in (whole[a : a + ROWS] for whole in batches for a in range(0, len(whole), ROWS)):
             rows = []
             for i, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
                 s = sets(t)
@@ -101,17 +101,17 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             ids, nodes, sizes, least = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pd.DataFrame({"id": pd.Series(ids, dtype=b.dtypes.iloc[0]), "node": pd.array(nodes, dtype="Int64"), "n": np.array(sizes, dtype=np.int64), "h": pd.Series(least, dtype=object)})
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(run, f"id {kind}, node long, n long, h array<long>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(tidy(run), f"id {kind}, node long, n long, h array<long>")
 
 
 def _sets(docs: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = Shingler()
-        for b in batches:
+        for b in (whole[a : a + ROWS] for whole in batches for a in range(0, len(whole), ROWS)):
             found = [sets(t) for t in b.iloc[:, 0]]
             yield pd.DataFrame({"node": [xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in found], "n": [len(s) for s in found], "s": found})
 
-    return docs.select(text_col).mapInPandas(run, "node long, n long, s array<long>")
+    return docs.select(text_col).mapInPandas(tidy(run), "node long, n long, s array<long>")
 
 
 def _candidates(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:

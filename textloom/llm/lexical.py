@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.bytewords import words
-from textloom.llm.common import cut, text_blocks
+from textloom.llm.common import cut, text_blocks, tidy
 
 #: A shard ends after so many documents or words.
 SHARD_DOCS, SHARD_WORDS = 8192, 500_000
@@ -75,7 +75,7 @@ def _shards(batches):
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The shards of docs, written to the shared folder. Every row with a term is indexed, whole texts, repeated rows each for itself."""
-    return cut(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("raw")).mapInArrow(_shards, SHARD), "postings")
+    return cut(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("raw")).mapInArrow(tidy(_shards), SHARD), "postings")
 
 
 def weight(n: int, df: int) -> int:
@@ -181,7 +181,7 @@ def rank(index: DataFrame, queries: DataFrame, k: int = TOP, item_id: str = "ite
         asked.destroy()
         weights = {bytes(r["term"]): weight(n, r["df"]) for r in df}
         held = spark.sparkContext.broadcast(([(q, c) for q, c in enumerate(terms) if c], weights, n, total))
-        found = index.mapInArrow(_searched(held, k), "query long, doc_id long, score long")
+        found = index.mapInArrow(tidy(_searched(held, k)), "query long, doc_id long, score long")
         top = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
         ids = spark.createDataFrame([(q, r["id"]) for q, r in enumerate(block)], f"query long, {item_id} {kind.simpleString()}")
         top = top.join(F.broadcast(ids), "query").select(item_id, "rank", "doc_id", "score")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe_codec import codec
-from textloom.llm.common import cut
+from textloom.llm.common import cut, tidy
 
 #: A bin with this share of its capacity is emitted; rows of one merge group; most merge rounds.
 NEARLY_FULL, GROUP_ROWS, MAX_ROUNDS = 0.99, 400_000, 12
@@ -47,7 +47,7 @@ def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id:
         c.shrink()
 
     schema_names = [x.strip().split(" ")[0] for x in schema.split(", ")]
-    return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(tidy(run), schema)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def pack(items: DataFrame, capacity: int = 4096) -> DataFrame:
         yield _pack_rows(rows, capacity, TaskContext.get().partitionId() << 32, False)
 
     spark = items.sparkSession
-    state = cut(items.mapInPandas(local, schema), "pack-0")
+    state = cut(items.mapInPandas(tidy(local), schema), "pack-0")
     done = [state.where("_done")]
     left = state.where("NOT _done")
     before = None

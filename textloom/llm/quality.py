@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import tidy
+
 # White space, symbols.
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -131,6 +133,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ord
     order = order or estimate(docs, text_col)
 
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    @tidy
     def measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             rows = []
@@ -151,6 +154,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", order: list[str] | None =
     order = order or estimate(docs, text_col)
 
     @F.pandas_udf("boolean")
+    @tidy
     def passes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([first_rejection(Text(t), order) is None for t in batch], dtype=bool)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, fresh
+from textloom.llm.common import cut, fresh, tidy
 from textloom.llm.sais import common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 32
@@ -94,7 +94,7 @@ def _members(docs: DataFrame, length: int) -> DataFrame:
             if parts:
                 yield _joined(parts)
 
-    return docs.select("t", "text").mapInPandas(run, "t long, key long, c long, start int, size int, again boolean")
+    return docs.select("t", "text").mapInPandas(tidy(run), "t long, key long, c long, start int, size int, again boolean")
 
 
 def _joined(parts: list[tuple]) -> pd.DataFrame:
@@ -157,7 +157,7 @@ def _by_window(parts: DataFrame, length: int) -> DataFrame:
                 d = [xxhash.xxh3_128_digest(raw[i : i + length]) for i in at]
                 yield pd.DataFrame({"key": key, "c": c, "size": size, "n": n, "a": at, "d": d})
 
-    windows = parts.dropDuplicates(["key", "c", "size"]).mapInPandas(run, "key long, c long, size int, n long, a int, d binary")
+    windows = parts.dropDuplicates(["key", "c", "size"]).mapInPandas(tidy(run), "key long, c long, size int, n long, a int, d binary")
     often = windows.groupBy("d").agg(F.sum("n").alias("w")).where("w > 1").select("d")
     return windows.join(often, "d", "left_semi").select("key", "c", "size", "a", (F.col("a") + length).alias("b"))
 
@@ -182,7 +182,7 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, shard
     lists = wanted.groupBy("t").agg(F.collect_list(F.struct("key", "c", "size", "n", "start")).alias("w"))
     # copies of a text are merged, a task at a time and then for good, in the shuffle that the join needs
     once = known.groupBy("t").agg(F.first("text").alias("text"))
-    pieces = cut(once.join(lists, "t").mapInPandas(_cut_out, "key long, c long, size int, n long, bytes binary"), "suffix-pieces")
+    pieces = cut(once.join(lists, "t").mapInPandas(tidy(_cut_out), "key long, c long, size int, n long, bytes binary"), "suffix-pieces")
     if over.count():
         by_window = [_by_window(pieces.join(over, "key", "left_semi"), length)]
         pieces = pieces.join(over, "key", "left_anti")
@@ -242,6 +242,7 @@ def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    @tidy
     def digest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, spans in batches:
             rows = []
@@ -259,6 +260,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     """docs, all rows and columns, with repeats cut out of the text; a character of which a part is cut goes."""
 
     @F.pandas_udf("string")
+    @tidy
     def rest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, spans in batches:
             yield pd.Series([text if s is None or text is None else _kept(text.encode(), merged(s)).decode("utf-8", "ignore") for text, s in zip(texts, spans, strict=True)], dtype=object)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import cut, tidy
 from textloom.llm.langid import fold
 from textloom.llm.wordbpe import Cache
 
@@ -221,7 +221,7 @@ def _fit_context(model: Model, drawn: DataFrame, docs: tuple[int, int]) -> None:
                     found.add((n, int(toxic), " quoted" if quoted else " plain"))
             yield pd.DataFrame(sorted(found), columns=["n", "toxic", "w"])[["toxic", "w"]].astype({"toxic": int, "w": object})
 
-    seen = drawn.select("toxic", "text").mapInPandas(around, "toxic int, w string").groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
+    seen = drawn.select("toxic", "text").mapInPandas(tidy(around), "toxic int, w string").groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     top = seen.where("o > 0 AND t + o >= 10 OR w LIKE ' %'").orderBy(F.desc(F.col("t") + F.col("o")), "w").limit(MAX_CONTEXT).collect()
     n = {r["w"]: (r["t"], r["o"]) for r in top}
     q, p = n.pop(" quoted", (0, 0)), n.pop(" plain", (0, 0))
@@ -245,7 +245,7 @@ def _strengths(model: Model, drawn: DataFrame) -> list[tuple[float, int]]:
             yield pd.DataFrame({"x": [strength(matcher, shared.value, t, 1 if y else 2) for y, t in zip(b["toxic"], b["text"], strict=True)], "y": b["toxic"].astype(int)})
 
     # rows with equal figures are merged before they come to the driver
-    found = drawn.select("toxic", "text").mapInPandas(run, "x double, y int").select(F.round("x", 3).alias("x"), "y").groupBy("x", "y").count().collect()
+    found = drawn.select("toxic", "text").mapInPandas(tidy(run), "x double, y int").select(F.round("x", 3).alias("x"), "y").groupBy("x", "y").count().collect()
     return [(r["x"], r["y"]) for r in sorted(found, key=lambda r: (r["x"], r["y"])) for _ in range(r["count"])]
 
 
@@ -282,6 +282,7 @@ def _udf(docs: DataFrame, model: Model):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
+    @tidy
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = _scorer(shared.value)
         for batch in texts:
