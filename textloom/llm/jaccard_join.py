@@ -28,7 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +40,8 @@ from textloom.llm.wordbpe import Cache
 #: Nodes of a region that are compared directly; pivots of a larger one in the first round; a list of at most this many ids or pairs is broadcast.
 LEAF, PIVOTS, BROADCAST_ROWS = 12, 4, 200_000
 
-#: Sets that a task remembers having written, and rows that it gives at a time.
-SEEN, ROWS = 200_000, 1000
+#: Sets that a task remembers having written, words that it remembers in each of two generations, and rows that it gives at a time.
+SEEN, WORDS, ROWS = 50_000, 40_000, 1000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -57,7 +57,7 @@ class Shingler:
 
     def __init__(self, k: int = 5):
         self.k = k
-        self.words = Cache(xxhash.xxh3_64_intdigest)
+        self.words = Cache(xxhash.xxh3_64_intdigest, WORDS)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.encode().lower().split() if text else []
@@ -84,12 +84,12 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches) -> Iterator[pa.RecordBatch]:
         sets, seen = Shingler(), set()
-        for b in (whole[a : a + ROWS] for whole in batches for a in range(0, len(whole), ROWS)):
-            rows = []
-            for i, t in zip(b.iloc[:, 0], b.iloc[:, 1], strict=True):
-                s = sets(t)
+        for b in _parts(batches):
+            nodes, sizes, least = [], [], []
+            for t in b.column(1):
+                s = sets(t.as_py())
                 n = len(s)
                 node = xxhash.xxh3_64_intdigest(s) - (1 << 63) if n else None
                 new = n and node not in seen
@@ -97,21 +97,29 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(node)
-                rows.append((i, node, n, s[: _lost(n) + 1 + n // 12] if new else None))
-            ids, nodes, sizes, least = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pd.DataFrame({"id": pd.Series(ids, dtype=b.dtypes.iloc[0]), "node": pd.array(nodes, dtype="Int64"), "n": np.array(sizes, dtype=np.int64), "h": pd.Series(least, dtype=object)})
+                nodes.append(node)
+                sizes.append(n)
+                least.append(s[: _lost(n) + 1 + n // 12] if new else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=["id", "node", "n", "h"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(tidy(run), f"id {kind}, node long, n long, h array<long>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), f"id {kind}, node long, n long, h array<long>")
+
+
+def _parts(batches) -> Iterator[pa.RecordBatch]:
+    """At most ROWS rows at a time, so that few sets are held."""
+    for b in batches:
+        for a in range(0, b.num_rows, ROWS):
+            yield b.slice(a, ROWS)
 
 
 def _sets(docs: DataFrame, text_col: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches) -> Iterator[pa.RecordBatch]:
         sets = Shingler()
-        for b in (whole[a : a + ROWS] for whole in batches for a in range(0, len(whole), ROWS)):
-            found = [sets(t) for t in b.iloc[:, 0]]
-            yield pd.DataFrame({"node": [xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in found], "n": [len(s) for s in found], "s": found})
+        for b in _parts(batches):
+            found = [sets(t.as_py()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "s"])
 
-    return docs.select(text_col).mapInPandas(tidy(run), "node long, n long, s array<long>")
+    return docs.select(text_col).mapInArrow(tidy(run), "node long, n long, s array<long>")
 
 
 def _candidates(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -152,6 +160,11 @@ def _step(n):
     return F.floor(F.log(n.cast("double")) * 50)
 
 
+def _size(n):
+    """Size classes so wide that two sets of similarity .75 are in one or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(4 / 3)) + 1e-9).cast("long")
+
+
 def _able(state: DataFrame) -> DataFrame:
     """The rows that another row of the region may be a partner of: m <= cap, and n within that one's cap."""
     caps = state.groupBy("region", _step(F.col("n")).alias("b")).agg(F.max("cap").alias("cap")).groupBy("region").agg(F.collect_list(F.struct("b", "cap")).alias("caps"))
@@ -197,15 +210,17 @@ def links(sets: DataFrame, leaf: int = LEAF, pivots: int = PIVOTS) -> DataFrame:
         x, y = (ends.select("region", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("cap").alias(f"p{k}"), F.col("cls").alias(f"c{k}")) for k in "ab")
         pairs = x.join(y, "region").where("a < b AND ca <> cb AND nb <= pa AND na <= pb").select("a", "b")
         chosen = cut(_pivots(big, pivots, 32**depth), f"join-pivots-{depth}")
-        at = big.join(chosen, "region").where("node <> p")
-        # distances to the Voronoi pivots place a node; another pivot is tested where it can be a partner
-        near = at.where("voronoi OR cls <> pc AND pn <= cap AND n <= pp")
+        # distances to the Voronoi pivots place a node; another pivot meets the nodes of sizes that it can link with
+        at = big.join(chosen.where("voronoi"), "region").where("node <> p")
+        sized = chosen.where("NOT voronoi").withColumn("size", F.explode(F.array(*[_size(F.col("pn")) + i for i in (-1, 0, 1)])))
+        also = big.withColumn("size", _size(F.col("n"))).join(sized, ["region", "size"]).where("node <> p AND cls <> pc AND pn <= cap AND n <= pp")
+        near = at.select("node", "p").unionByName(also.select("node", "p"))
         d = _distances(pairs.unionByName(near.select(F.col("node").alias("a"), F.col("p").alias("b"))), sets, f"join-tested-{depth}")
         new = d.where("linked").select("a", "b")
         # what is known is a star around each root, which the next round need not find again
         found = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(found, f"join-roots-{depth}")
-        far = at.where("voronoi").select("region", "m", "node", "n", "cap", "w", "p").join(d.select(F.col("a").alias("node"), F.col("b").alias("p"), "d"), ["node", "p"])
+        far = at.select("region", "m", "node", "n", "cap", "w", "p").join(d.select(F.col("a").alias("node"), F.col("b").alias("p"), "d"), ["node", "p"])
         state = _split(far, chosen).join(roots, "node", "left").select("region", "node", "n", "cap", "w", F.coalesce("root", "node").alias("cls"))
         depth += 1
     return roots if roots is not None else sets.select("node", F.col("node").alias("root")).limit(0)
