@@ -40,12 +40,10 @@ def chi_square_quantile(p: float, m: int) -> float:
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the rows that take part: a vector of the commonest length, not zero, all components finite."""
+    """(id, v) of the rows that take part: a vector that isn't empty or zero, all components finite."""
     v = F.col(vector_col).cast("array<double>")
     good = F.coalesce(F.size(v) > 0, F.lit(False)) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = rows.where(F.col(id_col).isNotNull() & good).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.where(F.size("v") == (common["d"] if common else 0))
+    return rows.where(F.col(id_col).isNotNull() & good).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
 def _projection(d: int, m: int) -> np.ndarray:
@@ -134,19 +132,24 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     """(query_id, rank, vec_id, score): for each query the k rows with the largest inner product that the search finds.
 
     A row is never its own neighbour (rows with the query's id are left out). Null, zero or non-finite
-    vectors, null ids and vectors of another than the commonest length take no part. Ties go to the
+    vectors and null ids take no part; a vector is compared with those of its own length. Ties go to the
     smaller vec_id; with fewer than k candidates all come. Repeated rows are candidates each; a repeated
     query is asked once. Scores are
     inner products of the original vectors in double precision.
     """
-    base = usable(rows, id_col, vector_col)
-    n, top, d = base.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))), F.max(F.size("v"))).first()
-    spark = rows.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not n:
-        return empty
+    base, asked = usable(rows, id_col, vector_col), usable(queries, id_col, vector_col)
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    longest = F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
+    for d, n, top in base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), longest.alias("top")).orderBy("d").collect():
+        of = lambda x: x.where(F.size("v") == d)  # noqa: B023, E731
+        out = out.unionByName(_nearest(of(base), of(asked), n, top, k, confidence, tree_rows))
+    return out
+
+
+def _nearest(base: DataFrame, queries: DataFrame, n: int, top: float, k: int, confidence: float, tree_rows: int) -> DataFrame:
+    """nearest over n vectors of one length, the longest of norm top."""
     # a query that occurs twice would find each candidate twice
-    asked = usable(queries, id_col, vector_col).where(F.size("v") == d).dropDuplicates(["id", "v"])
+    asked = queries.dropDuplicates(["id", "v"])
     trees, blocks = -(-n // tree_rows), max(1, -(-asked.count() // BLOCK_ROWS))
     m, stop_at = PROJECTED, chi_square_quantile(confidence, PROJECTED)
     shape = "d int, sizes binary, ids binary, v binary, low binary, high binary"

@@ -16,13 +16,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.llm.wordbpe import Cache
 
-#: Bounds of the model: documents a language learns from, and words and n-grams of one order it keeps.
-TRAIN_DOCS, MODEL_WORDS, MODEL_GRAMS = 4000, 30_000, 20_000
+#: Documents that a language learns from: the bound of the model, which keeps all their words and n-grams.
+TRAIN_DOCS = 1000
 ORDERS = (5, 4, 3, 2, 1)
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,8 +54,8 @@ def _logs(counts: dict[str, dict[int, float]], n_langs: int) -> dict[str, bytes]
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from at most about train_docs documents of each language, drawn by a hash of the id.
 
-    Rows with a null text or language take no part. Word counts are summed in the cluster; at most
-    MODEL_WORDS words a language come to the driver, where their n-grams are counted.
+    Rows with a null text or language take no part. Word counts are summed in the cluster; the drawn
+    documents' distinct words come to the driver, where their n-grams are counted.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     per = {r["lang"]: r["n"] for r in docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
@@ -67,20 +66,18 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", t
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, train_docs / per[k])))])
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
     words = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
-    top = words.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("r") <= MODEL_WORDS)
     at = {x: i for i, x in enumerate(langs)}
     counts: dict[str, dict[int, float]] = defaultdict(dict)
     grams: dict[int, dict[str, dict[int, float]]] = {n: defaultdict(lambda: defaultdict(float)) for n in ORDERS}
-    for r in top.select("lang", "w", "n").toLocalIterator():
+    for r in words.toLocalIterator():
         k, weight = at[r["lang"]], 1 + math.log(r["n"])
         counts[r["w"]][k] = r["n"]
         for n in ORDERS:
             for g in _grams(r["w"], n):
                 grams[n][g][k] += weight
-    kept = {n: dict(sorted(c.items(), key=lambda x: (-max(x[1].values()), x[0]))[: MODEL_GRAMS * len(langs)]) for n, c in grams.items()}
     # a word seen once in one language says less than its letters
     known = {w: c for w, c in counts.items() if sum(c.values()) > 1}
-    return Model(langs, _logs(known, len(langs)), {n: _logs(c, len(langs)) for n, c in kept.items()}, prior)
+    return Model(langs, _logs(known, len(langs)), {n: _logs(c, len(langs)) for n, c in grams.items()}, prior)
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -122,7 +119,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(id, lang_pred, score) for each row: the most likely learned language and its posterior.
 
     A null text, or one without a letter, is 'und' with score 0; so is any text if nothing was
-    learned. Repeated rows each give a row; null ids are kept; no other column is read.
+    learned. Of equally likely languages the first in alphabetical order is given. Repeated rows each
+    give a row; null ids are kept; no other column is read; a very long text is read whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -141,7 +139,12 @@ def fold(id_col: str, folds: int):
 
 
 def language_query(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score), learned from the rows that are not held out."""
+    """(doc_id, held_out, lang_pred, score), learned from the rows that are not held out.
+
+    Null texts and those without a letter are und; a null id counts as the empty text in the draw of folds; repeated
+    rows each give a row, and count each in training; an empty table gives an empty result. A very long text is
+    read whole. Of equally likely languages the first in alphabetical order is given.
+    """
     model = fit(docs.where(fold("doc_id", 4) != 2))
     out = identify(docs, model)
     return out.withColumn("held_out", fold("doc_id", 4) == 2).select("doc_id", "held_out", "lang_pred", "score")

@@ -21,7 +21,7 @@ from textloom.llm.bpe_codec import codec
 from textloom.llm.common import cut, tidy
 
 #: A bin with this share of its capacity is emitted; rows of one merge group; most merge rounds.
-NEARLY_FULL, GROUP_ROWS, MAX_ROUNDS = 0.99, 400_000, 12
+NEARLY_FULL, GROUP_ROWS = 0.99, 400_000
 
 
 def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -106,12 +106,10 @@ def pack(items: DataFrame, capacity: int = 4096) -> DataFrame:
     """items with sequence_id and offset added; items has a column length from 1 to capacity.
 
     Rows are neither dropped nor repeated; equal rows are packed one by one; nulls in other columns
-    are carried along. A length that is null, under 1 or over capacity raises an error. sequence_id
+    are carried along; columns that are named like a new one are replaced. A length that is null, under 1 or over capacity raises an error. sequence_id
     numbers have gaps; offsets in a sequence have none. An empty table gives an empty result.
     """
-    for taken in ("_bin", "_offset", "_done", "sequence_id", "offset"):
-        if taken in (c.lower() for c in items.columns):
-            raise ValueError(f"items already has a column {taken}")
+    items = items.drop(*(c for c in items.columns if c.lower() in ("_bin", "_offset", "_done", "_group", "sequence_id", "offset")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", _bin long, _offset long, _done boolean"
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,13 +128,13 @@ def pack(items: DataFrame, capacity: int = 4096) -> DataFrame:
     state = cut(items.mapInPandas(tidy(local), schema), "pack-0")
     done = [state.where("_done")]
     left = state.where("NOT _done")
-    before = None
-    for r in range(1, MAX_ROUNDS + 1):
+    before, r = None, 0
+    while True:
         rows, bins = left.agg(F.count("*"), F.count_distinct("_bin")).first()
         groups = -(-rows // GROUP_ROWS)
-        if not rows or before is not None and bins > 0.99 * before:
+        if not rows or before is not None and before - bins < groups:
             break
-        last = groups == 1
+        last, r = groups == 1, r + 1
 
         # whole bins go to a group together, as all rows of a bin have its number
         state = cut(left.withColumn("_group", F.pmod(F.xxhash64("_bin"), F.lit(groups))).groupBy("_group").applyInPandas(_merge(capacity, r, last), schema), f"pack-{r}")

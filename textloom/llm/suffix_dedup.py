@@ -257,7 +257,12 @@ def dedup_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, **limits) -> DataFrame:
-    """docs, all rows and columns, with repeats cut out of the text; a character of which a part is cut goes."""
+    """docs, all rows and columns, with repeats cut out of the text; a character of which a part is cut goes.
+
+    A null text stays null and an empty one empty. Repeated rows are repeats of each other, so texts of length
+    bytes or more that occur twice are cut out whole, in every copy. Texts are taken whole, however long; other
+    columns are carried along, whatever their names; an empty table stays empty.
+    """
 
     @F.pandas_udf("string")
     @tidy

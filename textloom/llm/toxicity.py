@@ -24,8 +24,8 @@ from textloom.llm.common import cut, tidy
 from textloom.llm.langid import fold
 from textloom.llm.wordbpe import Cache
 
-#: Bounds: labelled documents learned from, lexicon terms, context words.
-TRAIN_DOCS, MAX_TERMS, MAX_CONTEXT = 8000, 2000, 2000
+#: Labelled documents learned from: the bound of the model, which keeps all terms and context words that the thresholds let pass.
+TRAIN_DOCS = 8000
 #: A term is so many times as often in toxic documents as in others, with this log-likelihood ratio (chi-square, 1 degree).
 MIN_RATIO, MIN_G2 = 6.0, 20.0
 #: Lengths of word beginnings that can be terms; they are written with a star at the end and match exactly.
@@ -150,8 +150,8 @@ def _weight(toxic: float, other: float, n_toxic: int, n_other: int) -> float:
 def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Learn from at most about train_docs rows (id, text, toxic 0 or 1), drawn by a hash of the id.
 
-    Document frequencies are summed in the cluster. At most MAX_TERMS terms, MAX_CONTEXT context
-    words and two numbers for each drawn document come to the driver. Without a toxic or without
+    Document frequencies are summed in the cluster. The terms and context words that pass their thresholds
+    and two numbers for each drawn document come to the driver. Without a toxic or without
     another row nothing is learned and every score is near 0.
     """
     labelled = labelled.where("text IS NOT NULL AND toxic IN (0, 1)")
@@ -176,7 +176,7 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     part = lambda x, share: F.when(x > 0, x * F.log(x / ((t + o) * share))).otherwise(0.0)
     ratio, g2 = ((t + 0.5) / (n1 + 1)) / ((o + 0.5) / (n0 + 1)), 2 * (part(t, n1 / n) + part(o, n0 / n))
     known = table.where("docs >= 4").join(behind.where("behind >= 4"), "w").select("w", F.least("docs", "behind").alias("t"), "o")
-    chosen = known.where((ratio >= MIN_RATIO) & (g2 >= MIN_G2)).orderBy(F.desc(g2), "w").limit(MAX_TERMS).collect()
+    chosen = known.where((ratio >= MIN_RATIO) & (g2 >= MIN_G2)).collect()
     model = Model(_terms([(r["w"], r["t"], r["o"]) for r in chosen], n1, n0))
     _fit_context(model, drawn, (n1, n0))
     rows = _strengths(model, drawn)
@@ -222,7 +222,7 @@ def _fit_context(model: Model, drawn: DataFrame, docs: tuple[int, int]) -> None:
             yield pd.DataFrame(sorted(found), columns=["n", "toxic", "w"])[["toxic", "w"]].astype({"toxic": int, "w": object})
 
     seen = drawn.select("toxic", "text").mapInPandas(tidy(around), "toxic int, w string").groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
-    top = seen.where("o > 0 AND t + o >= 10 OR w LIKE ' %'").orderBy(F.desc(F.col("t") + F.col("o")), "w").limit(MAX_CONTEXT).collect()
+    top = seen.where("o > 0 AND t + o >= 10 OR w LIKE ' %'").orderBy("w").collect()
     n = {r["w"]: (r["t"], r["o"]) for r in top}
     q, p = n.pop(" quoted", (0, 0)), n.pop(" plain", (0, 0))
     n1, n0 = q[0] + p[0], q[1] + p[1]

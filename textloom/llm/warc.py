@@ -50,7 +50,8 @@ def with_record_types(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataF
     Rows that share the largest page_id are all responses; one without an id refers to the response.
 
     Only digests seen more than once come back from the count, a row each; a join against them
-    splits a hot payload by AQE's skew join or is broadcast by its measured size.
+    splits a hot payload by AQE's skew join or is broadcast by its measured size. A null html is an empty
+    payload; other columns are not read; an empty table gives an empty result.
     """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     seen = p.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
