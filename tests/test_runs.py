@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import statistics as ST
 from textloom.operators import chunk_report as CR
 from textloom.operators import chunking as C
 from textloom.operators import comparisons as R
@@ -52,13 +53,13 @@ def test_intervals_against_a_plain_bootstrap(scores, cluster):
         d = np.array([y[2] - x[2] for x, y in zip([x for x in rows if x[0] == a], [x for x in rows if x[0] == b], strict=True)])
         assert r["mean_diff"] == pytest.approx(d.mean()) and r["mde"] == pytest.approx(1.959963984540054 * d.std(ddof=1) / math.sqrt(120))
         assert (r["wins"], r["losses"], r["ties"], r["n"], r["units"]) == ((d > 0).sum(), (d < 0).sum(), (d == 0).sum(), 120, 9 if cluster else 120)
-        assert r["reading"] == R.reading(r["low"], r["high"], 0.05)
+        assert r["reading"] == ST.interpret(r["low"], r["high"], 0.05)
     assert (got["a", "b"]["reading"], got["b", "a"]["reading"]) == ("b_better", "a_better")
     assert got["a", "b"]["low"] == pytest.approx(-got["b", "a"]["high"])
 
 
 def test_readings_sizes_and_unequal_runs(spark, scores):
-    assert [R.reading(*x) for x in ((-0.5, 0.4, 0.1), (-0.05, 0.05, 0.1), (0.1, 0.2, 1), (-0.2, -0.1, 1))] == ["inconclusive", "tie", "b_better", "a_better"]
+    assert [ST.interpret(*x) for x in ((-0.5, 0.4, 0.1), (-0.05, 0.05, 0.1), (0.1, 0.2, 1), (-0.2, -0.1, 1))] == ["inconclusive", "tie", "b_better", "a_better"]
     df, rows = scores
     means = {r: np.mean([x[2] for x in rows if x[0] == r]) for r in "abcd"}
     got = {r["size"]: r for r in R.size_rule(df, {64: "c", 128: "a", 256: "d"}, 0.01, draws=200).collect()}

@@ -65,17 +65,26 @@ def received(weights: DataFrame, head: str, causal: bool = True) -> DataFrame:
     return rows.select(head, "k", (F.col("s") / (F.col("n") - F.col("k") if causal else F.col("n"))).alias("received"))
 
 
-def rollout(layers: DataFrame, n_layers: int, add_identity: bool = True) -> DataFrame:
-    """(q, k, w) from (layer, head, q, k, w): heads averaged, half the identity added, rows normalised, layers multiplied."""
-    a = layers.groupBy("layer", "q", "k").agg(F.avg("w").alias("w"))
+def uniform_received(n: int) -> list[float]:
+    """What received gives for each of n keys if every query spreads its weight evenly over the keys that it can see."""
+    tail, out = 0.0, []
+    for q in range(n - 1, -1, -1):
+        tail += 1 / (q + 1)
+        out.append(tail / (n - q))
+    return out[::-1]
+
+
+def rollout(layers: DataFrame, n_layers: int, add_identity: bool = True, by: str = "stack") -> DataFrame:
+    """(by, q, k, w) from (by, layer, head, q, k, w): heads averaged, half the identity added, rows normalised, layers of a stack multiplied."""
+    a = layers.groupBy(by, "layer", "q", "k").agg(F.avg("w").alias("w"))
     if add_identity:
-        same = a.select("layer", "q").distinct().select("layer", "q", F.col("q").alias("k"), F.lit(0.5).alias("w"))
-        a = a.withColumn("w", F.col("w") / 2).unionByName(same).groupBy("layer", "q", "k").agg(F.sum("w").alias("w"))
-    a = a.withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy("layer", "q")))
-    out = a.where("layer = 0").select("q", "k", "w")
+        same = a.select(by, "layer", "q").distinct().select(by, "layer", "q", F.col("q").alias("k"), F.lit(0.5).alias("w"))
+        a = a.withColumn("w", F.col("w") / 2).unionByName(same).groupBy(by, "layer", "q", "k").agg(F.sum("w").alias("w"))
+    a = a.withColumn("w", F.col("w") / F.sum("w").over(W.partitionBy(by, "layer", "q")))
+    out = a.where("layer = 0").select(by, "q", "k", "w")
     for n in range(1, n_layers):
-        step = a.where(F.col("layer") == n).select("q", F.col("k").alias("via"), F.col("w").alias("x"))
-        out = step.join(out.select(F.col("q").alias("via"), "k", "w"), "via").groupBy("q", "k").agg(F.sum(F.col("x") * F.col("w")).alias("w"))
+        step = a.where(F.col("layer") == n).select(by, "q", F.col("k").alias("via"), F.col("w").alias("x"))
+        out = step.join(out.select(by, F.col("q").alias("via"), "k", "w"), [by, "via"]).groupBy(by, "q", "k").agg(F.sum(F.col("x") * F.col("w")).alias("w"))
     return out
 
 

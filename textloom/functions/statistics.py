@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.sampling import hash_uniform
-
 
 def sign_test(b: int, c: int) -> float:
     """Exact two-sided p of b against c discordant pairs; 1 without any."""
@@ -70,24 +72,43 @@ def min_detectable_effect(d: Column, level: float = 0.95) -> Column:
     return F.lit(NormalDist().inv_cdf(1 - (1 - level) / 2)) * F.stddev_samp(d) / F.sqrt(F.count(d))
 
 
-def cluster_bootstrap(rows: DataFrame, value: str, cluster: str, draws: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """As bootstrap, but whole clusters are drawn: the sum of their sums over the sum of their counts."""
-    each = rows.groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("x"), F.count(value).alias("n"))
-    drawn = each.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson(hash_uniform(seed, cluster, "draw")))
-    means = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("x")) / F.sum(F.col("w") * F.col("n"))).alias("m"))
+def weights(units: list[str], draws: int, seed: int = 0, per: int = 1) -> np.ndarray:
+    """Poisson(1) weights, a row a unit: draw i takes four bytes of the digest of unit, i div per and seed; per is from 1 to 4."""
+    need = -(-draws // per)
+    raw = b"".join(hashlib.md5(f"{u}|{j}|{seed}".encode()).digest()[: 4 * per] for u in units for j in range(need))
+    u = np.frombuffer(raw, ">u4").reshape(len(units), per * need)[:, :draws] / 4294967296.0
+    ends = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    return np.searchsorted(ends, u, side="right").astype(float)
+
+
+def resampled(units: DataFrame, names: list[str], draws: int, seed: int = 0, per: int = 1) -> DataFrame:
+    """(draw, names): sums of the named columns of units (unit string, ..) under each draw's weights.
+
+    A task weighs its units by a matrix product and sends one row a draw.
+    """
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((draws, len(names)))
+        for b in batches:
+            for a in range(0, b.num_rows, 1000):
+                part = b.slice(a, 1000)
+                total += weights(part.column("unit").to_pylist(), draws, seed, per).T @ np.column_stack([np.asarray(part.column(c)) for c in names])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), *(pa.array(total[:, i]) for i in range(len(names)))], names=["draw", *names])
+
+    return units.select("unit", *names).mapInArrow(run, "draw long, " + ", ".join(f"{c} double" for c in names)).groupBy("draw").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _interval(units: DataFrame, draws: int, seed: int, level: float) -> DataFrame:
+    """(low, high) of the draws' means of units (unit, x, n)."""
     tail = (1 - level) / 2
-    ends = means.agg(F.round(F.percentile("m", F.lit(tail)), 6).alias("low"), F.round(F.percentile("m", F.lit(1 - tail)), 6).alias("high"))
-    return ends.crossJoin(each.agg(F.round(F.sum("x") / F.sum("n"), 6).alias("mean"), F.count("*").alias("clusters")))
+    means = resampled(units, ["x", "n"], draws, seed).where("n > 0").select((F.col("x") / F.col("n")).alias("m"))
+    return means.agg(F.round(F.percentile("m", F.lit(tail)), 6).alias("low"), F.round(F.percentile("m", F.lit(1 - tail)), 6).alias("high"))
 
 
-def poisson(u: Column) -> Column:
-    """The inverse distribution function of Poisson(1), up to 8."""
-    cdf, p, steps = 0.0, math.exp(-1), []
-    for k in range(8):
-        cdf += p
-        steps.append(cdf)
-        p /= k + 1
-    return sum((u >= F.lit(s)).cast("int") for s in steps)
+def cluster_bootstrap(rows: DataFrame, value: str, cluster: str, draws: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """As bootstrap, but whole clusters are drawn: the sum of their sums over the sum of their counts."""
+    each = rows.groupBy(F.col(cluster).cast("string").alias("unit")).agg(F.sum(F.col(value).cast("double")).alias("x"), F.count(value).cast("double").alias("n"))
+    return _interval(each, draws, seed, level).crossJoin(each.agg(F.round(F.sum("x") / F.sum("n"), 6).alias("mean"), F.count("*").alias("clusters")))
 
 
 def entropy(p: Column) -> Column:
@@ -97,13 +118,10 @@ def entropy(p: Column) -> Column:
 def bootstrap(rows: DataFrame, value: str, id_col: str, draws: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
     """(mean, low, high): percentile interval of the mean of value under resampling with Poisson(1) weights by hash.
 
-    Every row weighs itself in each draw, so no row number and no shuffle of the rows is needed; draws
-    are pre-aggregated to one sum and weight per task.
+    Every row weighs itself in each draw, so no row number and no shuffle of the rows is needed.
     """
-    each = rows.select(F.col(id_col), F.col(value).cast("double").alias("x")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson(hash_uniform(seed, id_col, "draw")))
-    means = each.groupBy("draw").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
-    tail = (1 - level) / 2
-    return means.agg(F.round(F.percentile("m", F.lit(tail)), 6).alias("low"), F.round(F.percentile("m", F.lit(1 - tail)), 6).alias("high")).crossJoin(rows.agg(F.round(F.avg(value), 6).alias("mean")))
+    each = rows.select(F.col(id_col).cast("string").alias("unit"), F.col(value).cast("double").alias("x"), F.lit(1.0).alias("n"))
+    return _interval(each, draws, seed, level).crossJoin(rows.agg(F.round(F.avg(value), 6).alias("mean")))
 
 
 def interpret(low: float, high: float, margin: float) -> str:

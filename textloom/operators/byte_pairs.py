@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from textloom.operators.vocabulary import SPLIT
 
+#: Short pre-tokens whose ids are remembered.
+KNOWN = 50_000
+
 
 class BytePairs:
     """Merges are (rank, left, right, id) in order of rank; ids 0 to 255 are bytes."""
@@ -23,6 +26,7 @@ class BytePairs:
             self.bytes[new] = self.bytes[left] + self.bytes[right]
         self.size = len(self.bytes)
         self.specials: dict[str, int] = {}
+        self._known: dict[str, tuple[int, ...]] = {}
 
     def add_specials(self, tokens: Iterable[str]) -> None:
         """Ids go on from the size, leaving one out: the first special string has size + 1."""
@@ -33,22 +37,37 @@ class BytePairs:
             self.bytes[at] = t.encode()
             self.size += 1
 
-    def _part(self, word: str) -> list[int]:
+    def _part(self, word: str) -> tuple[int, ...]:
+        """The ids of one pre-token: the pair of lowest rank first, the leftmost of equal ones, by a heap over linked places."""
+        if (known := self._known.get(word)) is not None:
+            return known
         ids = list(word.encode())
-        while len(ids) > 1:
-            best = min((self.merges[p] for p in zip(ids, ids[1:], strict=False) if p in self.merges), default=None)
-            if best is None:
-                break
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and self.merges.get((ids[i], ids[i + 1])) == best:
-                    out.append(best)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+        n, merges = len(ids), self.merges
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(new, i) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if (new := merges.get(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            new, i = heapq.heappop(heap)
+            j = after[i]
+            # a place that was merged away holds -1, one that has changed makes another pair
+            if j >= n or ids[i] < 0 or merges.get((ids[i], ids[j])) != new:
+                continue
+            ids[i], ids[j], after[i] = new, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (right := merges.get((new, ids[after[i]]))) is not None:
+                    heapq.heappush(heap, (right, i))
+            if before[i] >= 0 and (left := merges.get((ids[before[i]], new))) is not None:
+                heapq.heappush(heap, (left, before[i]))
+        out = tuple(x for x in ids if x >= 0)
+        if len(self._known) >= KNOWN:
+            self._known.clear()
+        if len(word) <= 100:
+            self._known[word] = out
+        return out
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": {}}
 
     def encode(self, text: str, allowed: str = "none_raise") -> list[int]:
         """allowed: all special strings get their ids, none are plain text, none_raise refuses a text that holds one."""
@@ -58,8 +77,7 @@ class BytePairs:
             raise ValueError(f"unknown policy {allowed}")
         if allowed == "none_raise" and (found := [s for s in self.specials if s in text]):
             raise ValueError(f"the text holds {found[0]}")
-        part = lru_cache(maxsize=10_000)(lambda w: tuple(self._part(w)))
-        plain = lambda s: [i for w in regex.findall(self.pattern, s) for i in part(w)]
+        plain = lambda s: [i for w in regex.findall(self.pattern, s) for i in self._part(w)]
         if allowed != "all" or not self.specials:
             return plain(text)
         cut = regex.split("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")", text)

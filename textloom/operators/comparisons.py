@@ -6,24 +6,12 @@ one matrix product and sends one sum a draw and pair. Percentiles of the draws'
 
 from __future__ import annotations
 
-import hashlib
-import math
-from collections.abc import Iterator
 from statistics import NormalDist
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _weights(units: list, draws: int, seed: int) -> np.ndarray:
-    """Poisson(1) weights, a row a unit: four draws from each digest of unit, number and seed."""
-    need = -(-draws // 4)
-    raw = b"".join(hashlib.md5(f"{u}|{j}|{seed}".encode()).digest() for u in units for j in range(need))
-    u = np.frombuffer(raw, ">u4").reshape(len(units), 4 * need)[:, :draws] / 4294967296.0
-    ends = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
-    return np.searchsorted(ends, u, side="right").astype(float)
+from textloom.functions import statistics as S
 
 
 def wide(scores: DataFrame, runs: list[str], cluster: str | None = None) -> DataFrame:
@@ -55,14 +43,7 @@ def compare(scores: DataFrame, pairs: list[tuple[str, str]], margin: float, leve
     units = rows.groupBy("unit").agg(F.count("*").cast("double").alias("n"), *[F.sum(d(i)).alias(f"x{i}") for i in range(len(pairs))])
     names = ["n", *(f"x{i}" for i in range(len(pairs)))]
 
-    def resample(batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((draws, len(names)))
-        for b in batches:
-            if b.num_rows:
-                total += _weights(b.column("unit").to_pylist(), draws, seed).T @ np.column_stack([np.asarray(b.column(c)) for c in names])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), *(pa.array(total[:, i]) for i in range(len(names)))], names=["draw", *names])
-
-    sums = units.mapInArrow(resample, "draw long, " + ", ".join(f"{c} double" for c in names)).groupBy("draw").agg(*[F.sum(c).alias(c) for c in names])
+    sums = S.resampled(units, names, draws, seed, per=4)
     means = sums.where("n > 0").select(*[(F.col(f"x{i}") / F.col("n")).alias(f"m{i}") for i in range(len(pairs))])
     tail = (1 - level) / 2
     ends = means.agg(*[F.percentile(f"m{i}", F.lit(q)).alias(f"{name}{i}") for i in range(len(pairs)) for name, q in (("low", tail), ("high", 1 - tail))])
@@ -75,16 +56,10 @@ def compare(scores: DataFrame, pairs: list[tuple[str, str]], margin: float, leve
     out = []
     for i, (a, b) in enumerate(pairs):
         low, high = two[f"low{i}"], two[f"high{i}"]
-        out.append((a, b, one["n"], one["units"], one[f"mean{at[i][0]}"], one[f"mean{at[i][1]}"], one[f"diff{i}"], low, high, one[f"wins{i}"], one[f"losses{i}"], one[f"ties{i}"], one[f"mde{i}"], None if low is None else reading(low, high, margin)))
+        out.append((a, b, one["n"], one["units"], one[f"mean{at[i][0]}"], one[f"mean{at[i][1]}"], one[f"diff{i}"], low, high, one[f"wins{i}"], one[f"losses{i}"], one[f"ties{i}"], one[f"mde{i}"], None if low is None else S.interpret(low, high, margin)))
     return spark.createDataFrame(out, "a string, b string, n long, units long, mean_a double, mean_b double, mean_diff double, low double, high double, wins long, losses long, ties long, mde double, reading string")
 
 
-def reading(low: float, high: float, margin: float) -> str:
-    if low <= 0 <= high:
-        return "tie" if max(abs(low), abs(high)) <= margin else "inconclusive"
-    return "b_better" if low > 0 else "a_better"
-
-
 def size_rule(scores: DataFrame, sizes: dict[int, str], margin: float, cluster: str | None = None, draws: int = 1000, seed: int = 0) -> DataFrame:
     """(size, mean, low, high, best, tied, chosen): the size with the best mean, those whose interval against it holds 0, and the least of these.
 

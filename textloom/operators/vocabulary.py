@@ -11,8 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.sampling import hash_uniform
-from textloom.functions.text import bound, words
+from textloom.functions.text import bound, ngrams, normalize_answer, words
 
+#: A table of at most this many rows is broadcast.
+SMALL_ROWS = 200_000
 
 # Fixed value: the split pattern of byte-level tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -126,6 +128,25 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def shared_grams(texts: DataFrame, key: str, items: DataFrame, item_key: str, n: int) -> DataFrame:
+    """(key, item_key, grams): how many distinct n-grams of normalised words a text has in common with an item.
+
+    A text's grams are hashes until one of them is an item's; only these become strings and are compared.
+    Items' hashes are broadcast if a count shows that they are few.
+    """
+    of = lambda rows: F.filter(F.split(normalize_answer(F.col("text")), " "), lambda w: w != "")
+    places = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+    gram = lambda w, i: F.array_join(F.slice(w, i, F.lit(n)), " ")
+    known = items.select(item_key, of(items).alias("w")).select(item_key, F.explode(ngrams(F.col("w"), n)).alias("gram"))
+    hashes = known.select(F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
+    few = hashes.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    # one row a place, without its words; a text that has hits is read again
+    at = texts.select(key, of(texts).alias("w")).select(key, F.posexplode(bound(F.col("w"), lambda w: F.transform(places(w), lambda i: F.xxhash64(F.slice(w, i, F.lit(n)))))).alias("i", "h"))
+    at = at.join(F.broadcast(hashes) if few else hashes, "h").groupBy(key).agg(F.collect_list("i").alias("at"))
+    hits = texts.select(key, of(texts).alias("w")).join(at, key).select(key, F.explode(F.array_distinct(F.transform("at", lambda i: gram(F.col("w"), i + 1)))).alias("gram"))
+    return hits.join(F.broadcast(known) if few else known, "gram").groupBy(key, item_key).agg(F.count("*").alias("grams"))
+
+
 def ngram_floor(docs: DataFrame, n: int, share: float = 0.9) -> DataFrame:
     """(nats, n): add-one cross-entropy of held-out n-grams of characters, n from 1 to 3.
 

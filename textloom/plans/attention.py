@@ -20,11 +20,11 @@ def _weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attention_output(spark: SparkSession, d: str) -> DataFrame:
-    """The first four components of the causal attention of each sequence to itself, without keys 3, which are padding."""
+    """The causal attention of each sequence to itself, without keys 3, which are padding."""
     e = _vectors(spark, d).withColumnRenamed("seq", "head")
     padding = e.where("t = 3").select("head", F.col("t").alias("k"))
     w = A.softmax(A.causal_scores(e, e, "head", 8.0, padding=padding), "head")
-    out = A.attend(w, e, "head").where("pos < 4")
+    out = A.attend(w, e, "head")
     return out.select("head", "q", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
@@ -49,9 +49,9 @@ def attention_received(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attention_rollout(spark: SparkSession, d: str) -> DataFrame:
-    """Three sequences of 16 as layers of one head, rolled out."""
-    layers = _weights(spark, d).where("head < 3").select(F.col("head").alias("layer"), F.lit(0).alias("head"), "q", "k", "w")
-    return A.rollout(layers, 3).select("q", "k", F.round("w", 6).alias("w"))
+    """Three sequences of 16 after another as the layers of one stack, all stacks rolled out; the last may have fewer and gives nothing."""
+    layers = _weights(spark, d).select(F.expr("head DIV 3").alias("stack"), (F.col("head") % 3).alias("layer"), F.lit(0).alias("head"), "q", "k", "w")
+    return A.rollout(layers, 3).select("stack", "q", "k", F.round("w", 6).alias("w"))
 
 
 def activations(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ QUERIES = {
     "attention_output": (
         attention_output,
         """WITH e AS (SELECT vec_id // 16 AS head, vec_id % 16 AS t, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.head, a.t AS q, b.v, exp(list_inner_product(a.v, b.v) / 8) AS x FROM e a JOIN e b ON a.head = b.head AND b.t <= a.t AND b.t <> 3),
-        w AS (SELECT *, x / sum(x) OVER (PARTITION BY head, q) AS w FROM s) SELECT head, q, pos, round(sum(w * v[pos + 1]), 6) AS x FROM w, unnest(range(4)) AS u(pos) GROUP BY head, q, pos""",
+        w AS (SELECT *, x / sum(x) OVER (PARTITION BY head, q) AS w FROM s) SELECT head, q, pos, round(sum(w * v[pos + 1]), 6) AS x FROM w, unnest(range(64)) AS u(pos) GROUP BY head, q, pos""",
     ),
     "attention_heads": (
         attention_heads,
@@ -84,9 +84,9 @@ QUERIES = {
     "attention_received": (attention_received, f"WITH {W}, n AS (SELECT head, max(q) + 1 AS n FROM w GROUP BY head) SELECT head, k, round(sum(w) / (any_value(n) - k), 6) AS received FROM w JOIN n USING (head) GROUP BY head, k"),
     "attention_rollout": (
         attention_rollout,
-        f"""WITH {W}, a AS (SELECT head, q, k, (w / 2 + CASE WHEN q = k THEN 0.5 ELSE 0 END) AS w FROM w WHERE head < 3), n AS (SELECT head, q, k, w / sum(w) OVER (PARTITION BY head, q) AS w FROM a),
-        r AS (SELECT y.q, x.k, sum(x.w * y.w) AS w FROM n y JOIN n x ON y.head = 1 AND x.head = 0 AND y.k = x.q GROUP BY ALL)
-        SELECT z.q, r.k, round(sum(z.w * r.w), 6) AS w FROM n z JOIN r ON z.head = 2 AND z.k = r.q GROUP BY z.q, r.k""",
+        f"""WITH {W}, a AS (SELECT head, q, k, (w / 2 + CASE WHEN q = k THEN 0.5 ELSE 0 END) AS w FROM w), n AS (SELECT head, q, k, w / sum(w) OVER (PARTITION BY head, q) AS w FROM a),
+        r AS (SELECT y.head // 3 AS stack, y.q, x.k, sum(x.w * y.w) AS w FROM n y JOIN n x ON y.head % 3 = 1 AND x.head = y.head - 1 AND y.k = x.q GROUP BY ALL)
+        SELECT r.stack, z.q, r.k, round(sum(z.w * r.w), 6) AS w FROM n z JOIN r ON z.head = 3 * r.stack + 2 AND z.k = r.q GROUP BY r.stack, z.q, r.k""",
     ),
     "activations": (
         activations,

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import answers, attention, chains, chunks, evaluation, figures, papers, prompts, replay, retrieval, runs, schemas, sequences, streams, structure, texts, vectors
+from textloom.plans import answers, attention, chains, chunks, evaluation, extraction, figures, papers, prompts, replay, retrieval, runs, schemas, sequences, streams, structure, texts, vectors
 
-MODULES = (vectors, retrieval, chunks, texts, evaluation, sequences, answers, replay, structure, schemas, attention, figures, prompts, streams, papers, chains, runs)
+MODULES = (vectors, retrieval, chunks, texts, evaluation, sequences, answers, replay, structure, schemas, attention, figures, prompts, streams, papers, chains, runs, extraction)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -104,16 +104,9 @@ def pretokenize_counts(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), F.lit(0))).cast("long").alias("n"))
 
 
-def _grams(rows: DataFrame, key: str) -> DataFrame:
-    w = F.filter(F.split(T.normalize_answer(F.col("text")), " "), lambda x: x != "")
-    return rows.select(key, T.ngrams(w, 8).alias("g")).select(key, F.explode("g").alias("gram"))
-
-
 def ngram8_leakage(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that share a word 8-gram with a benchmark item, by an equi-join on the gram."""
-    b = _grams(table(spark, d, "benchmark"), "item_id")
-    hits = _grams(_docs(spark, d), "doc_id").join(b, "gram")
-    return hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("grams"))
+    """Documents that share a word 8-gram with a benchmark item: grams meet by hash, those that do word by word."""
+    return V.shared_grams(_docs(spark, d), "doc_id", table(spark, d, "benchmark"), "item_id", 8)
 
 
 def prompt_hash_dedupe(spark: SparkSession, d: str) -> DataFrame:
