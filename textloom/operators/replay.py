@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+COST = "decimal(38,12)"
+
 
 def token_limits(start: int, cap: int) -> list[int]:
     """The limits after 0, 1, 2, ... truncations: half as much again each time, up to cap."""
@@ -33,13 +35,15 @@ def answer_loop(calls: DataFrame, max_retries: int = 4, budget: float | None = N
     calls: (item, call, stop, answer, cost, tokens_in, tokens_out); a null answer didn't parse. Before
     each call the loop ends with budget if the spend has reached it; a refusal ends it; a truncated
     reply raises the limit of tokens. reason is ok, refusal, budget, truncated (the last reply was) or
-    exhausted. Items without rows give none.
+    exhausted. Items without rows give none. Costs are added up as decimals of twelve places, as sums of
+    doubles may stay below a budget that they reach.
     """
+    calls = calls.withColumn("cost", F.col("cost").cast(COST))
     w = W.partitionBy("item").orderBy("call")
     before = w.rowsBetween(W.unboundedPreceding, -1)
     cut_off = (F.col("stop") == "max_tokens").cast("int")
-    rows = calls.where(F.col("call") <= max_retries).withColumns({"_spent": F.coalesce(F.sum("cost").over(before), F.lit(0.0)), "_cut": F.coalesce(F.sum(cut_off).over(before), F.lit(0))})
-    over = F.col("_spent") >= budget if budget is not None else F.lit(False)
+    rows = calls.where(F.col("call") <= max_retries).withColumns({"_spent": F.coalesce(F.sum("cost").over(before), F.lit(0).cast(COST)), "_cut": F.coalesce(F.sum(cut_off).over(before), F.lit(0))})
+    over = F.col("_spent") >= F.lit(str(budget)).cast(COST) if budget is not None else F.lit(False)
     end = F.when(over, "budget").when(F.col("stop") == "refusal", "refusal").when((F.col("stop") != "max_tokens") & F.col("answer").isNotNull(), "ok")
     rows = rows.withColumn("_end", end).withColumn("_over", F.coalesce(F.max(F.when(F.col("_end").isNotNull(), F.lit(1))).over(before), F.lit(0)))
     made = rows.where("_over = 0")
@@ -48,7 +52,7 @@ def answer_loop(calls: DataFrame, max_retries: int = 4, budget: float | None = N
     last_cut = F.max_by("stop", F.when(called, F.col("call"))) == "max_tokens"
     return made.groupBy("item").agg(
         F.coalesce(F.max("_end"), F.when(last_cut, "truncated").otherwise("exhausted")).alias("reason"), F.max(F.when(F.col("_end") == "ok", F.col("answer"))).alias("answer"),
-        F.count_if(called).alias("attempts"), of_called("cost").alias("spent"), of_called("tokens_in").alias("tokens_in"), of_called("tokens_out").alias("tokens_out"),
+        F.count_if(called).alias("attempts"), of_called("cost").cast("double").alias("spent"), of_called("tokens_in").alias("tokens_in"), of_called("tokens_out").alias("tokens_out"),
         _limit_at(F.max("_cut"), token_limits(start, cap)).alias("max_tokens"),
     )
 
