@@ -30,3 +30,8 @@ def spends(spark):
 def test_a_spend_that_equals_the_budget_reaches_it(spark, tmp_path, spends):
     got, want = both(spark, tmp_path, "answer_loop", events=spends)
     assert got == want
+
+
+def test_summary_counts_a_spend_that_equals_the_budget(spark, tmp_path, spends):
+    got, want = both(spark, tmp_path, "answer_summary", events=spends)
+    assert got == want

@@ -33,9 +33,10 @@ def answer_summary(spark: SparkSession, d: str) -> DataFrame:
     valid = F.col("answer").isNotNull()
     rows = R.answer_loop(_replies(spark, d), budget=0.15)
     share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    spent = F.sum(F.col("spent").cast(R.COST)).cast("double")
     return rows.agg(
         F.count("*").alias("n"), share(right).alias("accuracy"), share(valid).alias("valid_rate"), F.round(F.try_divide(F.count_if(right).cast("double"), F.count_if(valid).cast("double")), 6).alias("valid_accuracy"),
-        F.round(F.avg("attempts"), 6).alias("attempts"), F.round(F.sum("spent"), 6).alias("spent"), F.round(F.try_divide(F.sum("spent"), F.count_if(right).cast("double")), 6).alias("cost_per_right"),
+        F.round(F.avg("attempts"), 6).alias("attempts"), F.round(spent, 6).alias("spent"), F.round(F.try_divide(spent, F.count_if(right).cast("double")), 6).alias("cost_per_right"),
         *[F.count_if(F.col("reason") == r).alias(r) for r in ("ok", "refusal", "budget", "truncated", "exhausted")],
     )
 
