@@ -35,3 +35,12 @@ def test_a_spend_that_equals_the_budget_reaches_it(spark, tmp_path, spends):
 def test_summary_counts_a_spend_that_equals_the_budget(spark, tmp_path, spends):
     got, want = both(spark, tmp_path, "answer_summary", events=spends)
     assert got == want
+
+
+def test_evidence_with_other_space_and_letters(spark, tmp_path):
+    """The part of a text from its 20th character on begins or ends with a line or tab, or holds letters whose case changes their number."""
+    parts = ["\n" + "word " * 5 + "tail", "word " * 5 + "tai\n\t", "\t" + "x" * 28 + "\r", "ſtraße İstanbul ΟΔΟΣ ﬁn ıµ ab", " " * 30, "Ͽς ŉ ǅ ΐ" + "a" * 22]
+    rows = [(i, "a" * 19 + (parts[i % len(parts)] + "b" * 30)[:30] + ("e" if i % 4 else " ") * 20) for i in range(1, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, want = both(spark, tmp_path, "evidence_locate", documents=docs)
+    assert got == want

@@ -5,6 +5,8 @@ A parser gives struct(ok, value, error); error is a short code: no_tag, not_a_nu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,10 +183,10 @@ def amount_in_text(t: Column, amount: Column) -> Column:
     return F.when(amount.isNotNull(), F.when(near, "grounded").otherwise("not_in_text")).when(t.rlike(MONEY), "missed").otherwise("none_ok")
 
 
-def quote_grounded(evidence: Column, article: Column) -> Column:
-    """Whether the evidence, without regard to case and outer spaces, is a part of the article; blank or null evidence is not."""
-    quote = strip(F.lower(evidence))
-    return F.coalesce((quote != "") & F.contains(strip(F.lower(article)), quote), F.lit(False))
+def quote_grounded(evidence: Column, article: Column, outer: Callable[[Column], Column] = strip, lower: Callable[[Column], Column] = F.lower) -> Column:
+    """Whether the evidence, without regard to case and outer spaces, is a part of the article; blank or null evidence is not. outer takes outer spaces away."""
+    quote = outer(lower(evidence))
+    return F.coalesce((quote != "") & F.contains(outer(lower(article)), quote), F.lit(False))
 
 
 def squashed_in(quote: Column, context: Column) -> Column:
@@ -213,9 +215,9 @@ def mid_word(t: Column, place: Column) -> Column:
     return (place > 0) & (place < F.length(t)) & around.rlike(r"^[\p{L}\p{N}]{2}$")
 
 
-def evidence_place(t: Column, evidence: Column) -> Column:
-    """struct(start, stop) from 0 of the evidence in the text, as it is, else without outer spaces; null if it isn't there."""
-    e = F.when(F.instr(t, evidence) > 0, evidence).otherwise(strip(evidence))
+def evidence_place(t: Column, evidence: Column, outer: Callable[[Column], Column] = strip) -> Column:
+    """struct(start, stop) from 0 of the evidence in the text, as it is, else without outer spaces, which outer takes away; null if it isn't there."""
+    e = F.when(F.instr(t, evidence) > 0, evidence).otherwise(outer(evidence))
     at = F.instr(t, e)
     return F.when((at > 0) & (F.length(e) > 0), F.struct((at - 1).alias("start"), (at - 1 + F.length(e)).alias("stop")))
 

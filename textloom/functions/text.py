@@ -22,6 +22,16 @@ def collapse(t: Column) -> Column:
     return F.trim(F.regexp_replace(t, f"{SPACE}+", " "))
 
 
+def lower_each(t: Column) -> Column:
+    """Lower case, one character for one: no dotted i of two characters, no sigma of its own at a word's end."""
+    return F.lower(F.translate(t, "İΣ", "iσ"))
+
+
+def upper_each(t: Column) -> Column:
+    """Upper case, one character for one: a character whose upper case is longer stays."""
+    return F.array_join(F.transform(F.split(t, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+
+
 def normalize_newlines(t: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, "^﻿", ""), r"\r\n?", "\n")
 
