@@ -44,3 +44,12 @@ def test_evidence_with_other_space_and_letters(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got, want = both(spark, tmp_path, "evidence_locate", documents=docs)
     assert got == want
+
+
+def test_articles_between_letters_beyond_ascii(spark, tmp_path):
+    """An article that stands between two letters beyond ASCII is one; spaces beyond ASCII and their case are kept."""
+    rows = [(1, "one two three éançré. Four, five six seven eight nine ten"), (2, "x one two three é çré four five six seven eight"), (3, "ΟΔΟΣ İ an b c d e f g h i the_j k l"), (4, "οδοσ i b c d e f g h i thej k l"), (5, None), (6, "a an the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = docs.withColumnRenamed("doc_id", "item_id")
+    got, want = both(spark, tmp_path, "ngram8_leakage", documents=docs, benchmark=items)
+    assert got == want and len(got) > 4

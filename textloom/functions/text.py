@@ -50,6 +50,13 @@ def normalize_answer(t: Column) -> Column:
     return collapse(F.regexp_replace(bare, rf"\b({'|'.join(ARTICLES)})\b", " "))
 
 
+def normalize_ascii(t: Column) -> Column:
+    """normalize_answer by ASCII rules: an article ends where no [0-9A-Za-z_] follows, [ \\t\\n\\x0B\\f\\r] is white space, case changes one character for one."""
+    bare = F.translate(lower_each(t), PUNCTUATION, "")
+    alone = F.regexp_replace(bare, rf"(?<![0-9A-Za-z_])({'|'.join(ARTICLES)})(?![0-9A-Za-z_])", " ")
+    return F.trim(F.regexp_replace(alone, r"[ \t\n\x0B\f\r]+", " "))
+
+
 def extract_tag(t: Column, tag: str) -> Column:
     """Content of the last <tag>...</tag>, any case, across lines; null if there is none."""
     return F.try_element_at(F.regexp_extract_all(t, F.lit(rf"(?is)<{tag}>(.*?)</{tag}>"), F.lit(1)), F.lit(-1))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -128,13 +129,13 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
-def shared_grams(texts: DataFrame, key: str, items: DataFrame, item_key: str, n: int) -> DataFrame:
-    """(key, item_key, grams): how many distinct n-grams of normalised words a text has in common with an item.
+def shared_grams(texts: DataFrame, key: str, items: DataFrame, item_key: str, n: int, normal: Callable[[Column], Column] = normalize_answer) -> DataFrame:
+    """(key, item_key, grams): how many distinct n-grams of words, normalised by normal, a text has in common with an item.
 
     A text's grams are hashes until one of them is an item's; only these become strings and are compared.
     Items' hashes are broadcast if a count shows that they are few.
     """
-    of = lambda rows: F.filter(F.split(normalize_answer(F.col("text")), " "), lambda w: w != "")
+    of = lambda rows: F.filter(F.split(normal(F.col("text")), " "), lambda w: w != "")
     places = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
     gram = lambda w, i: F.array_join(F.slice(w, i, F.lit(n)), " ")
     known = items.select(item_key, of(items).alias("w")).select(item_key, F.explode(ngrams(F.col("w"), n)).alias("gram"))
