@@ -13,12 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.functions.sampling import draw_key
 from textloom.functions.vector import dot, unit
+from textloom.operators.vocabulary import checkpointed
 
 #: Query or centroid tables of at most this many rows are broadcast; a larger set of queries is shuffled.
 BROADCAST_ROWS = 20_000
 #: Rows and queries of a block, and candidates that a task holds before it keeps the best.
 BLOCK_ROWS, QUERY_ROWS, HELD = 2048, 512, 1 << 18
+#: Scores are counted in parts of one in so many; pairs of a pass.
+SCALE, PASS_PAIRS = 1_000_000, 500_000_000
+#: Pairs that a draw ranks of each query for each that it gives.
+DRAWN = 16
 
 
 def small(rows: DataFrame) -> DataFrame:
@@ -117,28 +123,131 @@ def scores(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return products(queries, rows, run, "query_id long, vec_id long, score double" + ", label long" * len(extra), extra=extra)
 
 
+def _labelled_keys(q: dict, r: dict) -> np.ndarray:
+    """2 * (10^6 + score in millionths), and 1 more for a row of the query's label, a line a query; -1 for the query's own row and where there is no number."""
+    s = _scored(q, r)
+    none = (q["ids"][:, None] == r["ids"][None, :]) | ~np.isfinite(s)
+    s[none] = 0
+    keys = (np.rint(s * SCALE) + SCALE).astype(np.int32) * 2 + (q["label"][:, None] == r["label"][None, :])
+    keys[none] = -1
+    return keys
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    return rows.where("u IS NOT NULL AND label IS NOT NULL")
+
+
+def _score_products(queries: DataFrame, rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    return products(_labelled(queries), _labelled(rows), run, schema, extra=("label",), query_extra=("label",))
+
+
 def score_counts(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(query_id, score, r, o): how many other rows of the query's label, and of other labels, have each score, to six digits.
 
     A block's pairs are counted where they are made, so a query has at most as many rows as there are scores.
+    Rows and queries without a vector or label take no part. For few queries; what needs one figure of all queries, or
+    of each, has score_histogram and score_auc.
     """
 
     def run(pairs) -> Iterator[pa.RecordBatch]:
         for q, r in pairs:
-            s = np.rint(_scored(q, r) * 1e6).astype(np.int64)
-            same = q["label"][:, None] == r["label"][None, :]
-            other = q["ids"][:, None] != r["ids"][None, :]
-            i, j = np.nonzero(other)
-            at = np.stack([i, s[i, j]], axis=1)
-            known, place = np.unique(at, axis=0, return_inverse=True)
-            hits = np.bincount(place.ravel(), weights=same[i, j], minlength=len(known)).astype(np.int64)
+            keys = _labelled_keys(q, r)
+            i, j = np.nonzero(keys >= 0)
+            known, place = np.unique(np.stack([i, keys[i, j] >> 1], axis=1), axis=0, return_inverse=True)
+            hits = np.bincount(place.ravel(), weights=keys[i, j] & 1, minlength=len(known)).astype(np.int64)
             total = np.bincount(place.ravel(), minlength=len(known))
-            yield pa.RecordBatch.from_arrays([pa.array(q["ids"][known[:, 0]]), pa.array(known[:, 1] / 1e6), pa.array(hits), pa.array(total - hits)], names=["query_id", "score", "r", "o"])
+            yield pa.RecordBatch.from_arrays([pa.array(q["ids"][known[:, 0]]), pa.array((known[:, 1] - SCALE) / SCALE), pa.array(hits), pa.array(total - hits)], names=["query_id", "score", "r", "o"])
 
-    parts = products(queries, rows, run, "query_id long, score double, r long, o long", extra=("label",), query_extra=("label",))
+    parts = _score_products(queries, rows, run, "query_id long, score double, r long, o long")
     return parts.groupBy("query_id", "score").agg(F.sum("r").alias("r"), F.sum("o").alias("o"))
 
 
+def score_histogram(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(score, r, o): how many pairs of a query and another row, of its label or of others, have each score, to six digits.
+
+    A task counts all its pairs in one array of the 2 * 10^6 + 1 scores and gives the ones that it met, so what is
+    shuffled doesn't grow with the pairs. More than BROADCAST_ROWS queries are taken in parts that can be broadcast.
+    """
+    n = max(1, -(-queries.count() * 10 // (BROADCAST_ROWS * 9)))
+    parts = [queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
+
+    def run(pairs) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(2 * (2 * SCALE + 1), np.int64)
+        for q, r in pairs:
+            keys = _labelled_keys(q, r).ravel()
+            met, count = np.unique(keys[keys >= 0], return_counts=True)
+            n[met] += count
+        met = np.flatnonzero(n.reshape(-1, 2).any(axis=1))
+        if len(met):
+            yield pa.RecordBatch.from_arrays([pa.array((met - SCALE) / SCALE), pa.array(n[2 * met + 1]), pa.array(n[2 * met])], names=["score", "r", "o"])
+
+    counts = functools.reduce(DataFrame.unionByName, [_score_products(x, rows, run, "score double, r long, o long") for x in parts])
+    return counts.groupBy("score").agg(F.sum("r").alias("r"), F.sum("o").alias("o"))
+
+
+def score_auc(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, auc): the chance that a row of the query's label has a larger score, to six digits, than one of another label, ties half.
+
+    A query without rows of both kinds has none. Queries are taken in passes of at most PASS_PAIRS pairs, whose results are
+    written before the next; in a pass a block's scores of a query are one cell, sorted and as differences, about two bytes a
+    pair, and the task that a query falls to counts its cells one after another.
+    """
+    queries, rows = _labelled(queries), _labelled(rows)
+    passes = max(1, -(-queries.count() * rows.count() // PASS_PAIRS))
+    parts = [checkpointed(_auc_pass(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i), rows)) for i in range(passes)]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _auc_pass(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    def cells(pairs) -> Iterator[pa.RecordBatch]:
+        for q, r in pairs:
+            keys = np.sort(_labelled_keys(q, r), axis=1)
+            # differences of sorted keys are small: with their bytes by place, most of a cell is zeros that the shuffle's codec takes out
+            steps = np.diff(keys, axis=1, prepend=np.int32(-1)).astype("<u4").view(np.uint8).reshape(*keys.shape, 4).transpose(0, 2, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(q["ids"]), pa.array([x.tobytes() for x in steps], pa.binary())], names=["query_id", "cell"])
+
+    def one(query: int, known: np.ndarray, count: np.ndarray) -> pa.RecordBatch | None:
+        same = known & 1 == 1
+        nr, no = int(count[same].sum()), int(count[~same].sum())
+        if not nr or not no:
+            return None
+        others = np.where(same, 0, count)
+        upto = np.cumsum(others)
+        # twice the pairs: an equal score's other rows stand right before those of the query's label
+        tie = np.zeros(len(known), np.int64)
+        tie[1:] = np.where(same[1:] & (known[1:] - known[:-1] == 1), others[:-1], 0)
+        twice = sum(map(int, (count * (2 * upto - tie))[same]))
+        return pa.RecordBatch.from_arrays([pa.array([query], pa.int64()), pa.array([twice / (2 * nr * no)])], names=["query_id", "auc"])
+
+    def ranks(batches) -> Iterator[pa.RecordBatch]:
+        at, held, size = None, [], 0
+        known, count = np.empty(0, np.int32), np.empty(0, np.int64)
+
+        def settle() -> tuple[np.ndarray, np.ndarray]:
+            keys, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int32), np.empty(0, np.int64))
+            both, place = np.unique(np.concatenate([known, keys]), return_inverse=True)
+            return both, np.bincount(place, weights=np.concatenate([count, n]), minlength=len(both)).astype(np.int64)
+
+        for b in batches:
+            for query, cell in zip(b.column("query_id").to_pylist(), b.column("cell"), strict=True):
+                if query != at:
+                    if at is not None and (out := one(at, *settle())):
+                        yield out
+                    at, held, size, known, count = query, [], 0, np.empty(0, np.int32), np.empty(0, np.int64)
+                steps = np.frombuffer(cell.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+                keys = (np.cumsum(steps, dtype=np.int64) - 1).astype(np.int32)
+                held.append(keys[keys >= 0])
+                size += len(keys)
+                if size > max(HELD, len(known)):
+                    known, count = settle()
+                    held, size = [], 0
+        if at is not None and (out := one(at, *settle())):
+            yield out
+
+    parts = _score_products(queries, rows, cells, "query_id long, cell binary")
+    return parts.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(ranks, "query_id long, auc double")
+
+
 class _Best:
     """The k best (score, id) of each group of each query, larger scores first, then smaller ids; what can't be among them isn't kept."""
 
@@ -285,6 +394,28 @@ def capped_label(queries: DataFrame, rows: DataFrame, k: int, cap: float = 0.5,
     return top_k(found.withColumn("in_label", within).where(F.col("in_label") <= most), k)
 
 
+def sample_for_each(queries: DataFrame, rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """(columns of rows, query_id, rank): the first k other rows of each query (query_id) in the order of a draw by both ids, ties to the smaller id.
+
+    Of the pairs only those are ranked whose key is below a limit that leaves about DRAWN * k of them a query; a query that
+    has fewer than k of them is ranked over all rows.
+    """
+    n = rows.count()
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("_key", "vec_id"))
+
+    def first(asked: DataFrame, limit: str | None = None) -> DataFrame:
+        pairs = rows.crossJoin(small(asked)).where("vec_id <> query_id").withColumn("_key", draw_key(seed, "query_id", "vec_id"))
+        pairs = pairs if limit is None else pairs.where(F.col("_key") < limit)
+        return pairs.withColumn("rank", rank).where(F.col("rank") <= k).drop("_key")
+
+    if n <= 2 * DRAWN * k:
+        return first(queries)
+    found = checkpointed(first(queries, f"{(DRAWN * k << 32) // n:08x}"))
+    full = found.where(F.col("rank") == k).select("query_id")
+    short = queries.join(full, "query_id", "left_anti")
+    return found if short.isEmpty() else found.join(full, "query_id", "left_semi").select(found.columns).unionByName(first(short))
+
+
 def mmr(queries: DataFrame, rows: DataFrame, k: int, lam: float = 0.7, others: bool = True) -> DataFrame:
     """(query_id, step, vec_id): maximal marginal relevance over all rows, ties to the smaller id.
 

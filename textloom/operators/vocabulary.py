@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable
 
@@ -124,9 +125,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:
-    """rows written to the shared checkpoint folder."""
-    shared_folder(rows.sparkSession)
-    return rows.checkpoint()
+    """rows written to the shared checkpoint folder. The driver's JVM then collects garbage, so that Spark deletes the shuffle files of what led there."""
+    spark = rows.sparkSession
+    shared_folder(spark)
+    out = rows.checkpoint()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def shared_grams(texts: DataFrame, key: str, items: DataFrame, item_key: str, n: int, normal: Callable[[Column], Column] = normalize_answer) -> DataFrame:

@@ -59,7 +59,7 @@ def selector_summary(spark: SparkSession, d: str) -> DataFrame:
     asked = rows.where("vec_id % 100 = 0")
     labels = rows.select("vec_id", "label")
     picked = V.search(asked, rows, 5, others=True).join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").withColumn("match", F.col("label") == F.col("ql"))
-    n = V.score_counts(asked, rows).agg((F.sum(F.col("score") * F.col("r")) / F.sum("r")).alias("same"), (F.sum(F.col("score") * F.col("o")) / F.sum("o")).alias("other"))
+    n = V.score_histogram(asked, rows).agg((F.sum(F.col("score") * F.col("r")) / F.sum("r")).alias("same"), (F.sum(F.col("score") * F.col("o")) / F.sum("o")).alias("other"))
     per = picked.groupBy("query_id").agg(F.max(F.col("match").cast("int")).alias("hit"), F.max(F.when(F.col("rank") == 1, F.col("match").cast("int"))).alias("top"))
     one = picked.agg(F.count_distinct("query_id").alias("queries"), F.count_distinct("vec_id").alias("examples"), F.avg("score").alias("picked"), F.avg(F.col("match").cast("double")).alias("precision"))
     hits = per.agg(F.avg("hit").alias("hit_rate"), F.avg("top").alias("top_match"))
