@@ -67,17 +67,18 @@ def evaluate_run_left(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _relevance(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, score, r, o): how many rows of the query's label and of others have a score."""
+    """(score, r, o): how many pairs of a query with a row of its label, and with other rows, have a score."""
     rows = X.unit_rows(table(spark, d, "embeddings"))
-    return X.score_counts(rows.where("vec_id % 100 = 0"), rows)
+    return X.score_histogram(rows.where("vec_id % 100 = 0"), rows)
 
 
 def score_auc(spark: SparkSession, d: str) -> DataFrame:
-    return M.auc_of_counts(_relevance(spark, d), "query_id")
+    rows = X.unit_rows(table(spark, d, "embeddings"))
+    return X.score_auc(rows.where("vec_id % 100 = 0"), rows).select("query_id", F.round("auc", 6).alias("auc"))
 
 
 def score_gap(spark: SparkSession, d: str) -> DataFrame:
-    n = _relevance(spark, d).groupBy("score").agg(F.sum("r").alias("r"), F.sum("o").alias("o"))
+    n = _relevance(spark, d)
     mean = lambda c: F.sum(F.col("score") * F.col(c)) / F.sum(c)
     sd = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("score") * F.col("score") * F.col("o")) / F.sum("o") - mean("o") * mean("o")))
     p95 = F.percentile(F.when(F.col("o") > 0, F.col("score")), 0.95, F.greatest("o", F.lit(1)))
