@@ -83,9 +83,7 @@ def select_capped_label(spark: SparkSession, d: str) -> DataFrame:
 
 def select_random_hash(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select("vec_id", "label")
-    asked = X.small(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id")))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(draw_key(42, "query_id", "vec_id"), "vec_id"))
-    return rows.crossJoin(asked).where("vec_id <> query_id").withColumn("rank", rank).where("rank <= 5")
+    return X.sample_for_each(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id")), rows, 5, 42)
 
 
 def selector_quality(spark: SparkSession, d: str) -> DataFrame:
