@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ from textloom.functions.text import bound, ngrams, normalize_answer, words
 
 #: A table of at most this many rows is broadcast.
 SMALL_ROWS = 200_000
+#: Words whose pairs a task counts at once.
+PAIRS_HELD = 500_000
 
 # Fixed value: the split pattern of byte-level tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -78,22 +83,62 @@ def draw_noise(rows: DataFrame, cdf: DataFrame, u) -> DataFrame:
     return rows.withColumn("id", find(u))
 
 
-def skipgram_pairs(docs: DataFrame, window: int, seed: int = 0) -> DataFrame:
-    """(center, context, n): pairs within a hashed radius from 1 to window, counted.
+def skipgram_pairs(docs: DataFrame, window: int, seed: int = 0, vocab: DataFrame | None = None) -> DataFrame:
+    """(center, context, n): pairs within a hashed radius from 1 to window, counted; of (word, id) in vocab, if given, as ids.
 
-    A document is one row: its pairs at each distance come from its word array and the same array
-    shifted. The only shuffle is that of the counts.
+    Words that vocab hasn't keep their places but are in no pair. Each word's radius comes from the digest of its place. A task counts the pairs of some
+    PAIRS_HELD words as numbers before it gives them; the only shuffle is that of the counts. vocab, of a stated size, is
+    sent to every task.
     """
-    radius = lambda i: F.floor(F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), i.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / 4294967296.0 * window) + 1
-    marked = docs.select("doc_id", F.transform(words(F.col("text")), lambda w, i: F.struct(w.alias("w"), radius(i).alias("r"))).alias("x"))
-
-    def at(x, d: int):
-        n = F.greatest(F.size(x) - d, F.lit(0))
-        both = F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(d + 1), n), lambda a, b: F.array(F.when(a["r"] >= d, F.struct(a["w"].alias("center"), b["w"].alias("context"))), F.when(b["r"] >= d, F.struct(b["w"].alias("center"), a["w"].alias("context")))))
-        return F.flatten(both)
-
-    pairs = bound(F.col("x"), lambda x: F.filter(F.concat(*[at(x, d) for d in range(1, window + 1)]), lambda p: p.isNotNull()))
-    return marked.select(F.explode(pairs).alias("p")).groupBy("p.center", "p.context").agg(F.count("*").alias("n"))
+    known = None if vocab is None else docs.sparkSession.sparkContext.broadcast({r["word"]: r["id"] for r in vocab.select("word", "id").collect()})
+    kind = "string" if known is None else "long"
+
+    def radii(ids: list, lengths: list[int]) -> np.ndarray:
+        """Of the words of each text in order, by the first four bytes of a digest."""
+        md5, tail, out = hashlib.md5, f"|{seed}".encode(), []
+        for doc, n in zip(ids, lengths, strict=True):
+            # a null id is left out, as concat_ws does
+            head = md5(b"" if doc is None else f"{doc}|".encode())
+            for i in range(n):
+                h = head.copy()
+                h.update(b"%d%b" % (i, tail))
+                out.append(h.digest()[:4])
+        return np.floor(np.frombuffer(b"".join(out), ">u4") / 4294967296.0 * window).astype(np.int64) + 1
+
+    def counted(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        texts = pa.Table.from_batches(parts)
+        lists = texts.column("w").combine_chunks()
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+        flat = lists.flatten().dictionary_encode()
+        names, codes = flat.dictionary, np.asarray(flat.indices).astype(np.int64)
+        r, text = radii(texts.column("doc_id").to_pylist(), lengths.tolist()), np.repeat(np.arange(len(lengths)), lengths)
+        if known is not None:
+            ids = np.array([known.value.get(x, -1) for x in names.to_pylist()], np.int64)
+            codes = ids[codes] if len(codes) else codes
+        base, found = int(codes.max(initial=0)) + 1, []
+        for d in range(1, window + 1):
+            near = (text[d:] == text[:-d]) & (codes[d:] >= 0) & (codes[:-d] >= 0)
+            ahead, back = near & (r[:-d] >= d), near & (r[d:] >= d)
+            found += [codes[:-d][ahead] * base + codes[d:][ahead], codes[d:][back] * base + codes[:-d][back]]
+        pairs, n = np.unique(np.concatenate(found), return_counts=True)
+        sides = [pairs // base, pairs % base]
+        return pa.RecordBatch.from_arrays([*(pa.array(x) if known is not None else names.take(pa.array(x)) for x in sides), pa.array(n)], names=["center", "context", "n"])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            # a few texts at a time, as one may be long
+            for at in range(0, b.num_rows, 64):
+                held.append(b.slice(at, 64))
+                size += len(held[-1].column("w").flatten())
+                if size > PAIRS_HELD:
+                    yield counted(held)
+                    held, size = [], 0
+        if size:
+            yield counted(held)
+
+    rows = docs.select("doc_id", words(F.col("text")).alias("w"))
+    return rows.mapInArrow(run, f"center {kind}, context {kind}, n long").groupBy("center", "context").agg(F.sum("n").alias("n"))
 
 
 def pair_counts(pretokens: DataFrame) -> DataFrame:
