@@ -17,6 +17,8 @@ from textloom.functions.vector import dot
 from textloom.operators.vocabulary import checkpointed
 
 HEAD = "Embedding Model V1"
+#: A model of at most this many components a side is broadcast.
+FEW_COMPONENTS = 2_000_000
 
 
 def initial(ids: DataFrame, width: int, seed: int = 0) -> DataFrame:
@@ -36,11 +38,12 @@ def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
-def scored(model: DataFrame, batch: DataFrame) -> DataFrame:
-    """(center, target, positive, n, u, v, score) for each target of each row of batch (center, targets[, n])."""
+def scored(model: DataFrame, batch: DataFrame, few: bool = False) -> DataFrame:
+    """(center, target, positive, n, u, v, score) for each target of each row of batch (center, targets[, n]). A model of few rows is broadcast."""
     n = F.col("n") if "n" in batch.columns else F.lit(1)
     rows = batch.select("center", n.cast("double").alias("n"), F.posexplode("targets").alias("place", "target")).withColumn("positive", F.col("place") == 0)
-    rows = rows.join(model.select(F.col("id").alias("center"), F.col("w_in").alias("u")), "center").join(model.select(F.col("id").alias("target"), F.col("w_out").alias("v")), "target")
+    centers, targets = model.select(F.col("id").alias("center"), F.col("w_in").alias("u")), model.select(F.col("id").alias("target"), F.col("w_out").alias("v"))
+    rows = rows.join(F.broadcast(centers) if few else centers, "center").join(F.broadcast(targets) if few else targets, "target")
     return rows.withColumn("score", dot("u", "v"))
 
 
@@ -51,9 +54,9 @@ def loss(rows: DataFrame) -> float | None:
     return total / n if n else None
 
 
-def step(model: DataFrame, batch: DataFrame, rate: float, width: int) -> DataFrame:
+def step(model: DataFrame, batch: DataFrame, rate: float, width: int, few: bool = False) -> DataFrame:
     """The model after one step on a batch: each row's gradients, taken at the old vectors, are added up by word. Words of no vector are left out."""
-    rows = scored(model, batch).withColumn("g", F.col("n") * (sigmoid(F.col("score")) - F.col("positive").cast("double")))
+    rows = scored(model, batch, few).withColumn("g", F.col("n") * (sigmoid(F.col("score")) - F.col("positive").cast("double")))
     total = lambda c: F.array(*[F.sum(F.col("g") * F.element_at(c, i + 1)) for i in range(width)])
     to_in = rows.groupBy(F.col("center").alias("id")).agg(total("v").alias("d_in"))
     to_out = rows.groupBy(F.col("target").alias("id")).agg(total("u").alias("d_out"))
@@ -66,9 +69,10 @@ def train(model: DataFrame, batches: Iterable[DataFrame], steps: int, rate: floa
     width = model.select(F.max(F.size("w_in"))).first()[0] or 0
     losses = []
     model = checkpointed(model)
+    few = width * model.count() <= FEW_COMPONENTS
     for k, batch in enumerate(batches):
-        losses.append(loss(scored(model, batch)))
-        model = checkpointed(step(model, batch, rate - (rate - least) * k / steps, width))
+        losses.append(loss(scored(model, batch, few)))
+        model = checkpointed(step(model, batch, rate - (rate - least) * k / steps, width, few))
     return model, losses
 
 

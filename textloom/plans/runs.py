@@ -115,13 +115,12 @@ def prompt_search(spark: SparkSession, d: str) -> DataFrame:
 def skipgram_losses(spark: SparkSession, d: str) -> DataFrame:
     """Losses of three steps over all counted pairs of the vocabulary's words, dealt out by hash, with two noise words each."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    vocab = V.vocabulary(docs, 15_000, 5)
-    ids = vocab.select("word", "id")
-    pairs = V.skipgram_pairs(docs, 2).join(F.broadcast(ids.toDF("center", "c")), "center").join(F.broadcast(ids.toDF("context", "o")), "context")
-    rows = pairs.select("c", "o", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("draw"))
-    drawn = V.draw_noise(rows, V.noise_cdf(vocab), hash_uniform(5, "c", "o", "draw"))
-    batch = drawn.groupBy("c", "o").agg(F.first("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("draw", "id"))), lambda x: x["id"]).alias("noise"))
-    batch = V.checkpointed(batch.select(F.col("c").alias("center"), F.concat(F.array(F.col("o").cast("long")), F.col("noise")).alias("targets"), "n", F.pmod(F.xxhash64("c", "o"), F.lit(3)).alias("part")))
+    vocab = V.checkpointed(V.vocabulary(docs, 15_000, 5))
+    batch = V.skipgram_pairs(docs, 2, vocab=vocab).select(F.col("center").cast("int").alias("c"), F.col("context").cast("int").alias("o"), "n")
+    cdf = V.checkpointed(V.noise_cdf(vocab))
+    for draw in ("0", "1"):
+        batch = V.draw_noise(batch.withColumn(draw, F.lit(draw)), cdf, hash_uniform(5, "c", "o", draw)).withColumnRenamed("id", f"noise_{draw}")
+    batch = V.checkpointed(batch.select(F.col("c").alias("center"), F.array(F.col("o").cast("long"), "noise_0", "noise_1").alias("targets"), "n", F.pmod(F.xxhash64("c", "o"), F.lit(3)).alias("part")))
     _, losses = SG.train(SG.initial(vocab.select("id"), 8), [batch.where(F.col("part") == i) for i in range(3)], 3, 1e-3)
     return spark.createDataFrame([(i, round(x, 6) if x is not None else None) for i, x in enumerate(losses)], "step int, loss double")
 
