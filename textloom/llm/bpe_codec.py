@@ -146,10 +146,14 @@ class Codec:
 
     def _chunk(self, chunk: str) -> bytes:
         words = self.vocab.chunk_words(chunk)
-        if len(words) == 1:
+        if len(words) == 1 and words[0] == chunk:
             # a chunk that is its own word is kept once, by the caller
-            return self._word(chunk) if words[0] == chunk else self.word(words[0])
-        return b"".join(map(self.word, words))
+            return self.words.get(chunk) or self._word(chunk)
+        return b"".join(map(self._of_chunk, words))
+
+    def _of_chunk(self, word: str) -> bytes:
+        """A word's ids; one of letters alone may be known as a chunk of its own, as it is normal and isn't split."""
+        return word.isalpha() and self.cache.get(word) or self.word(word)
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids of a text as unsigned 32-bit integers in the machine's (little-endian) order."""
