@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe_codec import codec
 from textloom.llm.common import cut, tidy
+from textloom.llm.word_ids import word_ids
 
 #: A bin with this share of its capacity is emitted; rows of one merge group; most merge rounds.
 NEARLY_FULL, GROUP_ROWS = 0.99, 400_000
@@ -31,23 +32,27 @@ def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id:
     be shorter. A null or empty text is the single id end_id.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(vocab_path)
-        encode, end, step = c.encode_bytes, np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end, step = word_ids(vocab_path).encode, np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
-                raw = encode(text) + end
+            row, columns, ids = [], ([], [], [], []), []
+            for i, raw in enumerate(encode(batch.column(1))):
+                raw += end
                 for k, at in enumerate(range(0, len(raw), step)):
                     part = raw[at : at + step]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)) + ((np.frombuffer(part, dtype="<i4"),) if with_ids else ()))
-            yield pd.DataFrame(rows, columns=schema_names)
-        c.shrink()
-
-    schema_names = [x.strip().split(" ")[0] for x in schema.split(", ")]
-    return docs.select(F.col(id_col), F.col(text_col)).mapInPandas(tidy(run), schema)
+                    row.append(i)
+                    for column, x in zip(columns, (k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                        column.append(x)
+                    if with_ids:
+                        ids.append(np.frombuffer(part, dtype="<i4"))
+            out = [batch.column(0).take(pa.array(row, pa.int64())), *map(pa.array, columns, types)]
+            yield pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(tidy(run), schema)
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

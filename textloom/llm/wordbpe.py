@@ -65,7 +65,8 @@ class WordVocab:
             if new != 2 * len(chars) + rank:
                 raise ValueError("this vocabulary doesn't number its merges in order of rank")
             self.merged[self.ids[a], self.ids[b]] = new
-        self._split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self._split, self._split_lines = regex.compile(pattern), regex.compile(pattern + r"|\n")
         self._special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self._library = None
 
@@ -91,6 +92,11 @@ class WordVocab:
             low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
         return self._split.findall(low)
 
+    def words_of(self, chunks: list[str]) -> list[str]:
+        """The pre-tokens of many chunks from chunks(), with a line break after each chunk's."""
+        text = "".join([c + "\n" for c in chunks])  # nothing joins or changes across a line break
+        return self._split_lines.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
     def parts(self, text: str):
         """(special id, "") and (None, text between) in order."""
         at = 0
@@ -102,9 +108,13 @@ class WordVocab:
         if at < len(text):
             yield None, text[at:]
 
+    def plain(self, text: str) -> bool:
+        """Whether the text's white-space chunks can be treated one by one; else it needs parts() and words()."""
+        return not ("<|" in text or _odd(text))
+
     def chunks(self, text: str) -> list[str] | None:
         """White-space chunks that can be treated one by one; None if the text needs parts() and words()."""
-        return None if "<|" in text or _odd(text) else text.split()
+        return text.split() if self.plain(text) else None
 
     def symbols(self, word: str) -> list[int]:
         """One symbol a byte, the last with the word end."""
