@@ -29,6 +29,7 @@ def ids_of(texts):
 def test_ids_are_the_librarys(monkeypatch, limit):
     monkeypatch.setattr(word_ids, "SLICE_BYTES", limit)
     monkeypatch.setattr(word_ids, "STEP", 3)
+    monkeypatch.setattr(word_ids, "WORDS", 7)
     rng = random.Random(4)
     letters = "aaabcdeéèñßüÉÀΣσςİıfi  \n\t\u00a0\u0085'.,!?&&##0123456789中é\u0301e\u0308東京한국ＡＢ𝒜😀\x1c<|>w/"
     texts = ["".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(400)]

@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 from textloom.llm.bpe_codec import codec
 from textloom.llm.wordbpe import vocab
 
-#: Bytes of text in a slice; longest word that is merged with others; entries gathered in one step.
-SLICE_BYTES, LONG_WORD, STEP = 16 << 20, 100, 1 << 17
+#: Bytes of text in a slice; longest word that is merged with others; words merged and entries gathered in one step.
+SLICE_BYTES, LONG_WORD, WORDS, STEP = 4 << 20, 100, 1 << 14, 1 << 15
 NEVER = np.int32(2**31 - 1)
 
 
@@ -87,7 +87,7 @@ class WordIds:
         distinct = dict.fromkeys(words)
         distinct.pop("\n", None)
         short, long = [w for w in distinct if len(w) <= LONG_WORD], [w for w in distinct if len(w) > LONG_WORD]
-        ids, size = self.merge(short)
+        ids, size = map(np.concatenate, zip(*(self.merge(short[at : at + WORDS]) for at in range(0, max(1, len(short)), WORDS)), strict=True))
         # a very long word takes the encoder that is linear in its length
         more = [np.frombuffer(codec(self.path).word(w), dtype="<u4") for w in long]
         ids, size = np.concatenate([ids, *more]).astype("<u4"), np.concatenate([size, [len(x) for x in more], [0]]).astype(np.int64)
